@@ -8,6 +8,8 @@ MODULES = (
     "base_sql",
 
     "indicators",
+    "records_fixture",
+    "outcomes",
 )
 
 for _m in MODULES:

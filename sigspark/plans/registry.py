@@ -45,6 +45,8 @@ def compose(body: str) -> str:
         visit(n)
     if not ordered:
         return body
+    if body.lstrip().upper().startswith("WITH"):
+        body = f"SELECT * FROM (\n{body}\n) AS body_"
     ctes = ",\n".join(f"{n} AS ({FRAGMENTS[n]})" for n in ordered)
     return f"WITH RECURSIVE {ctes}\n{body}"
 
