@@ -10,6 +10,7 @@ MODULES = (
     "indicators",
     "records_fixture",
     "outcomes",
+    "context",
 )
 
 for _m in MODULES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from sigspark.operators import indicators as ind
@@ -102,8 +104,20 @@ fragment("ema_", """
 fragment("emas", "SELECT *, ema12-ema26 AS macd, ema12-ema26-macd_signal AS macd_hist FROM ema_")
 
 
+@lru_cache(maxsize=16)
+def wide(spark, sf, ema=False):
+    """Logical plan of the wide frame; projections below prune what they do not need."""
+    return ind.indicator_frame(fx.weekly_bars(spark, sf), ema=ema)
+
+
+@lru_cache(maxsize=16)
+def ema_frame(spark, sf):
+    return ind.with_ema(fx.weekly_bars(spark, sf), ind.BarWindow("symbol", order="session_no"))
+
+
 def weekly(spark, sf, *cols, ema=False):
-    return ind.indicator_frame(fx.weekly_bars(spark, sf), ema=ema).select("symbol", "session", *cols)
+    d = ema_frame(spark, sf) if ema else wide(spark, sf)
+    return d.select("symbol", "session", *cols)
 
 
 def simple(name: str, cols: str, doubles: str = "", ema: bool = False):
@@ -147,8 +161,7 @@ simple("squeeze_breakout_combo", "squeeze_break", " ")
         prev_macd<=prev_signal AND macd>macd_signal AS cross_up, prev_macd>=prev_signal AND macd<macd_signal AS cross_down
  FROM emas WHERE rn>1""")
 def crossovers(spark, sf):
-    d = ind.with_ema(fx.weekly_bars(spark, sf), ind.BarWindow("symbol", order="session_no"))
-    return d.filter("prev_macd IS NOT NULL").selectExpr(
+    return ema_frame(spark, sf).filter("prev_macd IS NOT NULL").selectExpr(
         "symbol", "session", "prev_macd <= prev_signal AND macd > macd_signal AS cross_up",
         "prev_macd >= prev_signal AND macd < macd_signal AS cross_down")
 
@@ -222,7 +235,7 @@ SNAP = """
 @query("technical_snapshot", SNAP, f="volume_ratio sma20 sma50 rsi return_1d return_5d return_20d atr_pct")
 def technical_snapshot(spark, sf):
     from sigspark.operators.snapshot import technical_snapshot as snap
-    s = snap(ind.indicator_frame(fx.weekly_bars(spark, sf), ema=False))
+    s = snap(wide(spark, sf))
     return s.selectExpr(
         "symbol", "session", "bar_count", "obv.status AS obv_status", "obv.trend AS obv_trend",
         "bollinger.status AS bollinger_status", "bollinger.squeeze AS bb_squeeze", "momentum.status AS momentum_status",
@@ -244,7 +257,7 @@ FLAG_SQL = """
 @query("criteria_flags", FLAG_SQL)
 def criteria_flags(spark, sf):
     from sigspark.operators.snapshot import technical_flags
-    d = technical_flags(ind.indicator_frame(fx.weekly_bars(spark, sf), ema=False))
+    d = technical_flags(wide(spark, sf))
     return d.select("symbol", "session", "obv_rising", "obv_breakout", "obv_positive_divergence",
                     "obv_negative_divergence", "squeeze_break", "band_return", "momentum_strengthening",
                     "momentum_weakening")
@@ -259,5 +272,24 @@ def criteria_flags(spark, sf):
  FROM (SELECT f.*, i.obv_trend='FALLING' AS obv_falling FROM f JOIN ind i ON f.symbol=i.symbol AND f.session=CAST(i.session AS VARCHAR)) AS q""")
 def technical_reasons(spark, sf):
     from sigspark.operators.snapshot import technical_flags, technical_reasons as reasons
-    d = technical_flags(ind.indicator_frame(fx.weekly_bars(spark, sf), ema=False))
+    d = technical_flags(wide(spark, sf))
     return reasons(d).select("symbol", "session", "positive", "negative")
+
+
+# The same indicators for the market index (one synthetic symbol: per-session means).
+fragment("ibars", """
+ SELECT 'INDEX' AS symbol, 'INDEX' AS sector, session, avg(open) AS open, avg(high) AS high, avg(low) AS low, avg(close) AS close,
+        sum(volume) AS volume, session_no FROM bars GROUP BY session, session_no""")
+for _n in ("ind1_", "ind2_", "ind3_", "ind4_", "ind5_", "ind"):
+    from sigspark.plans.registry import FRAGMENTS
+    import re
+
+    _s = re.sub(r"\bbars\b", "ibars", FRAGMENTS[_n])
+    fragment("x" + _n, re.sub(r"\b(ind\d_)", r"x\1", _s))
+
+
+@lru_cache(maxsize=16)
+def index_frame(spark, sf):
+    from sigspark.operators.context import index_bars
+
+    return ind.indicator_frame(index_bars(fx.weekly_bars(spark, sf)), ema=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -90,7 +92,9 @@ fragment("ex", """
  FROM preds p JOIN outc o ON p.signal_id=o.signal_id""")
 
 
+@lru_cache(maxsize=16)
 def frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The logical plan only (built once per session and folder); nothing is cached as data."""
     return ind.indicator_frame(fx.weekly_bars(spark, sf), ema=False)
 
 
@@ -128,6 +132,7 @@ def predictions_of(f: DataFrame) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(by_day))
 
 
+@lru_cache(maxsize=16)
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return predictions_of(frame(spark, sf))
 
@@ -136,11 +141,13 @@ def last_session(bars: DataFrame) -> DataFrame:
     return bars.agg(F.max("session_no").alias("last_no"))
 
 
+@lru_cache(maxsize=16)
 def labelled(spark: SparkSession, sf: str, horizons=out.DAILY_HORIZONS) -> DataFrame:
     bars = fx.weekly_bars(spark, sf)
     return out.label_daily_outcomes(predictions(spark, sf), bars, last_session(bars), horizons)
 
 
+@lru_cache(maxsize=16)
 def examples(spark: SparkSession, sf: str, horizons=out.DAILY_HORIZONS) -> DataFrame:
     return labelled(spark, sf, horizons).withColumn("reason", out.quality_reason())
 
