@@ -29,8 +29,10 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
 
 def corr_guarded(x: str, y: str, minimum: int = 3) -> Column:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    c = F.corr(F.when(both, F.col(x)), F.when(both, F.col(y)))
-    return F.when((F.count_if(both) >= minimum) & ~F.isnan(c), c)
+    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    spread = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
+    cov, va, vb = F.covar_pop(a, b), F.var_pop(a), F.var_pop(b)
+    return F.when((F.count_if(both) >= minimum) & spread, F.try_divide(cov, F.sqrt(va * vb)))
 
 
 def reliability(n: Column) -> Column:

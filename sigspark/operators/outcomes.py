@@ -18,6 +18,16 @@ DAILY_HORIZONS = (1, 3, 5, 10, 20, 60)
 PAGE = 64
 
 
+def evaluated(df: DataFrame) -> DataFrame:
+    """Fix the row's columns as computed values.
+
+    Array expressions are not shared between the expressions that use them, and filters
+    are pushed down by copying them. A generator ends both: what is below is computed
+    once per row, what is above reads plain columns. No shuffle, no row is added.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def bar_pages(bars: DataFrame, key=("symbol",), order: str = "session_no", reach: int = 60, page: int = PAGE) -> DataFrame:
     """Pages of bars; order numbers are unique per key, which bounds every page."""
     no = F.col(order)
@@ -132,7 +142,7 @@ def label_daily_outcomes(
         F.coalesce(F.col("_bars"), F.expr("CAST(array() AS ARRAY<STRUCT<no:INT,open:DOUBLE,high:DOUBLE,low:DOUBLE,close:DOUBLE>>)")),
         lambda b: (b["no"] > F.col(order)) & (b["no"] <= due),
     )
-    d = d.withColumn("_w", w).drop("_bars")
+    d = evaluated(d.withColumn("_w", w).drop("_bars"))
     short = (F.col("decision") == "SELL") & ~F.col("model").startswith("TOMORROW")
     base, t, s = F.col("price"), F.col("target"), F.col("stop")
     ordered = F.when(F.col("short"), (t < base) & (base < s)).otherwise((s < base) & (base < t))
@@ -144,7 +154,7 @@ def label_daily_outcomes(
         }
     )
     d = d.withColumns(touch_columns(F.col("_w"), base, t, s, F.col("short")))
-    d = excursions(first_touch(d))
+    d = evaluated(excursions(first_touch(evaluated(d))))
     done = F.col("completed")
     exit_ = F.get("_w", F.size("_w") - 1)["close"]
     hi = F.array_max(F.transform("_w", lambda b: b["high"]))
@@ -178,7 +188,7 @@ def label_daily_outcomes(
         }
     )
     d = d.withColumns({c: F.when(done, F.col(c)) for c in keep})
-    return d.drop("_w", "_tk", "_sk", "_last")
+    return evaluated(d.drop("_w", "_tk", "_sk", "_last"))
 
 
 def quality_reason(order: str = "session_no") -> Column:

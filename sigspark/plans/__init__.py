@@ -11,6 +11,7 @@ MODULES = (
     "records_fixture",
     "outcomes",
     "context",
+    "reports",
 )
 
 for _m in MODULES:

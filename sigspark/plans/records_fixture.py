@@ -149,7 +149,7 @@ def labelled(spark: SparkSession, sf: str, horizons=out.DAILY_HORIZONS) -> DataF
 
 @lru_cache(maxsize=16)
 def examples(spark: SparkSession, sf: str, horizons=out.DAILY_HORIZONS) -> DataFrame:
-    return labelled(spark, sf, horizons).withColumn("reason", out.quality_reason())
+    return out.evaluated(labelled(spark, sf, horizons).withColumn("reason", out.quality_reason()))
 
 
 FLAGS = ("f_rsi", "f_trend", "f_volume", "f_momentum", "f_obv", "f_bollinger")
