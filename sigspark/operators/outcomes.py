@@ -64,52 +64,55 @@ def touch_columns(window: Column, base: Column, target: Column, stop: Column, sh
     }
 
 
-def _favourable(bars: Column, base: Column, short: Column) -> Column:
-    hi = F.array_max(F.transform(bars, lambda b: b["high"]))
-    lo = F.array_min(F.transform(bars, lambda b: b["low"]))
-    best = F.when(short, (base - lo) / base * 100).otherwise((hi - base) / base * 100)
+def best_move(high: Column, low: Column, base: Column, short: Column) -> Column:
+    best = F.when(short, (base - low) / base * 100).otherwise((high - base) / base * 100)
     return F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0)))
 
 
-def _adverse(bars: Column, base: Column, short: Column) -> Column:
-    hi = F.array_max(F.transform(bars, lambda b: b["high"]))
-    lo = F.array_min(F.transform(bars, lambda b: b["low"]))
-    worst = F.when(short, (base - hi) / base * 100).otherwise((lo - base) / base * 100)
+def worst_move(high: Column, low: Column, base: Column, short: Column) -> Column:
+    worst = F.when(short, (base - high) / base * 100).otherwise((low - base) / base * 100)
     return F.least(F.lit(0.0), F.coalesce(worst, F.lit(0.0)))
 
 
-def excursions(df: DataFrame, window: str = "_w") -> DataFrame:
-    """MFE and MAE over the window and before the touch; the touch bar itself is left out."""
-    w, base, short = F.col(window), F.col("price"), F.col("short")
+def _high(bars: Column) -> Column:
+    return F.array_max(F.transform(bars, lambda b: b["high"]))
+
+
+def _low(bars: Column) -> Column:
+    return F.array_min(F.transform(bars, lambda b: b["low"]))
+
+
+def touches(df: DataFrame, path: str = "_path") -> DataFrame:
+    """What one scan of the whole path tells every horizon: the touch times, the opening
+    price of the first touch bar and the moves before a touch (touch bar left out)."""
+    w, base, short = F.col(path), F.col("price"), F.col("short")
+    df = evaluated(df.withColumns(touch_columns(w, base, F.col("target"), F.col("stop"), short)))
+    at = F.least(F.col("_tk"), F.col("_sk"))
     before_stop = F.filter(w, lambda b: b["no"] < F.col("_sk"))
     before_target = F.filter(w, lambda b: b["no"] < F.col("_tk"))
-    reward = F.when(
-        F.when(short, F.col("target") < base).otherwise(F.col("target") > base),
-        F.abs(F.col("target") - base) / base * 100,
-    )
-    df = df.withColumns({"mfe": _favourable(w, base, short), "mae": _adverse(w, base, short)})
     return df.withColumns(
         {
-            "mfe_before_stop": F.when(F.col("_sk").isNotNull(), _favourable(before_stop, base, short)),
-            "mae_before_target": F.when(F.col("_tk").isNotNull(), _adverse(before_target, base, short)),
-            "approach_ratio": ratio(F.col("mfe"), reward),
+            "_open": _get(F.filter(w, lambda b: b["no"] == at), 0)["open"],
+            "_mfs": best_move(_high(before_stop), _low(before_stop), base, short),
+            "_mat": worst_move(_high(before_target), _low(before_target), base, short),
         }
     )
 
 
-def first_touch(df: DataFrame, window: str = "_w", use_open_rule: bool = True) -> DataFrame:
+def first_touch(use_open_rule: bool = True) -> Column:
     """TARGET, STOP, AMBIGUOUS or NULL; the opening price decides a double touch when asked."""
-    w, short = F.col(window), F.col("short")
-    t, s = F.col("target"), F.col("stop")
+    short, t, s, o = F.col("short"), F.col("target"), F.col("stop"), F.col("_open")
     at = F.least(F.col("_tk"), F.col("_sk"))
-    open_ = _get(F.filter(w, lambda b: b["no"] == at), 0)["open"]
-    open_target = F.when(short, open_ <= t).otherwise(open_ >= t)
-    open_stop = F.when(short, open_ >= s).otherwise(open_ <= s)
     rules = [(at.isNull(), None)]
     if use_open_rule:
-        rules += [(open_target, "TARGET"), (open_stop, "STOP")]
+        rules += [(F.when(short, o <= t).otherwise(o >= t), "TARGET"), (F.when(short, o >= s).otherwise(o <= s), "STOP")]
     rules += [(F.col("_tk") == F.col("_sk"), "AMBIGUOUS"), (F.col("_tk") == at, "TARGET")]
-    return df.withColumn("first_touch", F.when(F.col("levels_ok"), first_match(*rules, default="STOP")))
+    return F.when(F.col("levels_ok"), first_match(*rules, default="STOP"))
+
+
+def path_of(order: str, reach: int) -> Column:
+    empty = F.expr("CAST(array() AS ARRAY<STRUCT<no:INT,open:DOUBLE,high:DOUBLE,low:DOUBLE,close:DOUBLE>>)")
+    return F.filter(F.coalesce(F.col("_bars"), empty), lambda b: (b["no"] > F.col(order)) & (b["no"] <= F.col(order) + reach))
 
 
 def outcome_status(risk: Column, directional: Column, against: Column) -> Column:
@@ -133,32 +136,37 @@ def label_daily_outcomes(
     never read for a label.
     """
     reach = max(horizons)
+    base, t, s = F.col("price"), F.col("target"), F.col("stop")
     d = attach_pages(records, bars, order=order, reach=reach)
+    short = (F.col("decision") == "SELL") & ~F.col("model").startswith("TOMORROW")
+    d = evaluated(d.withColumns({"_path": path_of(order, reach), "short": short}).drop("_bars"))
+    ordered = F.when(F.col("short"), (t < base) & (base < s)).otherwise((s < base) & (base < t))
+    d = touches(d).withColumn("levels_ok", F.coalesce(ordered, F.lit(False)))
     d = d.crossJoin(last_session.select(F.col("last_no").alias("_last")))
     d = d.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     due = F.col(order) + F.col("horizon")
     d = d.filter(due <= F.col("_last"))
-    w = F.filter(
-        F.coalesce(F.col("_bars"), F.expr("CAST(array() AS ARRAY<STRUCT<no:INT,open:DOUBLE,high:DOUBLE,low:DOUBLE,close:DOUBLE>>)")),
-        lambda b: (b["no"] > F.col(order)) & (b["no"] <= due),
-    )
-    d = evaluated(d.withColumn("_w", w).drop("_bars"))
-    short = (F.col("decision") == "SELL") & ~F.col("model").startswith("TOMORROW")
-    base, t, s = F.col("price"), F.col("target"), F.col("stop")
-    ordered = F.when(F.col("short"), (t < base) & (base < s)).otherwise((s < base) & (base < t))
-    d = d.withColumn("short", short)
+    # A touch after the horizon has not happened yet.
+    d = d.withColumns({"_w": F.filter("_path", lambda b: b["no"] <= due), "_tk": F.when(F.col("_tk") <= due, F.col("_tk")),
+                       "_sk": F.when(F.col("_sk") <= due, F.col("_sk"))})
+    d = evaluated(d.drop("_path"))
+    d = evaluated(d.withColumns({"_n": F.size("_w"), "_hi": _high(F.col("_w")), "_lo": _low(F.col("_w")),
+                                 "_exit": F.get("_w", F.size("_w") - 1)["close"]}).drop("_w"))
+    reward = F.when(F.when(F.col("short"), t < base).otherwise(t > base), F.abs(t - base) / base * 100)
     d = d.withColumns(
         {
-            "completed": (F.size("_w") == F.col("horizon")) & (base > 0),
-            "levels_ok": F.coalesce(ordered, F.lit(False)),
+            "completed": (F.col("_n") == F.col("horizon")) & (base > 0),
+            "mfe": best_move(F.col("_hi"), F.col("_lo"), base, F.col("short")),
+            "mae": worst_move(F.col("_hi"), F.col("_lo"), base, F.col("short")),
+            "mfe_before_stop": F.when(F.col("_sk").isNotNull(), F.col("_mfs")),
+            "mae_before_target": F.when(F.col("_tk").isNotNull(), F.col("_mat")),
+            # The opening price belongs to the earliest touch, which is inside the horizon or there is none.
+            "first_touch": first_touch(),
         }
     )
-    d = d.withColumns(touch_columns(F.col("_w"), base, t, s, F.col("short")))
-    d = evaluated(excursions(first_touch(evaluated(d))))
+    d = d.withColumn("approach_ratio", ratio(F.col("mfe"), reward))
     done = F.col("completed")
-    exit_ = F.get("_w", F.size("_w") - 1)["close"]
-    hi = F.array_max(F.transform("_w", lambda b: b["high"]))
-    lo = F.array_min(F.transform("_w", lambda b: b["low"]))
+    exit_, hi, lo = F.col("_exit"), F.col("_hi"), F.col("_lo")
     change = pct_change(exit_, base)
     d = d.withColumns(
         {
@@ -188,7 +196,7 @@ def label_daily_outcomes(
         }
     )
     d = d.withColumns({c: F.when(done, F.col(c)) for c in keep})
-    return evaluated(d.drop("_w", "_tk", "_sk", "_last"))
+    return evaluated(d.drop("_tk", "_sk", "_last", "_n", "_hi", "_lo", "_exit", "_open", "_mfs", "_mat"))
 
 
 def quality_reason(order: str = "session_no") -> Column:
