@@ -12,6 +12,7 @@ MODULES = (
     "outcomes",
     "context",
     "reports",
+    "scoring",
 )
 
 for _m in MODULES:

@@ -84,7 +84,7 @@ def query(name: str, sql: str | None = None, f: str = "", digits: int = 8):
             cols = f.split()
             body = sql.strip()
             if cols:
-                rounded = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
+                rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE) AS {c}" for c in cols)
                 body = f"SELECT * REPLACE ({rounded}) FROM (\n{body}\n) AS result_"
             ORACLES[name] = body
         return fn
