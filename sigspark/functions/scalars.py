@@ -77,13 +77,13 @@ def reason_list(*rules: tuple[Column, str]) -> Column:
 
 def minutes_between(earlier: ColumnLike, later: ColumnLike) -> Column:
     """Age in minutes; NULL when the earlier instant lies in the future."""
-    gap = (F.unix_micros(col(later)) - F.unix_micros(col(earlier))) / 60e6
+    gap = (F.unix_micros(col(later).cast("timestamp")) - F.unix_micros(col(earlier).cast("timestamp"))) / 60e6
     return F.when(gap >= 0, gap)
 
 
 def next_bar_start(at: ColumnLike, seconds: int = 300) -> Column:
     """First bar boundary at or after the instant."""
-    return F.timestamp_seconds((F.ceil(F.unix_micros(col(at)) / (seconds * 1e6)) * seconds).cast("long"))
+    return F.timestamp_seconds((F.ceil(F.unix_micros(col(at).cast("timestamp")) / (seconds * 1e6)) * seconds).cast("long"))
 
 
 def side_return(base: ColumnLike, price: ColumnLike, short: Column) -> Column:

@@ -13,6 +13,9 @@ MODULES = (
     "context",
     "reports",
     "scoring",
+    "bars",
+    "news",
+    "streams",
 )
 
 for _m in MODULES:

@@ -62,7 +62,7 @@ def published(df: DataFrame, digits: int) -> DataFrame:
             c = c.cast("long")
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
-        elif isinstance(f.dataType, T.TimestampType):
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c, "|")
