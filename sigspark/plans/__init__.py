@@ -16,6 +16,7 @@ MODULES = (
     "bars",
     "news",
     "streams",
+    "learning",
 )
 
 for _m in MODULES:
