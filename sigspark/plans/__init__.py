@@ -17,6 +17,7 @@ MODULES = (
     "news",
     "streams",
     "learning",
+    "more",
 )
 
 for _m in MODULES:

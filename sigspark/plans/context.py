@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sigspark.operators import context as cx
+from sigspark.operators.outcomes import evaluated
 from sigspark.plans.indicators import index_frame
 from sigspark.plans.records_fixture import frame, predictions
 from sigspark.plans.registry import fragment, query
@@ -130,7 +131,7 @@ def index_obs(s, d):
 
 @lru_cache(maxsize=8)
 def measurement(s, d):
-    return cx.market_measurement(frame(s, d), index_obs(s, d), N, MIN)
+    return evaluated(cx.market_measurement(frame(s, d), index_obs(s, d), N, MIN))
 
 
 MM = "session_no n advancing declining new_high new_low above_sma20_pct above_sma50_pct up_volume_pct coverage index_trend index_momentum index_volatility breadth_score regime_score regime_confidence final regime breadth_state risk_state data_status conflict".split()
@@ -176,7 +177,7 @@ fragment("smeas", """
 
 @lru_cache(maxsize=8)
 def sectors(s, d):
-    return cx.sector_measurement(frame(s, d), index_obs(s, d), members(s, d), MEM)
+    return evaluated(cx.sector_measurement(frame(s, d), index_obs(s, d), members(s, d), MEM))
 
 
 SM = "session_no sector n sector_return_1d sector_return_5d sector_return_20d relative_5d relative_20d rs_score trend_state breadth relative_momentum volume_score state_score sector_confidence sector_state quadrant momentum_state enough".split()

@@ -129,7 +129,7 @@ def predictions_of(f: DataFrame) -> DataFrame:
         (F.col("bb_zone") == "INSIDE").alias("f_bollinger"),
     )
     by_day = W.partitionBy("session_no").orderBy(F.desc("score"), "symbol")  # at most one row per symbol
-    return d.withColumn("rank", F.row_number().over(by_day))
+    return out.evaluated(d.withColumn("rank", F.row_number().over(by_day)))
 
 
 @lru_cache(maxsize=16)
