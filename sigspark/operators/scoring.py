@@ -110,3 +110,67 @@ def decision_from_score(score: Column, news: Column, confirmation: Column) -> Co
     return first_match(
         ((score >= 82) & (news >= -2) & (confirmation >= -1), "STRONG_BUY"), ((score >= 70) & (news >= -4), "BUY"),
         ((score <= 35) | (news <= -8), "SELL"), ((score <= 50) | (news <= -5), "RISKY_WATCH"), default="WATCH")
+
+
+# Daily technical points around 50.
+TECHNICAL_RULES = (
+    ("close > sma20", 8), ("close <= sma20", -8), ("close > sma50", 8), ("close <= sma50", -8), ("sma20 > sma50", 7), ("sma20 <= sma50", -7),
+    ("rsi >= 45 AND rsi < 70", 8), ("rsi < 30", 2), ("rsi >= 70", -7), ("macd > macd_signal", 8), ("macd <= macd_signal", -8), ("macd_hist > 0", 5),
+    ("macd_hist <= 0", -5), ("cross_up", 8), ("cross_down", -8), ("volume_ratio_incl >= 130", 8), ("volume_ratio_incl >= 100 AND volume_ratio_incl < 130", 3),
+    ("volume_ratio_incl < 100", -3), ("change_pct > 0", 3), ("change_pct < -3", -3), ("rr >= 2", 5),
+)
+# Quality points of the two aggressive classes.
+QUALITY_VOLUME = (
+    ("volume_ratio_incl >= 150", 20), ("volume_ratio_incl >= 120 AND volume_ratio_incl < 150", 16), ("volume_ratio_incl >= 100 AND volume_ratio_incl < 120", 12),
+    ("volume_ratio_incl >= 80 AND volume_ratio_incl < 100", 7), ("volume_ratio_incl >= 70 AND volume_ratio_incl < 80", 3), ("volume_ratio_incl < 70", -10),
+)
+QUALITY_BUY = QUALITY_VOLUME + (
+    ("close > sma20", 15), ("sma20 > sma50", 15), ("macd > macd_signal", 15), ("macd_hist > 0", 10), ("rsi BETWEEN 42 AND 62", 10),
+    ("(rsi >= 35 AND rsi < 42) OR (rsi > 62 AND rsi < 68)", 4), ("change_pct > 0 AND change_pct <= 3", 10), ("change_pct > 3 AND change_pct <= 4.5", 5),
+    ("change_pct > 4.5 AND change_pct <= 6", -5), ("rr >= 2", 5),
+)
+QUALITY_SELL = QUALITY_VOLUME + (
+    ("close < sma20", 15), ("sma20 < sma50", 15), ("macd < macd_signal", 15), ("macd_hist < 0", 10), ("rsi BETWEEN 35 AND 55", 10),
+    ("(rsi >= 30 AND rsi < 35) OR (rsi > 55 AND rsi < 68)", 4), ("change_pct >= -3 AND change_pct < 0", 10), ("change_pct >= -4.5 AND change_pct < -3", 5),
+    ("change_pct >= -6 AND change_pct < -4.5", -5),
+)
+# Intraday points.
+INTRADAY_RULES = (
+    ("from_open BETWEEN 0.5 AND 3", 12), ("from_open > 3 AND from_open <= 5", 9), ("from_open > 5 AND from_open < 8", 4), ("from_open >= -1 AND from_open < 0.5", 2),
+    ("from_low BETWEEN 1 AND 4", 10), ("from_low > 4 AND from_low <= 7", 7), ("from_low > 7", 3), ("to_high <= 0.5", 10), ("to_high > 0.5 AND to_high <= 1.5", 7),
+    ("to_high > 1.5 AND to_high <= 3", 3), ("rsi BETWEEN 50 AND 68", 12), ("rsi >= 45 AND rsi < 50", 6), ("rsi > 68 AND rsi < 75", 4), ("rsi >= 80", -8), ("rsi < 30", -8),
+    ("macd_hist > 0", 14), ("macd_hist > prev_hist", 5), ("volume3_ratio >= 200", 15), ("volume3_ratio >= 150 AND volume3_ratio < 200", 12),
+    ("volume3_ratio >= 120 AND volume3_ratio < 150", 8), ("volume3_ratio < 60", -5), ("momentum3 BETWEEN 0.2 AND 1.5", 6), ("momentum3 > 1.5", 3), ("momentum3 <= -1", -5),
+    ("momentum6 BETWEEN 0.3 AND 2.5", 6), ("momentum6 <= -1.5", -5),
+)
+
+
+def technical_score() -> Column:
+    return bounded(50 + rule_sum(TECHNICAL_RULES), 0, 100)
+
+
+def aggressive_quality(cls: Column) -> Column:
+    return first_match((cls == "AGGRESSIVE_BUY", bounded(rule_sum(QUALITY_BUY), 0, 100)), (cls == "AGGRESSIVE_SELL", bounded(rule_sum(QUALITY_SELL), 0, 100)), default=None)
+
+
+def reaction_score() -> Column:
+    """Strength of a rebound: growth of RSI and histogram, volume, close position, move, reward."""
+    part = lambda c, cap: F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), c))
+    c, rr = F.col("change_pct"), F.col("rr")
+    return (part((F.col("rsi") - F.col("prev_rsi")) * 4, 25) + part((F.col("macd_hist") - F.col("prev_hist")) * 20, 20) + part(F.col("volume_ratio_incl") / 10, 20)
+            + part(F.col("close_position") / 5, 20)
+            + first_match(((c >= 0) & (c <= 2), 15), ((c > 2) & (c <= 3), 10), ((c > 3) & (c <= 4), 0), (c > 4, -10), default=3)
+            + F.when(rr >= 2, F.least(F.lit(5.0), rr)).otherwise(0.0))
+
+
+def strong_reaction() -> Column:
+    return ((F.col("rsi") - F.col("prev_rsi") >= 0.5) & (F.col("macd_hist") > F.col("prev_hist")) & (F.col("volume_ratio_incl") >= 90) & (F.col("close_position") >= 50))
+
+
+def intraday_exclusion() -> Column:
+    return first_match((F.col("from_open") <= -7, "HARD_FALL"), (F.col("from_open") >= 9.5, "HARD_RISE"), default=None)
+
+
+def intraday_score(breakout: Column, volume_breakout: Column) -> Column:
+    extra = first_match((volume_breakout, 15), (breakout, 6), default=0)
+    return F.when(intraday_exclusion().isNull(), bounded(rule_sum(INTRADAY_RULES) + extra, 0, 100))

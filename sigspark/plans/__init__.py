@@ -18,6 +18,7 @@ MODULES = (
     "streams",
     "learning",
     "more",
+    "scores2",
 )
 
 for _m in MODULES:
