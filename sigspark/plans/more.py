@@ -67,7 +67,7 @@ def dyn(s, d):
     return x.withColumns(lv.dynamic_levels(F.col("close"), F.col("atr14"), F.col("support20"), F.col("resistance20"), F.col("effect")))
 
 
-query("dynamic_levels", k.cols(DL, "symbol", "session_no", "effect", "zone_low", "zone_high", "stop", "target"), f="effect zone_low zone_high stop target", digits=10)(
+query("dynamic_levels", k.cols(DL, "symbol", "session_no", "effect", "zone_low", "zone_high", "stop", "target"), f="effect zone_low zone_high stop target", digits=9)(
     lambda s, d: dyn(s, d).select("symbol", "session_no", "effect", "zone_low", "zone_high", "stop", "target"))
 _fs = "greatest(0,least(95,60+greatest(-20,least(20,nd*conf/100*1.2+confirmation*1.3))))"
 query("news_pipeline", f"SELECT symbol, session_no, fs AS final, CASE WHEN fs>=82 AND nd>=-2 AND confirmation>=-1 THEN 'STRONG_BUY' WHEN fs>=70 AND nd>=-4 THEN 'BUY' WHEN fs<=35 OR nd<=-8 THEN 'SELL' WHEN fs<=50 OR nd<=-5 THEN 'RISKY_WATCH' ELSE 'WATCH' END AS decision, target, stop FROM (SELECT *, {_fs} AS fs FROM (SELECT *, news*pow(0.5,(session_no%60)/180.0) AS nd FROM ({DL}) AS a) AS b) AS c", f="final target stop")(
