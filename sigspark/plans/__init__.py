@@ -19,6 +19,7 @@ MODULES = (
     "learning",
     "more",
     "scores2",
+    "evidence",
 )
 
 for _m in MODULES:
