@@ -20,6 +20,7 @@ MODULES = (
     "more",
     "scores2",
     "evidence",
+    "decision",
 )
 
 for _m in MODULES:
