@@ -107,7 +107,7 @@ def weighted_available(parts: dict[str, tuple[Column, float]]) -> Column:
     return F.when(den > 0, num / den)
 
 
-def canonical_symbol(x: ColumnLike, prefix: str = "BIST:", suffix: str = ".IS") -> Column:
+def canonical_symbol(x: ColumnLike, prefix: str = "EX:", suffix: str = ".IS") -> Column:
     """Trimmed upper-case ticker without exchange marks; NULL unless 2-12 of A-Z0-9."""
     s = F.upper(F.trim(col(x)))
     s = F.when(s.startswith(prefix), F.substring(s, len(prefix) + 1, 64)).otherwise(s)
