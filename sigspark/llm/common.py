@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,23 @@ def text_slices(batches, names: tuple[str, ...], text: str = "text", most: int =
             size += n
         if start < len(lengths):
             yield [c.slice(start) for c in plain], texts.slice(start).to_pylist()
+
+
+def whole_runs(batches, keys: tuple[str, ...], least: int = 1 << 16):
+    """Join Arrow batches of rows sorted by ``keys`` into tables that never cut a run of equal keys."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = np.logical_and.reduce([(c := table.column(k).to_numpy()) == c[-1] for k in keys])
+        turn = int(np.argmax(last))
+        if turn:
+            yield table.slice(0, turn)
+            held, rows = table.slice(turn).to_batches(), rows - turn
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
