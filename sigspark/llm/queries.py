@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language, secrets, simhash
+from sigspark.llm import language, quality_rules, secrets, simhash
 from sigspark.llm.common import documents, id_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and confirmed secret spans of every document."""
     return secrets.scan(documents(spark, sf_dir))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and the current policy's verdict of every document."""
+    book = quality_rules.ledger(documents(spark, sf_dir))
+    base = F.col("failed").bitwiseAND(F.lit(quality_rules.Policy("base", quality_rules.BASE).mask)) != 0
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & quality_rules.verdict(quality_rules.CURRENT)).alias("kept"), "failed"
+    )
+
+
+ORACLES["op5_quality_rules"] = quality_rules.ORACLE
