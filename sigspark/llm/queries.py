@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language, packing, quality_rules, secrets, simhash
+from sigspark.llm import language, packing, quality_rules, secrets, sharding, simhash
 from sigspark.llm.common import documents, id_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,10 @@ ORACLES["op5_quality_rules"] = quality_rules.ORACLE
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2048 tokens."""
     return packing.packed(documents(spark, sf_dir))
+
+
+@query
+def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the ``bytes`` law."""
+    found = sharding.assigned(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
