@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language, packing, quality_rules, secrets, sharding, simhash
+from sigspark.llm import language, line_crf, packing, quality_rules, secrets, sharding, simhash, suffix_dedup
 from sigspark.llm.common import documents, id_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,20 @@ def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under the ``bytes`` law."""
     found = sharding.assigned(documents(spark, sf_dir))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 200-byte strings that occur twice or more, removed from every document."""
+    found = suffix_dedup.deduplicated(documents(spark, sf_dir))
+    removed = F.aggregate(F.zip_with("span_starts", "span_ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its lines, learned from the training fold's labels."""
+    docs = documents(spark, sf_dir)
+    model = line_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = line_crf.graded(docs, model)
+    return found.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= line_crf.THRESHOLD, 1).otherwise(0).alias("predicted"))
