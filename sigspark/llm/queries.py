@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language, line_crf, packing, quality_rules, secrets, sharding, simhash, suffix_dedup
+from sigspark.llm import decontamination, language, line_crf, packing, quality_rules, secrets, sharding, simhash, suffix_dedup
 from sigspark.llm.common import documents, id_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = line_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = line_crf.graded(docs, model)
     return found.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= line_crf.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, with the item and the overlap."""
+    return decontamination.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
