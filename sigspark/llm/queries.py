@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import decontamination, language, line_crf, packing, quality_rules, secrets, sharding, simhash, suffix_dedup
+from sigspark.llm import decontamination, language, licenses, line_crf, packing, quality_rules, secrets, sharding, simhash, suffix_dedup
 from sigspark.llm.common import documents, id_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, with the item and the overlap."""
     return decontamination.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and grants in every document, with their coverage."""
+    return licenses.scan(documents(spark, sf_dir))
