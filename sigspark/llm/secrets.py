@@ -185,18 +185,20 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with every span replaced in the text; a null text stays null."""
+def redact(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """The same rows and columns with every span replaced in the text; a null text stays null.
+    The ``length`` column, if named, gets the new number of code points of changed rows."""
     names = docs.columns
 
     def work(batches):
         for own, texts in text_slices(batches, tuple(names)):
-            clean = []
-            for text in texts:
-                spans = base_spans(text or "") + confirmed_spans(text or "")
-                clean.append(redacted(text, spans) if spans else text)
-            own = list(own)
+            own, found = list(own), [base_spans(t or "") + confirmed_spans(t or "") for t in texts]
+            clean = [redacted(t, spans) if spans else t for t, spans in zip(texts, found, strict=True)]
             own[names.index("text")] = pa.array(clean, own[names.index("text")].type)
+            if length:
+                at = names.index(length)
+                sizes = [len(t) if spans else n for t, spans, n in zip(clean, found, own[at].to_pylist(), strict=True)]
+                own[at] = pa.array(sizes, own[at].type)
             yield pa.RecordBatch.from_arrays(own, names=names)
 
     return docs.mapInArrow(work, docs.schema)
