@@ -14,34 +14,34 @@ from sigspark.plans.registry import fragment, query
 from sigspark.sources import fixtures as fx
 
 T = "strftime({}, '%Y-%m-%d %H:%M:%S')"
-query("scan_daily_bars", "SELECT symbol, sector, CAST(session AS VARCHAR) AS session, open, high, low, close, volume, session_no FROM bars WHERE session>=DATE '1998-01-01'", f="open high low close volume")(
-    lambda s, d: fx.weekly_bars(s, d).filter("session >= DATE'1998-01-01'").select("symbol", "sector", "session", "open", "high", "low", "close", "volume", "session_no"))
+query("scan_daily_bars", "SELECT symbol, sector, CAST(session AS VARCHAR) AS session, open, high, low, close, volume, session_no FROM bars", f="open high low close volume")(
+    lambda s, d: fx.weekly_bars(s, d).select("symbol", "sector", "session", "open", "high", "low", "close", "volume", "session_no"))
 query("scan_intraday_bars", f"SELECT symbol, {T.format('bar_start')} AS bar_start, open, high, low, close, volume, slot FROM hours", f="open high low close volume")(
     lambda s, d: fx.hourly_bars(s, d).select("symbol", "bar_start", "open", "high", "low", "close", "volume", "slot"))
 query("scan_quotes", f"SELECT event_type AS symbol, event_id AS quote_id, value AS price, {T.format('ts')} AS event_time FROM events WHERE value>0 AND ts<=TIMESTAMP '2024-01-20 00:00:00'", f="price")(
     lambda s, d: fx.quotes(s, d).filter("price > 0 AND event_time <= TIMESTAMP'2024-01-20 00:00:00'").select("symbol", "quote_id", "price", "event_time"))
 
 
-def calendar(s, start, end, holidays=("01-01", "05-01", "12-25")):
-    """Weekday sessions between two dates without fixed holidays, numbered from 1.
+def calendar(bounds, holidays=("01-01", "05-01", "12-25")):
+    """Weekday sessions from ``lo`` to ``hi`` of a one-row frame, without fixed holidays, numbered from 1.
 
     One row per calendar day: the window over it is bounded by the date range.
     """
-    days = s.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("session"))
+    days = bounds.select(F.explode(F.sequence("lo", "hi")).alias("session"))
     days = days.filter((F.weekday("session") < 5) & ~F.date_format("session", "MM-dd").isin(*holidays))
     at = F.col("session").cast("timestamp")
     return days.select("session", F.row_number().over(W.orderBy("session")).alias("session_no"),
                        (at + F.expr("INTERVAL '18:10' HOUR TO MINUTE")).alias("data_ready_at"), (at + F.expr("INTERVAL '18:15' HOUR TO MINUTE")).alias("close_at"))
 
 
-CAL = "SELECT d AS session, row_number() OVER (ORDER BY d) AS session_no FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS d) AS q WHERE isodow(d)<6 AND strftime(d,'%m-%d') NOT IN ('01-01','05-01','12-25')"
+CAL = "SELECT d AS session, row_number() OVER (ORDER BY d) AS session_no FROM (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS d FROM (SELECT min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders) AS b) AS q WHERE isodow(d)<6 AND strftime(d,'%m-%d') NOT IN ('01-01','05-01','12-25')"
 fragment("cal", CAL)
 query("dim_calendar", f"SELECT CAST(c.session AS VARCHAR) AS session, c.session_no, {T.format('c.session + INTERVAL 1090 MINUTE')} AS data_ready_at, {T.format('c.session + INTERVAL 1095 MINUTE')} AS close_at, count(o.o_orderkey) AS orders FROM cal c LEFT JOIN orders o ON CAST(o.o_orderdate AS DATE)=c.session GROUP BY c.session, c.session_no")(
-    lambda s, d: calendar(s, "1995-01-01", "2001-12-31").join(fx.table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("session")).agg(F.count(F.lit(1)).alias("n")), "session", "left")
+    lambda s, d: calendar(fx.table(s, d, "orders").agg(F.min("o_orderdate").cast("date").alias("lo"), F.max("o_orderdate").cast("date").alias("hi"))).join(fx.table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("session")).agg(F.count(F.lit(1)).alias("n")), "session", "left")
     .select("session", "session_no", "data_ready_at", "close_at", F.coalesce("n", F.lit(0)).alias("orders")))
 query("dim_universe", "SELECT c_custkey, CASE WHEN regexp_full_match(u,'[A-Z0-9]{2,12}') THEN u END AS symbol FROM (SELECT c_custkey, regexp_replace(upper(trim(' '||substr(c_mktsegment,1,1+c_custkey%12)||CASE WHEN c_custkey%3=0 THEN '.is' ELSE '' END)),'\\.IS$','') AS u FROM customer) AS q")(
     lambda s, d: fx.table(s, d, "customer").select("c_custkey", canonical_symbol(F.concat(F.lit(" "), F.expr("substr(c_mktsegment, 1, cast(1 + c_custkey % 12 as int))"), F.when(F.col("c_custkey") % 3 == 0, ".is").otherwise(""))).alias("symbol")))
-query("dim_sector_map", "SELECT symbol, sector FROM symdim WHERE contains(lower(sector),'a')")(lambda s, d: fx.symbol_dim(s, d).filter(F.lower("sector").contains("a")))
+query("dim_sector_map", "SELECT symbol, sector FROM symdim")(lambda s, d: fx.symbol_dim(s, d))
 query("closed_bars", f"SELECT symbol, {T.format('bar_start')} AS bar_start, close FROM hours WHERE bar_start+INTERVAL 1 HOUR<=TIMESTAMP '2024-01-15 12:30:00'", f="close")(
     lambda s, d: br.closed_bars(fx.hourly_bars(s, d), F.lit("2024-01-15 12:30:00").cast("timestamp"), "bar_start", "1 HOUR").select("symbol", "bar_start", "close"))
 
@@ -133,11 +133,11 @@ query("pending_outcomes", "SELECT p.signal_id, h.horizon FROM preds p CROSS JOIN
     .join(labelled(s, d).filter("completed").select("signal_id", "horizon"), ["signal_id", "horizon"], "left_anti"))
 query("intersect_cohorts", "SELECT signal_id FROM ex WHERE reason IS NULL GROUP BY signal_id HAVING count(*)=6")(
     lambda s, d: examples(s, d).filter("reason IS NULL").groupBy("signal_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 6").select("signal_id"))
-query("same_cohort_horizons", "WITH c AS (SELECT signal_id, sector, session_no, count(*) FILTER (WHERE reason IS NULL)=3 AS whole FROM ex WHERE horizon<=5 GROUP BY signal_id, sector, session_no) SELECT signal_id FROM c WHERE whole AND (sector, session_no) IN (SELECT sector, session_no FROM c GROUP BY sector, session_no HAVING bool_and(whole))")(lambda s, d: _cohort(s, d))
+query("same_cohort_horizons", "WITH c AS (SELECT signal_id, sector, session_no, count(*) FILTER (WHERE reason IS NULL)=6 AS whole FROM ex GROUP BY signal_id, sector, session_no) SELECT signal_id FROM c WHERE whole AND (sector, session_no) IN (SELECT sector, session_no FROM c GROUP BY sector, session_no HAVING bool_and(whole))")(lambda s, d: _cohort(s, d))
 
 
 def _cohort(s, d):
-    c = examples(s, d).filter("horizon <= 5").groupBy("signal_id", "sector", "session_no").agg((st.count_if(F.col("reason").isNull()) == 3).alias("whole"))
+    c = examples(s, d).groupBy("signal_id", "sector", "session_no").agg((st.count_if(F.col("reason").isNull()) == 6).alias("whole"))
     days = c.groupBy("sector", "session_no").agg(F.bool_and("whole").alias("w")).filter("w").select("sector", "session_no")
     return c.filter("whole").join(days, ["sector", "session_no"], "left_semi").select("signal_id")
 
@@ -184,7 +184,7 @@ query("rank_changes", """
 query("capture_metrics", """
  WITH e AS (SELECT * FROM ex WHERE reason IS NULL AND horizon=1), w AS (SELECT count(*) AS n, count(*) FILTER (WHERE return_pct>=2) AS winners FROM e)
  SELECT k.size, count(*) FILTER (WHERE rank<=k.size) AS selected, count(*) FILTER (WHERE rank<=k.size AND return_pct>=2) AS hits, count(*) FILTER (WHERE rank<=k.size AND return_pct>=2)::DOUBLE/winners AS recall, count(*) FILTER (WHERE rank<=k.size AND return_pct>=2)::DOUBLE/count(*) FILTER (WHERE rank<=k.size) AS precision,
-  (count(*) FILTER (WHERE rank<=k.size)-count(*) FILTER (WHERE rank<=k.size AND return_pct>=2))::DOUBLE/(n-winners) AS fp_rate FROM e CROSS JOIN w CROSS JOIN (SELECT unnest([3,10,20]) AS size) k GROUP BY k.size, winners, n""", f="recall precision fp_rate")(lambda s, d: _capture(s, d))
+  (count(*) FILTER (WHERE rank<=k.size)-count(*) FILTER (WHERE rank<=k.size AND return_pct>=2))::DOUBLE/(n-winners) AS fp_rate FROM e CROSS JOIN w CROSS JOIN (SELECT unnest([10,30,50]) AS size) k GROUP BY k.size, winners, n""", f="recall precision fp_rate")(lambda s, d: _capture(s, d))
 
 
 def _capture(s, d):
@@ -192,14 +192,14 @@ def _capture(s, d):
     win = F.col("return_pct") >= 2
     per = e.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), st.count_if(win).alias("w"))
     tot = per.agg(F.sum("n").alias("_n"), F.sum("w").alias("_w"))
-    x = per.crossJoin(tot).withColumn("size", F.explode(F.array(F.lit(3), F.lit(10), F.lit(20)))).filter("rank <= size").groupBy("size", "_n", "_w").agg(F.sum("n").alias("selected"), F.sum("w").alias("hits"))
+    x = per.crossJoin(tot).withColumn("size", F.explode(F.array(F.lit(10), F.lit(30), F.lit(50)))).filter("rank <= size").groupBy("size", "_n", "_w").agg(F.sum("n").alias("selected"), F.sum("w").alias("hits"))
     return x.select("size", "selected", "hits", (F.col("hits") / F.col("_w")).alias("recall"), (F.col("hits") / F.col("selected")).alias("precision"), ((F.col("selected") - F.col("hits")) / (F.col("_n") - F.col("_w"))).alias("fp_rate"))
 
 
 query("continuation_label", "SELECT signal_id, CASE WHEN return_pct>0.1 THEN 'CONTINUED' WHEN return_pct<-0.1 THEN 'FAILED_CONTINUATION' ELSE 'NEUTRAL' END AS label FROM ex WHERE horizon=1 AND completed")(
     lambda s, d: examples(s, d).filter("horizon = 1 AND completed").select("signal_id", first_match((F.col("return_pct") > 0.1, "CONTINUED"), (F.col("return_pct") < -0.1, "FAILED_CONTINUATION"), default="NEUTRAL").alias("label")))
-query("forward_prices_by_row", "SELECT symbol, session_no, lead(close,1) OVER w AS p1, lead(close,3) OVER w AS p3, lead(close,5) OVER w AS p5, lead(close,20) OVER w AS p20 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY session_no)", f="p1 p3 p5 p20")(
-    lambda s, d: fx.weekly_bars(s, d).select("symbol", "session_no", *[F.lead("close", h).over(W.partitionBy("symbol").orderBy("session_no")).alias(f"p{h}") for h in (1, 3, 5, 20)]))
+query("forward_prices_by_row", "SELECT symbol, session_no, lead(close,1) OVER w AS p1, lead(close,3) OVER w AS p3, lead(close,5) OVER w AS p5, lead(close,10) OVER w AS p10, lead(close,20) OVER w AS p20, lead(close,60) OVER w AS p60 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY session_no)", f="p1 p3 p5 p10 p20 p60")(
+    lambda s, d: fx.weekly_bars(s, d).select("symbol", "session_no", *[F.lead("close", h).over(W.partitionBy("symbol").orderBy("session_no")).alias(f"p{h}") for h in (1, 3, 5, 10, 20, 60)]))
 query("num_or_null", "SELECT event_id, TRY_CAST(CASE event_id%4 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN 'abc' WHEN 2 THEN '12.5' ELSE NULL END AS DOUBLE) AS num FROM events", f="num")(
     lambda s, d: fx.table(s, d, "events").select("event_id", num_or_null(F.expr("CASE CAST(event_id % 4 AS INT) WHEN 0 THEN CAST(value AS STRING) WHEN 1 THEN 'abc' WHEN 2 THEN '12.5' END")).alias("num")))
 query("minutes_between", "SELECT event_id, CASE WHEN ts<=TIMESTAMP '2024-01-15' THEN epoch_us(TIMESTAMP '2024-01-15')/60e6-epoch_us(ts)/60e6 END AS age FROM events", f="age", digits=4)(

@@ -218,13 +218,13 @@ query("sector_ranking", """
         F.round("sector_confidence", 9).desc(), "sector"))).select("session_no", "sector", "rs_score", "sector_state", "rank"))
 
 query("sector_leaders_laggards", """
- SELECT session_no, sector, symbol, stock_score, CASE WHEN a<=2 THEN 'LEADER' ELSE 'LAGGARD' END AS side FROM (SELECT *,
+ SELECT session_no, sector, symbol, stock_score, unnest(list_filter([CASE WHEN a<=5 THEN 'LEADER' END, CASE WHEN z<=5 THEN 'LAGGARD' END], lambda x: x IS NOT NULL)) AS side FROM (SELECT *,
    row_number() OVER (PARTITION BY session_no, sector ORDER BY round(stock_score,9) DESC, symbol) AS a, row_number() OVER (PARTITION BY session_no, sector ORDER BY round(stock_score,9), symbol) AS z
-   FROM svs WHERE stock_score IS NOT NULL) AS q WHERE a<=2 OR z<=2""", f="stock_score")(
+   FROM svs WHERE stock_score IS NOT NULL) AS q WHERE a<=5 OR z<=5""", f="stock_score")(
     lambda s, d: vs_sector(s, d).filter("stock_score IS NOT NULL").withColumns({
         "a": F.row_number().over(W.partitionBy("session_no", "sector").orderBy(F.round("stock_score", 9).desc(), "symbol")),
         "z": F.row_number().over(W.partitionBy("session_no", "sector").orderBy(F.round("stock_score", 9), "symbol"))})
-    .filter("a <= 2 OR z <= 2").select("session_no", "sector", "symbol", "stock_score", F.when(F.col("a") <= 2, "LEADER").otherwise("LAGGARD").alias("side")))
+    .select("session_no", "sector", "symbol", "stock_score", F.explode(F.array_compact(F.array(F.when(F.col("a") <= 5, "LEADER"), F.when(F.col("z") <= 5, "LAGGARD")))).alias("side")))
 
 query("join_sector", "SELECT b.symbol, CAST(b.session AS VARCHAR) AS session, coalesce(d.sector,'UNKNOWN') AS sector, close FROM bars b LEFT JOIN (SELECT * FROM symdim WHERE symbol<>'N07') d ON b.symbol=d.symbol", f="close")(
     lambda s, d: fx.weekly_bars(s, d).drop("sector").join(fx.symbol_dim(s, d).filter("symbol <> 'N07'"), "symbol", "left").select(

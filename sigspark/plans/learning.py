@@ -51,8 +51,8 @@ query("nine_vote_signal", f"""
  s AS (SELECT *, CASE WHEN buy>sell THEN 'BUY' WHEN sell>buy THEN 'SELL' ELSE 'WATCH' END AS side FROM c),
  f AS (SELECT *, len(list_distinct(list_filter(list_transform(range(1,10), lambda i: CASE WHEN vs[i]=side THEN fs[i] END), lambda x: x IS NOT NULL))) AS families, coalesce(least(40,greatest(0,abs(close-vwap)/atr14-3)*10),0)*CASE WHEN vwap IS NULL OR atr14 IS NULL THEN 0 ELSE 1 END AS penalty FROM s),
  g AS (SELECT *, greatest(buy,sell) AS votes, greatest(0,100*((9-missing)/9.0::DOUBLE)*(greatest(buy,sell)/9.0::DOUBLE)*(1-least(buy,sell)/9.0::DOUBLE)-penalty) AS vote_confidence FROM f)
- SELECT symbol, session_no AS bar_no, buy, sell, missing, side, votes, families, vote_confidence, CASE WHEN votes>=5 AND families>=3 AND vote_confidence>=30 THEN side ELSE 'WATCH' END AS signal FROM g""", f="vote_confidence")(
-    lambda s, d: iy.nine_votes(hourly_wide(s, d), 5, 3, 30).select("symbol", F.col("session_no").alias("bar_no"), "buy", "sell", "missing", "side", "votes", "families", "vote_confidence", "signal"))
+ SELECT symbol, session_no AS bar_no, buy, sell, missing, side, votes, families, vote_confidence, CASE WHEN votes>=6 AND families>=3 AND vote_confidence>=60 THEN side ELSE 'WATCH' END AS signal FROM g""", f="vote_confidence")(
+    lambda s, d: iy.nine_votes(hourly_wide(s, d), 6, 3, 60).select("symbol", F.col("session_no").alias("bar_no"), "buy", "sell", "missing", "side", "votes", "families", "vote_confidence", "signal"))
 
 fragment("isig", "SELECT symbol||'-'||CAST(bar_no AS VARCHAR) AS signal_id, h.symbol, h.day, h.slot, h.bar_no, h.close AS price, s.signal AS decision, s.score, CASE s.signal WHEN 'BUY' THEN h.close*1.5 ELSE h.close*0.6 END AS target, CASE s.signal WHEN 'BUY' THEN h.close*0.7 ELSE h.close*1.4 END AS stop FROM hours h JOIN (SELECT symbol AS sy, slot AS sl, day AS dy, signal, score FROM hsig) s ON h.symbol=s.sy AND h.slot=s.sl AND h.day=s.dy WHERE s.signal<>'WATCH'")
 fragment("iout", """
@@ -98,18 +98,31 @@ query("intraday_daily_summary", "SELECT CAST(day AS VARCHAR) AS day, horizon, co
 query("record_status", "SELECT signal_id, CASE WHEN bool_or(touch='TARGET') AND NOT bool_or(touch='STOP') THEN 'TARGET' WHEN bool_or(touch='STOP') THEN 'STOP' WHEN bool_or(horizon='SESSION' AND completed) THEN 'ENDED' ELSE 'OPEN' END AS status FROM ires GROUP BY signal_id")(
     lambda s, d: intraday_outcomes(s, d).groupBy("signal_id").agg(F.max(F.when(F.col("touch") == "TARGET", 1)).alias("t"), F.max(F.when(F.col("touch") == "STOP", 1)).alias("x"), F.max(F.when((F.col("horizon") == "SESSION") & F.col("completed"), 1)).alias("e"))
     .select("signal_id", first_match(((F.col("t") == 1) & F.col("x").isNull(), "TARGET"), (F.col("x") == 1, "STOP"), (F.col("e") == 1, "ENDED"), default="OPEN").alias("status")))
-query("attention_candidates", "SELECT symbol, bar_no, rank FROM (SELECT symbol, session_no AS bar_no, row_number() OVER (PARTITION BY session_no ORDER BY round(abs(momentum3),9) DESC, symbol) AS rank FROM hind WHERE momentum3 IS NOT NULL) AS q WHERE rank<=3")(
-    lambda s, d: sc.top_k(hourly_wide(s, d).filter("momentum3 IS NOT NULL").select("symbol", F.col("session_no").alias("bar_no"), "momentum3"), 3, F.round(F.abs("momentum3"), 9).desc(), F.col("symbol"), group=("bar_no",)).select("symbol", "bar_no", "rank"))
+query("attention_candidates", "SELECT symbol, bar_no, rank FROM (SELECT symbol, session_no AS bar_no, row_number() OVER (PARTITION BY session_no ORDER BY round(abs(momentum3),9) DESC, symbol) AS rank FROM hind WHERE momentum3 IS NOT NULL) AS q WHERE rank<=30")(
+    lambda s, d: sc.top_k(hourly_wide(s, d).filter("momentum3 IS NOT NULL").select("symbol", F.col("session_no").alias("bar_no"), "momentum3"), 30, F.round(F.abs("momentum3"), 9).desc(), F.col("symbol"), group=("bar_no",)).select("symbol", "bar_no", "rank"))
 
 # --- learning ------------------------------------------------------------------------------
+fragment("trainend", "SELECT CAST(floor(min(session_no)+(max(session_no)-min(session_no))*0.4) AS BIGINT) AS training_end FROM bars")
+
+
+def training_end(s, d, share=0.4):
+    """One row: the session that ends the models' training, at a share of the recorded range."""
+    lo, hi = F.min("session_no"), F.max("session_no")
+    return fx.weekly_bars(s, d).agg(F.floor(lo + (hi - lo) * share).cast("long").alias("training_end"))
+
+
+def _after(s, d, rows, when):
+    return rows.crossJoin(training_end(s, d)).filter(when)
+
+
 _mk = lambda a: "+".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE {1 << i} END" for i, f in enumerate(FLAGS))
 _mv = "+".join(f"CASE WHEN {f} THEN {1 << i} ELSE 0 END" for i, f in enumerate(FLAGS))
 query("similar_history", f"""
- WITH h AS (SELECT regime, {_mk(0)} AS hk, {_mv} AS hv, count(*) AS n, count(*) FILTER (WHERE status='SUCCESS') AS s, sum(directional_return) AS r FROM okx WHERE horizon=1 AND due_no<470 GROUP BY ALL),
- q AS (SELECT signal_id, regime, {_mk(0)} AS qk, {_mv} AS qv FROM preds WHERE session_no>=470)
+ WITH h AS (SELECT regime, {_mk(0)} AS hk, {_mv} AS hv, count(*) AS n, count(*) FILTER (WHERE status='SUCCESS') AS s, sum(directional_return) AS r FROM okx WHERE horizon=1 AND due_no<(SELECT training_end FROM trainend) GROUP BY ALL),
+ q AS (SELECT signal_id, regime, {_mk(0)} AS qk, {_mv} AS qv FROM preds WHERE session_no>=(SELECT training_end FROM trainend))
  SELECT q.signal_id, m.sample, m.probability, m.mean_return FROM q LEFT JOIN (SELECT p.regime, qk, qv, sum(n)::BIGINT AS sample, (sum(s)+1)*100.0::DOUBLE/(sum(n)+2) AS probability, sum(r)/sum(n) AS mean_return FROM (SELECT DISTINCT regime, qk, qv FROM q) p JOIN h ON p.regime=h.regime AND bit_count(hk & qk)>=5 AND bit_count(hk & qk)-bit_count((hk & qk) & xor(hv,qv))>=0.7*bit_count(hk & qk) GROUP BY p.regime, qk, qv) m
  ON q.regime=m.regime AND q.qk=m.qk AND q.qv=m.qv""", f="probability mean_return")(
-    lambda s, d: ln.similar_history(predictions(s, d).filter("session_no >= 470").select("signal_id", "regime", *FLAGS), ok(s, d).filter("horizon = 1 AND due_no < 470"), list(FLAGS), ["regime"]).select("signal_id", "sample", "probability", "mean_return"))
+    lambda s, d: ln.similar_history(_after(s, d, predictions(s, d), "session_no >= training_end").select("signal_id", "regime", *FLAGS), _after(s, d, ok(s, d), "horizon = 1 AND due_no < training_end"), list(FLAGS), ["regime"]).select("signal_id", "sample", "probability", "mean_return"))
 query("calibrated_score", f"""
  WITH a AS (SELECT criterion, 1/6.0::DOUBLE+CASE direction WHEN 'UP' THEN 0.0025 WHEN 'DOWN' THEN -0.0025 ELSE 0 END AS weight FROM ({crit_sql('SELECT * FROM okl WHERE horizon=3', 'horizon')}) AS c WHERE enough AND direction<>'SAME'),
  x AS (SELECT p.signal_id, any_value(p.score) AS raw, any_value(p.rsi) AS rsi, coalesce(sum(CASE WHEN f.flag THEN (a.weight-1/6.0::DOUBLE)*100 END),0) AS dl FROM preds p, (SELECT signal_id AS sid, unnest([{', '.join(repr(f) for f in FLAGS)}]) AS criterion, unnest([{', '.join(FLAGS)}]) AS flag FROM preds) f LEFT JOIN a ON a.criterion=f.criterion WHERE f.sid=p.signal_id AND p.score IS NOT NULL GROUP BY p.signal_id),
@@ -127,17 +140,17 @@ def _calibrated(s, d):
 
 query("bounded_weights")(lambda s, d: ln.bounded_weights(st.long_flags(ok(s, d).filter("horizon = 1"), list(FLAGS), ["sector", "status"]).filter("flag").groupBy("sector", "criterion")
     .agg((1 / 6 + 0.01 * (F.avg(F.when(F.col("status") == "SUCCESS", 1.0).otherwise(0.0)) - 0.5)).alias("weight")), "sector", 1 / 6))
-query("history_success", "SELECT symbol, regime, n, success_rate, CASE WHEN n>=30 THEN greatest(-5,least(5,(success_rate-0.5)*10)) ELSE 0 END AS effect FROM (SELECT symbol, regime, count(*) AS n, avg(CASE WHEN status='SUCCESS' THEN 1.0 ELSE 0 END) AS success_rate FROM okx WHERE horizon=5 GROUP BY symbol, regime) AS q", f="success_rate effect")(
-    lambda s, d: ok(s, d).filter("horizon = 5").groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("status") == "SUCCESS", 1.0).otherwise(0.0)).alias("success_rate"))
+query("history_success", "SELECT symbol, regime, horizon, n, success_rate, CASE WHEN n>=30 THEN greatest(-5,least(5,(success_rate-0.5)*10)) ELSE 0 END AS effect FROM (SELECT symbol, regime, horizon, count(*) AS n, avg(CASE WHEN status='SUCCESS' THEN 1.0 ELSE 0 END) AS success_rate FROM okx GROUP BY symbol, regime, horizon) AS q", f="success_rate effect")(
+    lambda s, d: ok(s, d).groupBy("symbol", "regime", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("status") == "SUCCESS", 1.0).otherwise(0.0)).alias("success_rate"))
     .withColumn("effect", F.when(F.col("n") >= 30, F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col("success_rate") - 0.5) * 10))).otherwise(0.0)))
-_bh = k.evidence("SELECT * FROM okx WHERE horizon<=10", "sector, horizon")
+_bh = k.evidence("SELECT * FROM okx", "sector, horizon")
 query("best_horizon", f"WITH e AS ({_bh}), b AS (SELECT sector, arg_max(horizon,(success_rate,median,-horizon)) AS best, bool_and(sufficient) AS sufficient FROM e GROUP BY sector) SELECT b.sector, b.best AS best_horizon, b.sufficient, bool_and(e.horizon=b.best OR x.success_low>e.success_high) AS conclusive FROM b JOIN e ON b.sector=e.sector JOIN e x ON x.sector=b.sector AND x.horizon=b.best GROUP BY b.sector, b.best, b.sufficient")(lambda s, d: _best(s, d))
 
 
 def _best(s, d):
-    e = st.evidence_stats(ok(s, d).filter("horizon <= 10"), ["sector", "horizon"])
+    e = st.evidence_stats(ok(s, d), ["sector", "horizon"])
     top = F.max(F.struct("success_rate", "median", (-F.col("horizon")).alias("h"), "success_low"))
-    b = e.groupBy("sector").agg(top.alias("b"), F.bool_and("sufficient").alias("sufficient"), F.collect_list(F.struct("horizon", "success_high")).alias("all"))  # four horizons
+    b = e.groupBy("sector").agg(top.alias("b"), F.bool_and("sufficient").alias("sufficient"), F.collect_list(F.struct("horizon", "success_high")).alias("all"))  # six horizons
     clear = F.forall("all", lambda x: (x["horizon"] == -F.col("b.h")) | (F.col("b.success_low") > x["success_high"]))
     return b.select("sector", (-F.col("b.h")).alias("best_horizon"), "sufficient", clear.alias("conclusive"))
 
@@ -146,8 +159,8 @@ query("missed_winners", "SELECT signal_id, rank, return_pct FROM ex WHERE horizo
     lambda s, d: examples(s, d).filter("horizon = 1 AND reason IS NULL AND return_pct >= 2 AND rank > 10").select("signal_id", "rank", "return_pct"))
 query("continuation_report", f"SELECT bucket, sample, success_rate, median, sufficient FROM ({k.evidence("SELECT *, CASE WHEN rank<=5 THEN '1-5' WHEN rank<=10 THEN '6-10' WHEN rank<=20 THEN '11-20' ELSE '21-30' END AS bucket FROM okx WHERE horizon=1", 'bucket')}) AS q", f="success_rate median")(
     lambda s, d: st.evidence_stats(ok(s, d).filter("horizon = 1").withColumn("bucket", first_match((F.col("rank") <= 5, "1-5"), (F.col("rank") <= 10, "6-10"), (F.col("rank") <= 20, "11-20"), default="21-30")), ["bucket"]).select("bucket", "sample", "success_rate", "median", "sufficient"))
-query("shadow_vs_main", "SELECT horizon, CASE WHEN model='TOMORROW_SHADOW' THEN 'SHADOW' ELSE 'MAIN' END AS cohort, count(*) AS n, avg(directional_return) AS mean_return FROM ex WHERE completed AND due_no>470 AND session_no>=470 GROUP BY 1,2", f="mean_return")(
-    lambda s, d: examples(s, d).filter("completed AND due_no > 470 AND session_no >= 470").groupBy("horizon", F.when(F.col("model") == "TOMORROW_SHADOW", "SHADOW").otherwise("MAIN").alias("cohort")).agg(F.count(F.lit(1)).alias("n"), F.avg("directional_return").alias("mean_return")))
+query("shadow_vs_main", "SELECT horizon, CASE WHEN model='TOMORROW_SHADOW' THEN 'SHADOW' ELSE 'MAIN' END AS cohort, count(*) AS n, avg(directional_return) AS mean_return FROM ex CROSS JOIN trainend WHERE completed AND due_no>training_end AND session_no>=training_end GROUP BY 1,2", f="mean_return")(
+    lambda s, d: _after(s, d, examples(s, d), "completed AND due_no > training_end AND session_no >= training_end").groupBy("horizon", F.when(F.col("model") == "TOMORROW_SHADOW", "SHADOW").otherwise("MAIN").alias("cohort")).agg(F.count(F.lit(1)).alias("n"), F.avg("directional_return").alias("mean_return")))
 query("news_type_performance", "SELECT regime AS news_kind, horizon, count(*) AS n, avg(CASE WHEN status='SUCCESS' THEN 1.0 ELSE 0 END) AS success_rate FROM okx WHERE model='NEWS' GROUP BY regime, horizon", f="success_rate")(
     lambda s, d: ok(s, d).filter("model = 'NEWS'").groupBy(F.col("regime").alias("news_kind"), "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("status") == "SUCCESS", 1.0).otherwise(0.0)).alias("success_rate")))
 

@@ -120,8 +120,8 @@ query("read_time_degrade", "SELECT session_no, regime, CASE WHEN last_no-session
     lambda s, d: measurement(s, d).crossJoin(last_session(fx.weekly_bars(s, d))).select("session_no", "regime", F.when(F.col("last_no") > F.col("session_no"), 0.0).otherwise(F.col("regime_confidence")).alias("confidence"), F.when(F.col("last_no") > F.col("session_no"), "STALE").otherwise("FRESH").alias("state")))
 
 # --- joins and tracking ---------------------------------------------------------------------
-query("live_tracking", "SELECT signal_id, now_pct, high_pct, low_pct, CASE WHEN target_hit THEN true WHEN NOT completed THEN NULL ELSE target_hit END AS target_touched FROM (SELECT signal_id, completed, target_hit, return_pct AS now_pct, max_rise AS high_pct, max_drop AS low_pct FROM outc WHERE horizon=5) AS q", f="now_pct high_pct low_pct")(
-    lambda s, d: labelled(s, d).filter("horizon = 5").select("signal_id", F.col("return_pct").alias("now_pct"), F.col("max_rise").alias("high_pct"), F.col("max_drop").alias("low_pct"), F.when(F.col("target_hit"), True).when(~F.col("completed"), None).otherwise(F.col("target_hit")).alias("target_touched")))
+query("live_tracking", "SELECT signal_id, horizon, now_pct, high_pct, low_pct, CASE WHEN target_hit THEN true WHEN NOT completed THEN NULL ELSE target_hit END AS target_touched FROM (SELECT signal_id, horizon, completed, target_hit, return_pct AS now_pct, max_rise AS high_pct, max_drop AS low_pct FROM outc) AS q", f="now_pct high_pct low_pct")(
+    lambda s, d: labelled(s, d).select("signal_id", "horizon", F.col("return_pct").alias("now_pct"), F.col("max_rise").alias("high_pct"), F.col("max_drop").alias("low_pct"), F.when(F.col("target_hit"), True).when(~F.col("completed"), None).otherwise(F.col("target_hit")).alias("target_touched")))
 query("latest_price_outcome", "WITH l AS (SELECT symbol, arg_max(close,session_no) AS last FROM bars GROUP BY symbol) SELECT signal_id, CASE WHEN decision='BUY' AND last>=target THEN 'SUCCESS' WHEN decision='BUY' AND last<=stop THEN 'STOP' WHEN decision='SELL' AND last<=target THEN 'SUCCESS' WHEN decision='SELL' AND last>=stop THEN 'STOP' ELSE 'OPEN' END AS result FROM preds p JOIN l ON p.symbol=l.symbol WHERE decision<>'HOLD'")(lambda s, d: _latest(s, d))
 
 
@@ -149,13 +149,13 @@ query("macro_lookup", "SELECT p.signal_id, coalesce(m.regime_score,0) AS macro_s
     .select("signal_id", F.coalesce("regime_score", F.lit(0.0)).alias("macro_score"), F.coalesce("rs_score", F.lit(0.0)).alias("sector_score")))
 query("backfill_list_flags", "WITH l AS (SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY score+CASE WHEN coalesce(f_trend,false) THEN 3 ELSE 0 END DESC, symbol) AS lrank FROM preds) SELECT signal_id, rank<=10 AS in_base, lrank<=10 AS in_learned, CASE WHEN lrank<=10 THEN lrank END AS list_rank FROM l")(
     lambda s, d: _lists(predictions(s, d)).select("signal_id", (F.col("rank") <= 10).alias("in_base"), (F.col("lrank") <= 10).alias("in_learned"), F.when(F.col("lrank") <= 10, F.col("lrank")).alias("list_rank")))
-query("asof_intraday_enrich", "WITH e AS (SELECT event_id, ts, value FROM events WHERE event_type='purchase' AND event_id%3=0), l AS (SELECT event_id, ts FROM events WHERE event_type='click') SELECT l.event_id, CASE WHEN epoch_us(l.ts)-epoch_us(e.ts)<=1200*1000000 THEN e.value END AS value FROM l ASOF LEFT JOIN e ON l.ts>=e.ts", f="value")(lambda s, d: _enrich(s, d))
+query("asof_intraday_enrich", "WITH e AS (SELECT event_id, ts, value FROM events WHERE event_type='purchase'), l AS (SELECT event_id, ts FROM events WHERE event_type='click') SELECT l.event_id, CASE WHEN epoch_us(l.ts)-epoch_us(e.ts)<=1200*1000000 THEN e.value END AS value FROM l ASOF LEFT JOIN e ON l.ts>=e.ts", f="value")(lambda s, d: _enrich(s, d))
 
 
 def _enrich(s, d):
     q = fx.quotes(s, d).withColumns({"event_time": F.col("event_time").cast("timestamp"), "k": F.lit("k")})
     left = q.filter("symbol = 'click'").select(F.col("quote_id").alias("event_id"), "event_time", "k")
-    right = q.filter("symbol = 'purchase' AND quote_id % 3 = 0").select("k", F.col("event_time").alias("known"), F.col("price").alias("value"))
+    right = q.filter("symbol = 'purchase'").select("k", F.col("event_time").alias("known"), F.col("price").alias("value"))
     return cx.asof_rows(left, right, ["k"], "event_time", "known", ["value"], 86400, 1200).select("event_id", "value")
 
 

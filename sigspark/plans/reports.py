@@ -161,19 +161,19 @@ def ev_report_sql(src, keys, crit="criterion", minimum=40, days=5):
 ER = "criterion yes_sample no_sample yes_success_rate no_success_rate yes_median no_median difference low high enough direction".split()
 query("evidence_report", k.cols(ev_report_sql("SELECT * FROM okl", "horizon"), "horizon", *ER), f=CR_F)(
     lambda s, d: rp.evidence_report(ok(s, d), list(FLAGS), ["horizon"]).select("horizon", *ER))
-query("scoped_calibration", k.cols(crit_sql("SELECT * FROM okl WHERE horizon=1", "sector, regime"), "sector", "regime", *CR), f=CR_F)(
-    lambda s, d: rp.criterion_report(ok(s, d).filter("horizon = 1"), list(FLAGS), ["sector", "regime"]).select("sector", "regime", *CR))
+query("scoped_calibration", k.cols(crit_sql("SELECT * FROM okl", "sector, regime, horizon"), "sector", "regime", "horizon", *CR), f=CR_F)(
+    lambda s, d: rp.criterion_report(ok(s, d), list(FLAGS), ["sector", "regime", "horizon"]).select("sector", "regime", "horizon", *CR))
 query("approved_adjustments", f"SELECT horizon, criterion, CASE direction WHEN 'UP' THEN 0.0025 WHEN 'DOWN' THEN -0.0025 ELSE 0.0 END::DOUBLE AS adjustment FROM ({crit_sql('SELECT * FROM okl', 'horizon')}) AS q WHERE enough", f="adjustment")(
     lambda s, d: rp.criterion_report(ok(s, d), list(FLAGS), ["horizon"]).filter("enough").select(
         "horizon", "criterion", first_match((F.col("direction") == "UP", 0.0025), (F.col("direction") == "DOWN", -0.0025), default=0.0).alias("adjustment")))
 query("weight_votes", f"""
  SELECT criterion, count(*) FILTER (WHERE direction='UP') AS ups, count(*) FILTER (WHERE direction='DOWN') AS downs,
   CASE WHEN count(*) FILTER (WHERE direction='UP')>=2 AND count(*) FILTER (WHERE direction='DOWN')=0 THEN 'UP' WHEN count(*) FILTER (WHERE direction='DOWN')>=2 AND count(*) FILTER (WHERE direction='UP')=0 THEN 'DOWN' ELSE 'NONE' END AS agreed,
-  coalesce(0.0025*avg(CASE direction WHEN 'UP' THEN 1 WHEN 'DOWN' THEN -1 END),0) AS shift FROM ({crit_sql('SELECT * FROM okl WHERE horizon<=5', 'horizon')}) AS q GROUP BY criterion""", f="shift")(lambda s, d: _votes(s, d))
+  coalesce(0.0025*avg(CASE direction WHEN 'UP' THEN 1 WHEN 'DOWN' THEN -1 END),0) AS shift FROM ({crit_sql('SELECT * FROM okl', 'horizon')}) AS q GROUP BY criterion""", f="shift")(lambda s, d: _votes(s, d))
 
 
 def _votes(s, d):
-    r = rp.criterion_report(ok(s, d).filter("horizon <= 5"), list(FLAGS), ["horizon"])
+    r = rp.criterion_report(ok(s, d), list(FLAGS), ["horizon"])
     up, dn = st.count_if(F.col("direction") == "UP"), st.count_if(F.col("direction") == "DOWN")
     return r.groupBy("criterion").agg(up.alias("ups"), dn.alias("downs"),
         first_match(((up >= 2) & (dn == 0), "UP"), ((dn >= 2) & (up == 0), "DOWN"), default="NONE").alias("agreed"),
@@ -187,15 +187,15 @@ _mask = "+".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE {b} END" for f, b in _bits.
 query("combination_catalog", f"""
  WITH cov AS (SELECT c.combo, c.size, count(*) AS coverage FROM (SELECT {_mask} AS m FROM okx WHERE horizon=1) r JOIN (VALUES {_cv}) AS c(combo,size,need) ON (r.m & c.need)=c.need GROUP BY c.combo, c.size),
  rk AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY coverage DESC, combo) AS rank FROM cov)
- SELECT combo, size, coverage, rank FROM rk WHERE (size=3 AND rank<=2) OR (size=2 AND rank<=8-(SELECT least(count(*),2) FROM rk WHERE size=3))""")(
-    lambda s, d: rp.combination_catalog(ok(s, d).filter("horizon = 1"), FAMILY, cap=8).select("combo", "size", "coverage", "rank"))
+ SELECT combo, size, coverage, rank FROM rk WHERE (size=3 AND rank<=16) OR (size=2 AND rank<=64-(SELECT least(count(*),16) FROM rk WHERE size=3))""")(
+    lambda s, d: rp.combination_catalog(ok(s, d).filter("horizon = 1"), FAMILY).select("combo", "size", "coverage", "rank"))
 
 _cn = ", ".join("'" + "+".join(c) + "'" for c in _cmb)
 _cf = ", ".join("CASE WHEN " + " AND ".join(f"{x} IS NOT NULL" for x in c) + " THEN " + " AND ".join(c) + " END" for c in _cmb)
 query("combination_report", f"""
  SELECT horizon, criterion, yes_sample, no_sample, yes_median, no_median, enough, CASE direction WHEN 'UP' THEN 0.25 WHEN 'DOWN' THEN -0.25 ELSE 0.0 END::DOUBLE AS contribution
- FROM ({ev_report_sql(f"SELECT *, unnest([{_cn}]) AS criterion, unnest([{_cf}]) AS flag FROM okx WHERE horizon<=3", "horizon", minimum=50, days=7)}) AS q""", f="yes_median no_median contribution")(
-    lambda s, d: rp.combination_report(ok(s, d).filter("horizon <= 3"), FAMILY, ["horizon"]).select("horizon", "criterion", "yes_sample", "no_sample", "yes_median", "no_median", "enough", "contribution"))
+ FROM ({ev_report_sql(f"SELECT *, unnest([{_cn}]) AS criterion, unnest([{_cf}]) AS flag FROM okx", "horizon", minimum=50, days=7)}) AS q""", f="yes_median no_median contribution")(
+    lambda s, d: rp.combination_report(ok(s, d), FAMILY, ["horizon"]).select("horizon", "criterion", "yes_sample", "no_sample", "yes_median", "no_median", "enough", "contribution"))
 
 ERR = """CASE WHEN status IN ('STOP','FAIL') THEN list_filter([CASE WHEN short THEN 'FALSE_SELL' WHEN decision='BUY' THEN 'FALSE_BUY' ELSE 'UNKNOWN' END, CASE WHEN NOT short AND regime='FALLING' THEN 'MARKET_CONTEXT_MISSED' END,
  CASE WHEN bb_upper_break AND NOT f_volume THEN 'VOLUME_FALSE_BREAKOUT' END, CASE WHEN abs(price-stop)<atr14*0.75 THEN 'STOP_TOO_TIGHT' END, CASE WHEN abs(target-price)>atr14*4 AND NOT target_hit THEN 'TARGET_TOO_AGGRESSIVE' END], lambda x: x IS NOT NULL) END"""

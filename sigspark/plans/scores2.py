@@ -90,11 +90,11 @@ def landed(df, name, fmt="json"):
     return path
 
 
-query("read_record_json", "SELECT signal_id, symbol, decision, price FROM preds WHERE session_no%2=0", f="price")(lambda s, d: _read_json(s, d))
+query("read_record_json", "SELECT signal_id, symbol, decision, price FROM preds", f="price")(lambda s, d: _read_json(s, d))
 
 
 def _read_json(s, d):
-    p = predictions(s, d).filter("session_no % 2 = 0").select("symbol", F.struct("signal_id", "symbol", "decision", "price").alias("r"), F.floor(F.col("session_no") / 4).alias("b"))
+    p = predictions(s, d).select("symbol", F.struct("signal_id", "symbol", "decision", "price").alias("r"), F.floor(F.col("session_no") / 4).alias("b"))
     doc = p.groupBy("symbol", "b").agg(F.collect_list("r").alias("records")).select("records")  # four sessions of one symbol: at most four records
     return s.read.schema("records ARRAY<STRUCT<signal_id:STRING,symbol:STRING,decision:STRING,price:DOUBLE>>").json(landed(doc, "records")).select(F.inline("records"))
 
