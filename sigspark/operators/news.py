@@ -83,8 +83,17 @@ def latest_k(news: DataFrame, k: int = 5, bucket_seconds: int = 86400) -> DataFr
     return d.withColumn("rank", F.row_number().over(W.partitionBy("symbol").orderBy(*order))).filter(F.col("rank") <= k).drop("_b", "_r")
 
 
+#: Query parameters that only track where a reader came from.
+TRACKING = "(?i)^(utm_.*|fbclid|gclid)(=.*)?$"
+
+
 def canonical_url(u: Column) -> Column:
-    """Lower-case host without www, no query, fragment or trailing slash."""
-    bare = F.regexp_replace(F.regexp_replace(u, "[?#].*$", ""), "/+$", "")
+    """Lower-case host without www, path without trailing slash, sorted query without tracking
+    parameters and empty values, no fragment."""
+    plain = F.regexp_replace(u, "#.*$", "")
+    bare = F.regexp_replace(F.regexp_replace(plain, "[?].*$", ""), "/+$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[a-zA-Z]+://([^/]+)", 1)), "^www\\.", "")
-    return F.concat(host, F.regexp_extract(bare, "^[a-zA-Z]+://[^/]+(.*)$", 1))
+    given = F.split(F.regexp_extract(plain, "[?](.*)$", 1), "&")
+    kept = F.array_sort(F.filter(given, lambda p: p.rlike("=.") & ~p.rlike(TRACKING)))
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.concat(host, F.regexp_extract(bare, "^[a-zA-Z]+://[^/]+(.*)$", 1), query)

@@ -14,16 +14,25 @@ from sigspark.plans.records_fixture import frame, predictions
 from sigspark.plans.registry import fragment, query
 from sigspark.sources import fixtures as fx
 
-N = 25  # nations: the fixed universe of the fixture
-MIN, MEM = 15, 3
+UNI = "(SELECT count(*)::DOUBLE FROM symdim)"  # the universe's size, from its dimension
+LEAST = f"ceil(0.6*{UNI})"  # observations a market-wide measure needs
+MEM = 3  # members a sector needs; the fixture's sectors have five
+
+
+@lru_cache(maxsize=8)
+def universe(s, d):
+    """Symbols of the dimension, and how many of them a market-wide measure needs."""
+    n = fx.symbol_dim(s, d).count()
+    return n, -(-6 * n // 10)
+
 
 fragment("memb", "SELECT sector, count(*) AS expected FROM symdim GROUP BY sector")
 fragment("brd", f"""
- SELECT *, valid-rising-falling AS unchanged, valid/{N}.0 AS coverage, valid>={MIN} AND valid/{N}.0>=0.6 AS enough,
-   CASE WHEN valid>={MIN} THEN 100.0*(rising-falling)/valid END AS score,
-   CASE WHEN valid<{MIN} THEN 'UNCERTAIN' WHEN 100.0*(rising-falling)/valid>=55 THEN 'VERY_POSITIVE' WHEN 100.0*(rising-falling)/valid>=20 THEN 'POSITIVE'
+ SELECT *, valid-rising-falling AS unchanged, valid/{UNI} AS coverage, valid>={LEAST} AND valid/{UNI}>=0.6 AS enough,
+   CASE WHEN valid>={LEAST} THEN 100.0*(rising-falling)/valid END AS score,
+   CASE WHEN valid<{LEAST} THEN 'UNCERTAIN' WHEN 100.0*(rising-falling)/valid>=55 THEN 'VERY_POSITIVE' WHEN 100.0*(rising-falling)/valid>=20 THEN 'POSITIVE'
         WHEN 100.0*(rising-falling)/valid<=-55 THEN 'VERY_NEGATIVE' WHEN 100.0*(rising-falling)/valid<=-20 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label,
-   CASE WHEN valid>={MIN} THEN valid*100.0/{N} ELSE least(40.0, valid*100.0/{N}) END AS confidence
+   CASE WHEN valid>={LEAST} THEN valid*100.0/{UNI} ELSE least(40.0, valid*100.0/{UNI}) END AS confidence
  FROM (SELECT session_no, count(*) AS valid, count(*) FILTER (WHERE change_pct>0.01) AS rising, count(*) FILTER (WHERE change_pct<-0.01) AS falling,
    count(*) FILTER (WHERE change_pct>=3) AS strong_rising, count(*) FILTER (WHERE change_pct<=-3) AS strong_falling,
    count(*) FILTER (WHERE change_pct>0.01 AND volume_ratio>=120) AS supported_up, count(*) FILTER (WHERE change_pct<-0.01 AND volume_ratio>=120) AS supported_down
@@ -32,7 +41,7 @@ fragment("brd", f"""
 
 @lru_cache(maxsize=8)
 def breadth(s, d):
-    return cx.market_breadth(frame(s, d), N, MIN)
+    return cx.market_breadth(frame(s, d), *universe(s, d))
 
 
 query("market_breadth", "SELECT session_no, valid, rising, falling, unchanged, strong_rising, strong_falling, supported_up, supported_down, coverage, enough, score, label, confidence FROM brd",
@@ -66,11 +75,11 @@ query("sector_live", f"SELECT {', '.join(SL)} FROM secl", f="median_return mean_
     lambda s, d: sectors_live(s, d).select(*SL))
 
 query("market_regime_live", f"""
- WITH m AS (SELECT session_no, CASE WHEN count(sma20)>={MIN} THEN 100*avg(CASE WHEN sma20 IS NOT NULL THEN sign(close-sma20) END) END AS st,
-   CASE WHEN count(sma50)>={MIN} THEN 100*avg(CASE WHEN sma50 IS NOT NULL THEN sign(close-sma50) END) END AS lt,
-   CASE WHEN count(momentum3)>={MIN} THEN greatest(-100,least(100,median(momentum3)*50)) END AS mo, count(volume_ratio) AS nv FROM ind WHERE change_pct IS NOT NULL GROUP BY session_no),
+ WITH m AS (SELECT session_no, CASE WHEN count(sma20)>={LEAST} THEN 100*avg(CASE WHEN sma20 IS NOT NULL THEN sign(close-sma20) END) END AS st,
+   CASE WHEN count(sma50)>={LEAST} THEN 100*avg(CASE WHEN sma50 IS NOT NULL THEN sign(close-sma50) END) END AS lt,
+   CASE WHEN count(momentum3)>={LEAST} THEN greatest(-100,least(100,median(momentum3)*50)) END AS mo, count(volume_ratio) AS nv FROM ind WHERE change_pct IS NOT NULL GROUP BY session_no),
  s AS (SELECT session_no, CASE WHEN count(*)>=3 THEN 100*avg(sign(median_return)) END AS sp FROM secl WHERE enough GROUP BY session_no),
- p AS (SELECT b.*, greatest(-100,least(100,x.change_pct/3*100)) AS ix, st, lt, mo, CASE WHEN nv>={MIN} THEN 100.0*(supported_up-supported_down)/nv END AS vo, sp
+ p AS (SELECT b.*, greatest(-100,least(100,x.change_pct/3*100)) AS ix, st, lt, mo, CASE WHEN nv>={LEAST} THEN 100.0*(supported_up-supported_down)/nv END AS vo, sp
    FROM brd b JOIN m ON b.session_no=m.session_no LEFT JOIN s ON b.session_no=s.session_no LEFT JOIN xind x ON b.session_no=x.session_no),
  l AS (SELECT session_no, any_value(enough) AS enough, any_value(confidence) AS confidence, count(v) AS k, sum(v*w)/sum(CASE WHEN v IS NOT NULL THEN w END) AS sc,
     bool_or(v IS NOT NULL AND nm IN ('ix','st','lt')) AS anchor
@@ -79,7 +88,7 @@ query("market_regime_live", f"""
    CASE WHEN enough AND k>=3 AND anchor THEN confidence*(0.7+0.3*k/7) ELSE least(confidence,25) END AS regime_confidence FROM l)
  SELECT *, CASE WHEN regime_score IS NULL OR regime_confidence<50 THEN 'UNCERTAIN' WHEN regime_score>=55 THEN 'STRONG_RISE' WHEN regime_score>=20 THEN 'RISE'
    WHEN regime_score<=-55 THEN 'STRONG_FALL' WHEN regime_score<=-20 THEN 'FALL' ELSE 'FLAT' END AS regime FROM r""", f="regime_score regime_confidence")(
-    lambda s, d: cx.market_regime_live(frame(s, d), index_frame(s, d), breadth(s, d), sectors_live(s, d), N, MIN).select(
+    lambda s, d: cx.market_regime_live(frame(s, d), index_frame(s, d), breadth(s, d), sectors_live(s, d), *universe(s, d)).select(
         "session_no", "components", "regime_score", "regime_confidence", "regime"))
 
 fragment("xobs", """
@@ -97,14 +106,14 @@ fragment("mm1_", """
    coalesce(sum(volume) FILTER (WHERE close>prev_close),0) AS upv, coalesce(sum(volume) FILTER (WHERE close<prev_close),0) AS dnv
  FROM ind WHERE prev_close IS NOT NULL GROUP BY session_no""")
 fragment("mm2_", f"""
- SELECT m.*, x.index_trend, x.index_momentum, x.index_volatility, 100*upv/nullif(vol,0) AS up_volume_pct, n/{N}.0 AS coverage,
+ SELECT m.*, x.index_trend, x.index_momentum, x.index_volatility, 100*upv/nullif(vol,0) AS up_volume_pct, n/{UNI} AS coverage,
    100*(advancing+0.5*(n-advancing-declining))/n AS v1, above_sma20_pct AS v2, above_sma50_pct AS v3, 50+50.0*(new_high-new_low)/nullif(nhl,0) AS v4, 50+50*(upv-dnv)/nullif(vol,0) AS v5
  FROM mm1_ m LEFT JOIN xobs x ON m.session_no=x.session_no""")
 fragment("mm3_", f"""
  SELECT *, (coalesce(v1*.3,0)+coalesce(v2*.2,0)+coalesce(v3*.2,0)+coalesce(v4*.15,0)+coalesce(v5*.15,0))/
    (CASE WHEN v1 IS NULL THEN 0 ELSE .3 END+CASE WHEN v2 IS NULL THEN 0 ELSE .2 END+CASE WHEN v3 IS NULL THEN 0 ELSE .2 END+CASE WHEN v4 IS NULL THEN 0 ELSE .15 END+CASE WHEN v5 IS NULL THEN 0 ELSE .15 END) AS breadth_score,
    CASE WHEN v1 IS NULL THEN 0 ELSE .3 END+CASE WHEN v2 IS NULL THEN 0 ELSE .2*n20/n END+CASE WHEN v3 IS NULL THEN 0 ELSE .2*n50/n END+CASE WHEN v4 IS NULL THEN 0 ELSE .15*nhl/n END+CASE WHEN v5 IS NULL THEN 0 ELSE .15 END AS cc,
-   (v1 IS NOT NULL)::INT+(v2 IS NOT NULL)::INT+(v3 IS NOT NULL)::INT+(v4 IS NOT NULL)::INT+(v5 IS NOT NULL)::INT AS nvals, n>={MIN} AND coverage>=0.6 AS enough,
+   (v1 IS NOT NULL)::INT+(v2 IS NOT NULL)::INT+(v3 IS NOT NULL)::INT+(v4 IS NOT NULL)::INT+(v5 IS NOT NULL)::INT AS nvals, n>={LEAST} AND coverage>=0.6 AS enough,
    CASE index_trend WHEN 'POSITIVE' THEN 100.0 WHEN 'NEUTRAL' THEN 50 WHEN 'NEGATIVE' THEN 0 END AS r2, CASE index_momentum WHEN 'POSITIVE' THEN 100.0 WHEN 'NEUTRAL' THEN 50 WHEN 'NEGATIVE' THEN 0 END AS r3,
    CASE index_volatility WHEN 'LOW' THEN 100.0 WHEN 'NORMAL' THEN 75 WHEN 'HIGH' THEN 25 WHEN 'EXTREME' THEN 0 END AS r4 FROM mm2_""")
 fragment("mm4_", """
@@ -131,7 +140,7 @@ def index_obs(s, d):
 
 @lru_cache(maxsize=8)
 def measurement(s, d):
-    return evaluated(cx.market_measurement(frame(s, d), index_obs(s, d), N, MIN))
+    return evaluated(cx.market_measurement(frame(s, d), index_obs(s, d), *universe(s, d)))
 
 
 MM = "session_no n advancing declining new_high new_low above_sma20_pct above_sma50_pct up_volume_pct coverage index_trend index_momentum index_volatility breadth_score regime_score regime_confidence final regime breadth_state risk_state data_status conflict".split()
@@ -241,28 +250,26 @@ query("exact_membership_match", """
     .join(fx.symbol_dim(s, d).groupBy("sector").agg(F.array_sort(F.collect_set("symbol")).alias("b")), "sector")
     .select("sector", (F.col("a") == F.col("b")).alias("matched"), F.size("a").alias("members")))
 
-# As-of joins: a context is published at noon of the Tuesday after its session.
-fragment("mctx", "SELECT session_no, regime, regime_score, CAST(DATE '1990-01-01' + CAST(session_no*7 AS INTEGER) AS TIMESTAMP) + INTERVAL 36 HOUR AS created_at FROM mmeas WHERE final")
+# A context is published at noon of the Tuesday after its session. A signal may use the context of
+# the newest session that is due by then, and none if that one is missing: an equi-join on the session.
+EXPECTED = "CAST(floor((epoch(signal_at)-epoch(TIMESTAMP '1990-01-01')-36*3600)/604800) AS BIGINT)"
 
 
-def market_contexts(s, d):
-    at = F.expr("CAST(date_add(DATE'1990-01-01', session_no * 7) AS TIMESTAMP) + INTERVAL 36 HOURS")
-    return measurement(s, d).filter("final").select(F.lit("M").alias("k"), F.col("session_no").alias("ctx_no"), "regime", "regime_score", at.alias("created_at"))
+def with_expected(p):
+    due = F.unix_timestamp("signal_at") - F.unix_timestamp(F.lit("1990-01-01").cast("timestamp")) - 36 * 3600
+    return p.withColumn("ctx_no", F.floor(due / 604800).cast("int"))
 
 
-query("asof_market_context", """
- SELECT signal_id, ctx_no, regime AS market_regime, regime_score FROM (SELECT p.signal_id, m.session_no AS ctx_no, m.regime, m.regime_score
- FROM preds p ASOF LEFT JOIN mctx m ON p.signal_at>=m.created_at) AS q""", f="regime_score")(
-    lambda s, d: cx.asof_rows(predictions(s, d).select("signal_id", "signal_at", F.lit("M").alias("k")), market_contexts(s, d), ["k"],
-                              "signal_at", "created_at", ["ctx_no", "regime", "regime_score"], 364 * 86400)
-    .select("signal_id", "ctx_no", F.col("regime").alias("market_regime"), "regime_score"))
+query("asof_market_context", f"""
+ SELECT signal_id, m.session_no AS ctx_no, regime AS market_regime, regime_score FROM (SELECT signal_id, {EXPECTED} AS due FROM preds) AS p LEFT JOIN (SELECT * FROM mmeas WHERE final) AS m ON m.session_no=p.due""", f="regime_score")(
+    lambda s, d: with_expected(predictions(s, d).select("signal_id", "signal_at")).withColumnRenamed("ctx_no", "due")
+    .join(measurement(s, d).filter("final").select(F.col("session_no").alias("ctx_no"), F.col("regime").alias("market_regime"), "regime_score"), F.col("due") == F.col("ctx_no"), "left")
+    .select("signal_id", "ctx_no", "market_regime", "regime_score"))
 
-query("asof_sector_context", """
- WITH c AS (SELECT sector, session_no, sector_state, rs_score, CAST(DATE '1990-01-01' + CAST(session_no*7 AS INTEGER) AS TIMESTAMP) + INTERVAL 36 HOUR AS created_at FROM smeas WHERE enough)
- SELECT p.signal_id, c.session_no AS ctx_no, c.sector_state, c.rs_score FROM preds p ASOF LEFT JOIN c ON p.sector=c.sector AND p.signal_at>=c.created_at""", f="rs_score")(
-    lambda s, d: cx.asof_rows(predictions(s, d).select("signal_id", "signal_at", "sector"),
-                              sectors(s, d).filter("enough").select("sector", F.col("session_no").alias("ctx_no"), "sector_state", "rs_score", F.expr("CAST(date_add(DATE'1990-01-01', session_no * 7) AS TIMESTAMP) + INTERVAL 36 HOURS").alias("created_at")),
-                              ["sector"], "signal_at", "created_at", ["ctx_no", "sector_state", "rs_score"], 364 * 86400)
+query("asof_sector_context", f"""
+ SELECT signal_id, c.session_no AS ctx_no, c.sector_state, c.rs_score FROM (SELECT signal_id, sector, {EXPECTED} AS due FROM preds) AS p LEFT JOIN (SELECT * FROM smeas WHERE enough) AS c ON c.sector=p.sector AND c.session_no=p.due""", f="rs_score")(
+    lambda s, d: with_expected(predictions(s, d).select("signal_id", "signal_at", "sector")).withColumnRenamed("ctx_no", "due")
+    .join(sectors(s, d).filter("enough").select("sector", F.col("session_no").alias("due"), F.col("session_no").alias("ctx_no"), "sector_state", "rs_score"), ["sector", "due"], "left")
     .select("signal_id", "ctx_no", "sector_state", "rs_score"))
 
 query("context_effects", """

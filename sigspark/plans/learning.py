@@ -178,8 +178,20 @@ query("opportunity_pool_ranks", "SELECT session_no, symbol, row_number() OVER (P
     lambda s, d: scored(s, d).select("session_no", "symbol", F.row_number().over(W.partitionBy("session_no").orderBy(F.desc_nulls_last("tscore"), "symbol")).alias("rank"),
         F.when(F.col("tscore") >= 30, F.row_number().over(W.partitionBy("session_no", F.col("tscore") >= 30).orderBy(F.desc_nulls_last("tscore"), "symbol"))).alias("eligible_rank")))
 query("asof_model", "WITH m AS (SELECT session_no AS version, CAST(DATE '1990-01-01' + CAST(session_no*7 AS INTEGER) AS TIMESTAMP) AS created_at FROM (SELECT DISTINCT session_no FROM bars WHERE session_no%25=0) AS q) SELECT p.signal_id, m.version FROM preds p ASOF LEFT JOIN m ON p.signal_at>=m.created_at")(
-    lambda s, d: cx.asof_rows(predictions(s, d).select("signal_id", "signal_at", F.lit("M").alias("k")), fx.weekly_bars(s, d).filter("session_no % 25 = 0").select("session_no").distinct().select(F.lit("M").alias("k"), F.col("session_no").alias("version"),
-        F.expr("CAST(date_add(DATE'1990-01-01', session_no * 7) AS TIMESTAMP)").alias("created_at")), ["k"], "signal_at", "created_at", ["version"], 364 * 86400).select("signal_id", "version"))
+    lambda s, d: _model_at(s, d))
+
+
+def _model_at(s, d):
+    """Versions are few: the newest one is carried over the weekly calendar, and records join by week."""
+    week = lambda at: F.floor((F.unix_timestamp(at) - F.unix_timestamp(F.lit("1990-01-01").cast("timestamp"))) / 604800).cast("int")
+    p = predictions(s, d).select("signal_id", week("signal_at").alias("week"))
+    versions = fx.weekly_bars(s, d).filter("session_no % 25 = 0").select(F.col("session_no").alias("week"), F.col("session_no").alias("v")).distinct()
+    calendar = p.agg(F.min("week").alias("lo"), F.max("week").alias("hi")).join(versions.agg(F.min("v").alias("first"))).select(
+        F.explode(F.sequence(F.least("lo", "first"), "hi")).alias("week"))
+    carried = calendar.join(versions, "week", "left").select("week", F.last("v", ignorenulls=True).over(W.orderBy("week")).alias("version"))  # one row a week
+    return p.join(carried, "week", "left").select("signal_id", "version")
+
+
 query("split_record", "SELECT signal_id, sha256(symbol||'|'||CAST(session_no AS VARCHAR)||'|'||decision) AS frozen_hash, score IS NOT NULL AS has_state FROM preds")(
     lambda s, d: predictions(s, d).select("signal_id", F.sha2(F.concat_ws("|", "symbol", F.col("session_no").cast("string"), "decision"), 256).alias("frozen_hash"), F.col("score").isNotNull().alias("has_state")))
 query("append_learning_examples", "SELECT e.event_type AS model, strftime(time_bucket(INTERVAL 5 MINUTE, ts),'%Y-%m-%d %H:%M:%S') AS bucket, min(event_id) AS event_id, CASE WHEN hour(time_bucket(INTERVAL 5 MINUTE, ts)) BETWEEN 10 AND 17 THEN 'TRAINING' ELSE 'REFERENCE' END AS tag FROM events e WHERE NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id%5=0 AND k.event_type=e.event_type AND time_bucket(INTERVAL 5 MINUTE,k.ts)=time_bucket(INTERVAL 5 MINUTE,e.ts)) GROUP BY e.event_type, time_bucket(INTERVAL 5 MINUTE, ts)")(lambda s, d: _append(s, d))

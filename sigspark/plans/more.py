@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import uuid
 from functools import lru_cache
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from sigspark.plans.news import lexed
 from sigspark.plans.records_fixture import FLAGS, examples, frame, labelled, last_session, predictions
 from sigspark.plans.registry import fragment, query
 from sigspark.plans.reports import ok
-from sigspark.session import shared_dir
+from sigspark.session import complete, shared_dir
 from sigspark.sources import fixtures as fx
 
 # --- levels and news effects ---------------------------------------------------------------
@@ -156,7 +156,7 @@ def _enrich(s, d):
     q = fx.quotes(s, d).withColumns({"event_time": F.col("event_time").cast("timestamp"), "k": F.lit("k")})
     left = q.filter("symbol = 'click'").select(F.col("quote_id").alias("event_id"), "event_time", "k")
     right = q.filter("symbol = 'purchase'").select("k", F.col("event_time").alias("known"), F.col("price").alias("value"))
-    return cx.asof_rows(left, right, ["k"], "event_time", "known", ["value"], 86400, 1200).select("event_id", "value")
+    return cx.asof_rows(left, right, ["k"], "event_time", "known", ["value"], 1200, 1200).select("event_id", "value")
 
 
 query("asof_news_reference_price", "SELECT a.user_id, a.event_type AS symbol, arg_min(value, ts) AS reference_price FROM events a GROUP BY a.user_id, a.event_type", f="reference_price")(
@@ -171,13 +171,20 @@ def _ev2rec(s, d):
     return r.join(known, "news_id", "left_anti").select("record_id", "symbol", "decision")
 
 
-query("mention_symbols", "SELECT DISTINCT doc_id, w AS symbol FROM (SELECT doc_id, unnest(regexp_extract_all(upper(text), '[A-Z]{4,12}')) AS w FROM documents) AS q WHERE w IN (SELECT DISTINCT upper(p_name[1:5]) FROM part) OR w IN ('ATION','THEN','WITH')")(lambda s, d: _mention(s, d))
+# The universe: the benchmark's short words in capitals stand in for ticker codes.
+query("mention_symbols", r"""
+ WITH u AS (SELECT DISTINCT upper(w) AS symbol FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) AS q WHERE length(w) BETWEEN 3 AND 6),
+ m AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents) AS q WHERE regexp_full_match(w, '[A-Z][A-Z0-9]{2,5}') AND w IN (SELECT symbol FROM u))
+ SELECT doc_id, w AS symbol FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS k FROM m) AS q WHERE k<=10""")(lambda s, d: _mention(s, d))
 
 
 def _mention(s, d):
-    universe = fx.table(s, d, "part").select(F.upper(F.substring("p_name", 1, 5)).alias("symbol")).unionByName(s.range(1).select(F.explode(F.array(F.lit("ATION"), F.lit("THEN"), F.lit("WITH"))).alias("symbol"))).distinct()
-    words = fx.table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z]{4,12}"), F.lit(0)))).alias("symbol"))
-    return words.join(universe, "symbol").select("doc_id", "symbol")
+    """Explicit codes in the original case, whole words only; the first ten of an item in order of code."""
+    words = lambda t, p: F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(0))))
+    universe = fx.table(s, d, "benchmark").select(words("text", "[A-Za-z]+").alias("w")).filter(F.length("w").between(3, 6)).select(F.upper("w").alias("symbol")).distinct()
+    found = fx.table(s, d, "documents").select("doc_id", words("text", r"\b[A-Z][A-Z0-9]{2,5}\b").alias("symbol")).join(universe, "symbol", "left_semi")
+    listed = found.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("symbol")), 1, 10).alias("all"))  # codes of one item
+    return listed.select("doc_id", F.explode("all").alias("symbol"))
 
 
 # --- lists, metrics, sinks --------------------------------------------------------------------
@@ -194,15 +201,20 @@ query("baseline_shadow_pairs", """
     lambda s, d: _paired(s, d).filter("horizon = 1 AND status <> 'INSUFFICIENT'").select("session_no", "base_mean", "learned_mean").orderBy(F.desc("session_no")).limit(20))
 
 
-def publish(df, name):
-    """Write a report under a new version and read that version back; readers never see half."""
-    path = os.path.join(shared_dir(df.sparkSession), "reports", name, f"v-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def publish(df, name, key):
+    """The report's version for ``key``: an existing one is read, else it is written once; a pointer
+    table names the current version, and readers go through it, so they never see half of one."""
+    spark, top = df.sparkSession, os.path.join(shared_dir(df.sparkSession), "reports", name)
+    version = f"v-{sha256(key.encode()).hexdigest()[:24]}"
+    if not complete(spark, f"{top}/{version}"):
+        df.write.mode("overwrite").parquet(f"{top}/{version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{top}/current")
+    current = spark.read.schema("version string").parquet(f"{top}/current").first()["version"]
+    return spark.read.schema(df.schema).parquet(f"{top}/{current}")
 
 
 query("publish_report", "SELECT horizon, count(*) AS n, avg(directional_return) AS mean_return FROM okx GROUP BY horizon", f="mean_return")(
-    lambda s, d: publish(ok(s, d).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("directional_return").alias("mean_return")), "signal"))
+    lambda s, d: publish(ok(s, d).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("directional_return").alias("mean_return")), "signal", d))
 query("json_record_census", "SELECT event_type AS category, count(*) AS lines, 0 AS errors FROM events GROUP BY event_type")(
     lambda s, d: fx.table(s, d, "events").select("event_type", F.from_json("props", "k BIGINT, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
     .groupBy(F.col("event_type").alias("category")).agg(F.count(F.lit(1)).alias("lines"), st.count_if(F.col("j._corrupt").isNotNull()).alias("errors")))

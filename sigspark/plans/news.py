@@ -51,8 +51,9 @@ query("news_candidate_pairs", """
  p AS (SELECT *, lag(lid) OVER w AS pid, lag(lt_) OVER w AS pt FROM g WINDOW w AS (PARTITION BY symbol, k ORDER BY b))
  SELECT d.symbol, g.fid AS anchor_id, d.news_id FROM d JOIN g USING (symbol,k,b) WHERE n>1 AND d.news_id<>fid UNION ALL SELECT symbol, pid, fid FROM p WHERE ft_-pt<=21600""")(
     lambda s, d: nw.candidate_links(folded(s, d).withColumn("key", F.sha2("fb", 256)), "key"))
-query("canonical_url", """
- SELECT page_id, regexp_replace(lower(regexp_extract(u,'^[a-zA-Z]+://([^/]+)',1)),'^www\\.','')||regexp_extract(u,'^[a-zA-Z]+://[^/]+(.*)$',1) AS url FROM (SELECT page_id, regexp_replace(regexp_replace(url,'[?#].*$',''),'/+$','') AS u FROM pages) AS q""")(
+query("canonical_url", r"""
+ WITH a AS (SELECT page_id, regexp_replace(url,'#.*$','') AS p FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(p,'[?].*$',''),'/+$','') AS u, list_sort(list_filter(string_split(regexp_extract(p,'[?](.*)$',1),'&'), lambda x: regexp_matches(x,'=.') AND NOT regexp_full_match(lower(x),'(utm_.*|fbclid|gclid)(=.*)?'))) AS q FROM a)
+ SELECT page_id, regexp_replace(lower(regexp_extract(u,'^[a-zA-Z]+://([^/]+)',1)),'^www\.','')||regexp_extract(u,'^[a-zA-Z]+://[^/]+(.*)$',1)||CASE WHEN len(q)>0 THEN '?'||array_to_string(q,'&') ELSE '' END AS url FROM b""")(
     lambda s, d: fx.table(s, d, "pages").select("page_id", nw.canonical_url(F.col("url")).alias("url")))
 query("extract_articles")(lambda s, d: fx.table(s, d, "pages").select(
     "page_id", nw.canonical_url(F.col("url")).alias("url"), F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),

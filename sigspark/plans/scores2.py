@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,7 +20,7 @@ from sigspark.plans.records_fixture import FLAGS, examples, labelled, prediction
 from sigspark.plans.registry import ORACLES, fragment, query
 from sigspark.plans.reports import ok
 from sigspark.plans.scoring import rows, sql_sum
-from sigspark.session import shared_dir
+from sigspark.session import complete, shared_dir
 from sigspark.sources import fixtures as fx
 
 query("daily_technical_score", f"SELECT symbol, session_no, greatest(0,least(100,50+{sql_sum(sc.TECHNICAL_RULES)}))::DOUBLE AS score FROM wrow", f="score")(
@@ -81,12 +82,11 @@ query("money_amounts")(lambda s, d: fx.table(s, d, "documents").select("doc_id",
     .select("doc_id", F.regexp_extract("m", AMT, 3).alias("unit"), (F.regexp_extract("m", AMT, 1).cast("decimal(38,6)") * first_match((F.regexp_extract("m", AMT, 2).isin("milyon", "million"), 1000000), (F.regexp_extract("m", AMT, 2).isin("milyar", "billion"), 1000000000), default=1)).cast("double").alias("amount")).distinct())
 
 # --- landed records: written once, read back with a fixed schema ---------------------------------
-def landed(df, name, fmt="json"):
-    """Freeze a frame in the shared folder; an existing version is never replaced."""
-    import uuid
-
-    path = os.path.join(shared_dir(df.sparkSession), name, uuid.uuid4().hex)
-    df.write.mode("errorifexists").format(fmt).save(path)
+def landed(df, name, key, fmt="json"):
+    """Freeze a frame in the shared folder under its key; a complete version is never written again."""
+    path = os.path.join(shared_dir(df.sparkSession), name, sha256(key.encode()).hexdigest()[:24])
+    if not complete(df.sparkSession, path):
+        df.write.mode("overwrite").format(fmt).save(path)
     return path
 
 
@@ -96,11 +96,11 @@ query("read_record_json", "SELECT signal_id, symbol, decision, price FROM preds"
 def _read_json(s, d):
     p = predictions(s, d).select("symbol", F.struct("signal_id", "symbol", "decision", "price").alias("r"), F.floor(F.col("session_no") / 4).alias("b"))
     doc = p.groupBy("symbol", "b").agg(F.collect_list("r").alias("records")).select("records")  # four sessions of one symbol: at most four records
-    return s.read.schema("records ARRAY<STRUCT<signal_id:STRING,symbol:STRING,decision:STRING,price:DOUBLE>>").json(landed(doc, "records")).select(F.inline("records"))
+    return s.read.schema("records ARRAY<STRUCT<signal_id:STRING,symbol:STRING,decision:STRING,price:DOUBLE>>").json(landed(doc, "records", d)).select(F.inline("records"))
 
 
 query("write_once_snapshot", "SELECT session_no, symbol, rank FROM preds WHERE rank<=10")(
-    lambda s, d: s.read.schema("session_no INT, symbol STRING, rank INT").parquet(landed(predictions(s, d).filter("rank <= 10").select("session_no", "symbol", "rank"), "snapshots", "parquet")))
+    lambda s, d: s.read.schema("session_no INT, symbol STRING, rank INT").parquet(landed(predictions(s, d).filter("rank <= 10").select("session_no", "symbol", "rank"), "snapshots", d, "parquet")))
 query("read_snapshots", "SELECT session_no, list, symbol, rank FROM (SELECT session_no, unnest(['TOP10','TOP3']) AS list, unnest([10,3]) AS k, symbol, rank FROM preds) AS q WHERE rank<=k")(lambda s, d: _snapshots(s, d))
 
 
@@ -108,6 +108,6 @@ def _snapshots(s, d):
     """Archive documents with two ranked lists each, exploded back to one row per list and rank."""
     item = F.struct("rank", "symbol")
     doc = predictions(s, d).filter("rank <= 10").groupBy("session_no").agg(F.array_sort(F.collect_list(item)).alias("top10"), F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, item))).alias("top3"))
-    a = s.read.schema("session_no INT, top10 ARRAY<STRUCT<rank:INT,symbol:STRING>>, top3 ARRAY<STRUCT<rank:INT,symbol:STRING>>").json(landed(doc, "archives"))
+    a = s.read.schema("session_no INT, top10 ARRAY<STRUCT<rank:INT,symbol:STRING>>, top3 ARRAY<STRUCT<rank:INT,symbol:STRING>>").json(landed(doc, "archives", d))
     lists = F.create_map(F.lit("TOP10"), F.col("top10"), F.lit("TOP3"), F.col("top3"))
     return a.select("session_no", F.explode(lists).alias("list", "rows")).select("session_no", "list", F.posexplode("rows").alias("pos", "r")).select("session_no", "list", "r.symbol", (F.col("pos") + 1).alias("rank"))

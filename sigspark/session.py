@@ -25,8 +25,22 @@ def local_session(cpus: int | str = "*", app: str = "sigspark", shuffle: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the cluster's shared one, a fresh one only when none is set."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    A session of one process (tests) gets a fresh folder when none is set; on a cluster a
+    missing setting is an error, since each executor would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import uuid
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,24 +19,26 @@ def quote_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File stream of quotes; on a cluster the same columns come from a message source."""
     raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.select(F.col("event_type").alias("symbol"), F.col("value").alias("price"),
-                      F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("quote_id"))
+                      F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("quote_id"),
+                      (F.from_json("props", "k BIGINT")["k"] + 1.0).alias("volume"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, job: str, mode: str = "append") -> DataFrame:
     """Run all available input to a table in the shared folder and read it back.
 
-    Progress lives in a checkpoint there as well, so a lost executor or a restarted
-    driver resumes instead of starting over.
+    Progress lives in a checkpoint there as well, under the job's name, so a lost executor
+    or a restarted driver resumes instead of starting over, and a second run adds only what
+    is new.
     """
     spark = stream.sparkSession
-    base = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
+    base = os.path.join(shared_dir(spark), f"stream-{sha256(job.encode()).hexdigest()[:24]}")
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", base + "/out")
          .option("checkpointLocation", base + "/cp").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(base + "/out")
 
 
-def bars(quotes: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def bars(quotes: DataFrame, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Tumbling bars, published once the watermark has passed their end."""
     order = F.struct("event_time", "quote_id")
     g = quotes.withWatermark("event_time", late).groupBy("symbol", F.window("event_time", length)).agg(
@@ -46,9 +48,9 @@ def bars(quotes: DataFrame, length: str = "1 hour", late: str = "10 minutes") ->
 
 
 def session_vwap(quotes: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Session totals, final once the session is over: mean price weighted by tick volume 100."""
+    """Session price weighted by volume, final once the session is over."""
     g = quotes.withWatermark("event_time", late).groupBy("symbol", F.window("event_time", "1 day")).agg(
-        (F.sum(F.col("price") * 100.0) / F.sum(F.lit(100.0))).alias("vwap"), F.count(F.lit(1)).alias("ticks"))
+        (F.sum(F.col("price") * F.col("volume")) / F.sum("volume")).alias("vwap"), F.count(F.lit(1)).alias("ticks"))
     return g.select("symbol", F.col("window.start").alias("session"), "vwap", "ticks")
 
 
