@@ -21,6 +21,7 @@ MODULES = (
     "scores2",
     "evidence",
     "decision",
+    "flags",
 )
 
 for _m in MODULES:

@@ -102,8 +102,6 @@ def _iflags(s, d):
     return hourly_wide(s, d).select("symbol", F.col("session_no").alias("bar_no"), *[F.expr(e).alias(n) for n, e in IF.items()])
 
 
-query("evidence_flags", f"SELECT * FROM (SELECT signal_id, unnest([{', '.join(repr(f) for f in FLAGS)}]) AS criterion, unnest([{', '.join(f'CASE WHEN feature_at<=signal_at THEN {f} END' for f in FLAGS)}]) AS flag FROM preds) AS q")(
-    lambda s, d: st.long_flags(predictions(s, d), {f: F.when(F.col("feature_at") <= F.col("signal_at"), F.col(f)) for f in FLAGS}, ["signal_id"]))
 query("intraday_conditions", "SELECT signal_id, CASE WHEN score<10 THEN '<10' WHEN score<30 THEN '10-30' ELSE '30+' END AS score_bucket, decision||'_'||CASE WHEN slot<12 THEN 'MORNING' ELSE 'AFTERNOON' END AS combo FROM isig")(
     lambda s, d: intraday_outcomes(s, d).filter("horizon = '1H'").select("signal_id", first_match((F.col("score") < 10, "<10"), (F.col("score") < 30, "10-30"), default="30+").alias("score_bucket"), F.concat_ws("_", "decision", F.when(F.col("slot") < 12, "MORNING").otherwise("AFTERNOON")).alias("combo")))
 query("verified_stat", f"SELECT horizon, sector, completed_n>=30 AND positive+negative+neutral=completed_n AND abs(success_rate-positive::DOUBLE/completed_n)<0.0001 AND mean IS NOT NULL AS verified FROM ({k.outcome_stats('SELECT * FROM ex', 'horizon, sector')}) AS q")(
