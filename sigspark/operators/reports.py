@@ -183,18 +183,30 @@ def combination_report(rows: DataFrame, families: dict[str, str], keys: list[str
 
 
 def error_types() -> Column:
-    """Failure types of one labelled record, in fixed order; the last one is primary."""
+    """Failure types of a failed or stale labelled record, in fixed order; the last one is primary.
+
+    Inputs beside the outcome: the evidence flags of the record, stale, entry_age (minutes) and
+    entry_confirmed; an unknown flag accuses nobody.
+    """
     failed = F.col("status").isin("STOP", "FAIL")
-    short = F.col("short")
+    short, stale = F.col("short"), F.coalesce("stale", F.lit(False))
     base, atr = F.col("price"), F.col("atr14")
+    true = lambda k: F.coalesce(k, F.lit(False))
+    false = lambda k: F.coalesce(~F.col(k), F.lit(False))
     name = first_match((short, "FALSE_SELL"), (F.col("decision") == "BUY", "FALSE_BUY"), default="UNKNOWN")
-    return F.when(failed, F.array_compact(F.array(
-        name,
-        F.when(~short & (F.col("regime") == "FALLING"), F.lit("MARKET_CONTEXT_MISSED")),
-        F.when(F.col("bb_upper_break") & ~F.col("f_volume"), F.lit("VOLUME_FALSE_BREAKOUT")),
-        F.when(F.abs(base - F.col("stop")) < atr * 0.75, F.lit("STOP_TOO_TIGHT")),
-        F.when((F.abs(F.col("target") - base) > atr * 4) & ~F.col("target_hit"), F.lit("TARGET_TOO_AGGRESSIVE")),
-    )))
+    kinds = (
+        (stale, "STALE_DATA_ERROR"),
+        (failed, name),
+        (~short & true("MARKET_NEGATIVE"), "MARKET_CONTEXT_MISSED"),
+        (~short & true("SECTOR_WEAK"), "SECTOR_CONTEXT_MISSED"),
+        (true("NEWS_POSITIVE") & false("NEWS_PRICE_CONFIRMED"), "NEWS_FALSE_POSITIVE"),
+        ((true("BOLLINGER_BREAK") | true("VOLUME_BREAKOUT")) & false("VOLUME"), "VOLUME_FALSE_BREAKOUT"),
+        (F.abs(base - F.col("stop")) < atr * 0.75, "STOP_TOO_TIGHT"),
+        ((F.abs(F.col("target") - base) > atr * 4) & ~F.col("target_hit"), "TARGET_TOO_AGGRESSIVE"),
+        (F.col("entry_age") > 20, "LATE_ENTRY"),
+        (false("entry_confirmed"), "EARLY_ENTRY"),
+    )
+    return F.when(failed | stale, F.array_compact(F.array(*[F.when(when, F.lit(k) if isinstance(k, str) else k) for when, k in kinds])))
 
 
 def confidence_band() -> Column:

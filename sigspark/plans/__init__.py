@@ -22,6 +22,7 @@ MODULES = (
     "evidence",
     "decision",
     "flags",
+    "composite",
 )
 
 for _m in MODULES:

@@ -197,20 +197,6 @@ query("combination_report", f"""
  FROM ({ev_report_sql(f"SELECT *, unnest([{_cn}]) AS criterion, unnest([{_cf}]) AS flag FROM okx", "horizon", minimum=50, days=7)}) AS q""", f="yes_median no_median contribution")(
     lambda s, d: rp.combination_report(ok(s, d), FAMILY, ["horizon"]).select("horizon", "criterion", "yes_sample", "no_sample", "yes_median", "no_median", "enough", "contribution"))
 
-ERR = """CASE WHEN status IN ('STOP','FAIL') THEN list_filter([CASE WHEN short THEN 'FALSE_SELL' WHEN decision='BUY' THEN 'FALSE_BUY' ELSE 'UNKNOWN' END, CASE WHEN NOT short AND regime='FALLING' THEN 'MARKET_CONTEXT_MISSED' END,
- CASE WHEN bb_upper_break AND NOT f_volume THEN 'VOLUME_FALSE_BREAKOUT' END, CASE WHEN abs(price-stop)<atr14*0.75 THEN 'STOP_TOO_TIGHT' END, CASE WHEN abs(target-price)>atr14*4 AND NOT target_hit THEN 'TARGET_TOO_AGGRESSIVE' END], lambda x: x IS NOT NULL) END"""
-fragment("errs", f"SELECT signal_id, horizon, source, {ERR} AS types FROM okx")
-query("error_taxonomy", "SELECT signal_id, horizon, array_to_string(types,'|') AS types, types[len(types)] AS primary_type FROM errs WHERE types IS NOT NULL")(
-    lambda s, d: _errs(s, d).select("signal_id", "horizon", "types", F.element_at("types", -1).alias("primary_type")))
-query("error_counts", "SELECT source, t AS error_type, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, t) AS rank FROM (SELECT source, unnest(types) AS t FROM errs WHERE types IS NOT NULL) AS q GROUP BY source, t")(
-    lambda s, d: _errs(s, d).select("source", F.explode("types").alias("error_type")).groupBy("source", "error_type").agg(F.count(F.lit(1)).alias("n"))
-    .withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "error_type"))))
-
-
-def _errs(s, d):
-    return ok(s, d).withColumn("types", rp.error_types()).filter("types IS NOT NULL").select("signal_id", "horizon", "source", "types")
-
-
 query("error_rates", """
  SELECT horizon, regime, count(*) AS sample, count(*) FILTER (WHERE status IN ('STOP','FAIL')) AS failures, count(DISTINCT session_no) AS days,
   CASE WHEN count(*)>=40 AND count(DISTINCT session_no)>=5 THEN count(*) FILTER (WHERE status IN ('STOP','FAIL'))::DOUBLE/count(*) END AS error_rate,
