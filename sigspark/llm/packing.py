@@ -19,8 +19,10 @@ equally tight.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -33,8 +35,8 @@ from pyspark.sql.window import Window
 from sigspark.llm.common import text_slices, written
 
 SEQUENCE, SEPARATOR = 2048, 0
-#: Words whose ids a worker keeps; beyond that the table starts anew.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker process keeps, about 200 bytes each.
+CACHED_WORDS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -47,24 +49,46 @@ class WordIds:
     """Ids of whole texts from ids of their words.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of
-    its words in turn, and each word is encoded once while the table holds it.
+    its words in turn. Words seen first stay in a table of bounded size, as the bytes of their
+    ids; frequent ones are among them. Others are encoded with the slice that holds them.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def words(self, new: list[str]) -> dict[str, bytes]:
+        """Little-endian 32-bit ids of each word, many words to a call."""
+        out = {}
+        plain = [w for w in new if w.isascii() or w.isalpha()]
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            start = np.cumsum([0] + [len(w) + 1 for w in part])
+            cut = np.searchsorted([o for o, _ in got.offsets], start)
+            raw = np.array(got.ids, "<u4").tobytes()
+            out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        for w in set(new).difference(plain):
+            out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = sorted(set(chain.from_iterable(split)).difference(self.known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update((w, e.ids) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
-        find = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(find, words)), (SEPARATOR,)), np.uint32) for words in split]
+        new = self.words(sorted(set(chain.from_iterable(split)).difference(self.known)))
+        if len(self.known) + len(new) <= CACHED_WORDS:
+            self.known.update(new)
+            new = {}
+        end, known = np.array([SEPARATOR], "<u4").tobytes(), self.known.get
+        find = (lambda w: known(w) or new[w]) if new else self.known.__getitem__
+        return [np.frombuffer(b"".join(map(find, words)) + end, "<u4") for words in split]
+
+
+@cache
+def worker_ids(path: str) -> WordIds:
+    """One table for each worker process, kept from task to task."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, ids: bool = False) -> DataFrame:
@@ -73,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, ids: bool
     schema = schema.add("ids", T.ArrayType(T.IntegerType())) if ids else schema
 
     def work(batches):
-        words = WordIds(tokenizer)
+        words = worker_ids(tokenizer)
         for (own,), texts in text_slices(batches, ("doc_id",)):
             row, piece, start, length, crc, values = [], [], [], [], [], []
             for i, tokens in enumerate(words.encode(texts)):
