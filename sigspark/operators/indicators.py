@@ -280,8 +280,9 @@ def bollinger_zone(close: Column, upper: Column, lower: Column) -> Column:
     )
 
 
-def session_vwap(df: DataFrame, order: str = "slot") -> DataFrame:
-    """Session-to-date VWAP with position, transition and slope; contiguous slots only."""
+def session_vwap(df: DataFrame, order: str = "slot", start: int = 0) -> DataFrame:
+    """Session-to-date VWAP with position, transition and slope; only while the slots are
+    contiguous from the session's first one, ``start``."""
     day = W.partitionBy("symbol", "day").orderBy(order)
     run = day.rowsBetween(W.unboundedPreceding, 0)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
@@ -296,7 +297,7 @@ def session_vwap(df: DataFrame, order: str = "slot") -> DataFrame:
     )
     df = df.withColumn("vwap", ratio(F.col("_pv"), F.col("_vol")))
     df = df.withColumn("_pvwap", F.lag("vwap").over(day))
-    whole = (F.col("_n") >= 2) & (F.col(order) - F.col("_first") + 1 == F.col("_n"))
+    whole = (F.col("_n") >= 2) & (F.col("_first") == start) & (F.col(order) - F.col("_first") + 1 == F.col("_n"))
     dist = pct_change(F.col("close"), F.col("vwap"))
     return df.withColumns(
         {
@@ -351,7 +352,7 @@ def volume_breakout_first(df: DataFrame, level: str, order: str = "slot") -> Dat
     crossed = (F.col("_pclose") <= F.col(level)) & (F.col("close") > F.col(level))
     strong = crossed & (F.col("_n") >= 3) & (F.col("volume") >= 1.3 * F.col("_v"))
     return df.groupBy("symbol", "day").agg(
-        F.min(level).alias("level"),
+        F.min_by(level, F.when(strong, F.col(order))).alias("level"),
         F.min(F.when(strong, F.col(order))).alias("break_slot"),
         F.min_by("close", F.when(strong, F.col(order))).alias("break_price"),
         F.min_by(F.col("volume") / F.col("_v") * 100, F.when(strong, F.col(order))).alias("break_volume_ratio"),

@@ -53,6 +53,8 @@ def nine_votes(df: DataFrame, min_votes: int = 6, min_families: int = 3, min_con
 def label_session(signals: DataFrame, bars: DataFrame, horizons: dict[str, int], last_slot: int = 23) -> DataFrame:
     """Same-session outcome per signal and horizon; every expected bar must be there.
 
+    The horizon SESSION ends with the session; any other that would run past it is rejected.
+
     The bars of one symbol and day are one short array, so the label is one equi-join.
     """
     bar = F.struct(F.col("slot").alias("no"), "open", "high", "low", "close")
@@ -65,7 +67,7 @@ def label_session(signals: DataFrame, bars: DataFrame, horizons: dict[str, int],
     d = out.touches(d).withColumn("levels_ok", F.coalesce(ordered, F.lit(False)))
     hz = F.array(*[F.struct(F.lit(n).alias("horizon"), F.lit(h).alias("h")) for n, h in horizons.items()])
     d = d.withColumn("_h", F.explode(hz))
-    due = F.least(F.col("slot") + F.col("_h.h"), F.lit(last_slot))
+    due = F.when(F.col("_h.horizon") == "SESSION", last_slot).otherwise(F.col("slot") + F.col("_h.h"))
     d = out.evaluated(d.withColumns({"horizon": F.col("_h.horizon"), "due": due}).drop("_h"))
     d = d.withColumns({"_w": F.filter("_path", lambda b: b["no"] <= F.col("due")), "_tk": F.when(F.col("_tk") <= F.col("due"), F.col("_tk")),
                        "_sk": F.when(F.col("_sk") <= F.col("due"), F.col("_sk"))})
@@ -73,11 +75,12 @@ def label_session(signals: DataFrame, bars: DataFrame, horizons: dict[str, int],
     d = out.evaluated(d.withColumns({"_n": F.size("_w"), "_hi": F.array_max(F.transform("_w", lambda b: b["high"])),
                                      "_lo": F.array_min(F.transform("_w", lambda b: b["low"])), "_exit": F.get("_w", F.size("_w") - 1)["close"]}).drop("_w"))
     need = F.col("due") - F.col("slot")
-    done = (need > 0) & (F.col("_n") == need)
+    beyond = F.col("due") > last_slot
+    done = (need > 0) & ~beyond & (F.col("_n") == need)
     short = F.col("short")
     return d.withColumns({
         "completed": done,
-        "reason": first_match((need <= 0, "NO_POST_SIGNAL_BAR"), (~done, "MISSING_BAR"), default=None),
+        "reason": first_match((need <= 0, "NO_POST_SIGNAL_BAR"), (beyond, "HORIZON_EXCEEDS_SESSION"), (~done, "MISSING_BAR"), default=None),
         "return_pct": F.when(done, pct_change(F.col("_exit"), base)),
         "side_return": F.when(done, side_return(base, F.col("_exit"), short)),
         "side_mfe": F.when(done, F.greatest(F.lit(0.0), side_return(base, F.when(short, F.col("_lo")).otherwise(F.col("_hi")), short))),

@@ -209,17 +209,18 @@ query("next_bar_start", "SELECT event_id, strftime(make_timestamp(CAST(ceil(epoc
 query("json_access", "SELECT event_id, CAST(json_extract(props,'$.k') AS BIGINT) AS k FROM events")(
     lambda s, d: fx.table(s, d, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k")))
 query("alarm_match", """
- WITH a AS (SELECT event_type AS symbol, median(value) AS target, min(ts)+INTERVAL 1 DAY AS created_at FROM events GROUP BY event_type)
+ WITH a AS (SELECT event_type AS symbol, median(value) FILTER (WHERE ts<=c) AS target, min(c) AS created_at FROM (SELECT *, min(ts) OVER (PARTITION BY event_type)+INTERVAL 1 DAY AS c FROM events) AS e GROUP BY event_type)
  SELECT e.event_type AS symbol, op AS operator, min(e.event_id) AS quote_id FROM events e JOIN a ON e.event_type=a.symbol CROSS JOIN (SELECT unnest(['GE','LE']) AS op) o WHERE e.ts>a.created_at AND CASE op WHEN 'GE' THEN value>=target ELSE value<=target END GROUP BY e.event_type, op""")(lambda s, d: _alarms(s, d))
 
 
 def alarms(s, d):
-    """One alarm per symbol and operator at the exact median price."""
+    """One alarm per symbol and operator at the exact median of the prices seen before it was made."""
     from sigspark.functions.quantiles import robust
 
     q = fx.quotes(s, d)
     at = q.groupBy("symbol").agg((F.min("event_time") + F.expr("INTERVAL 1 DAY")).alias("created_at"))
-    med = robust(q, ["symbol"], "price").select("symbol", F.col("median").alias("target"))
+    seen = q.join(at, "symbol").filter("event_time <= created_at")
+    med = robust(seen, ["symbol"], "price").select("symbol", F.col("median").alias("target"))
     return at.join(med, "symbol").withColumn("operator", F.explode(F.array(F.lit("GE"), F.lit("LE"))))
 
 

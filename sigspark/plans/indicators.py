@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigspark.operators import indicators as ind
 from sigspark.plans.registry import fragment, query
@@ -170,7 +171,7 @@ fragment("hv1_", """
  SELECT *, sum((high+low+close)/3*volume) OVER w AS pv_, sum(volume) OVER w AS vol_, min(slot) OVER w AS first_,
         count(*) OVER w AS n_, lag(close) OVER (PARTITION BY symbol, day ORDER BY slot) AS pclose_
  FROM hours WINDOW w AS (PARTITION BY symbol, day ORDER BY slot ROWS UNBOUNDED PRECEDING)""")
-fragment("hv2_", "SELECT *, pv_/vol_ AS vwap, lag(pv_/vol_) OVER (PARTITION BY symbol, day ORDER BY slot) AS pvwap_, n_>=2 AND slot-first_+1=n_ AS contiguous FROM hv1_")
+fragment("hv2_", "SELECT *, pv_/vol_ AS vwap, lag(pv_/vol_) OVER (PARTITION BY symbol, day ORDER BY slot) AS pvwap_, n_>=2 AND first_=0 AND slot-first_+1=n_ AS contiguous FROM hv1_")
 fragment("hvwap", """
  SELECT *, CASE WHEN contiguous THEN (close/vwap-1)*100 END AS vwap_distance,
    CASE WHEN contiguous THEN CASE WHEN abs((close/vwap-1)*100)<=0.1 THEN 'NEAR' WHEN close>vwap THEN 'ABOVE' ELSE 'BELOW' END END AS vwap_position,
@@ -205,19 +206,18 @@ fragment("hlev_", """
 
 
 @query("volume_breakout_first", """
- WITH lv AS (SELECT symbol, day, avg(close) AS level FROM hours GROUP BY symbol, day),
- f AS (SELECT h.*, level, lag(close) OVER w AS pc, count(*) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS n,
+ WITH f AS (SELECT h.*, l_ AS level, lag(close) OVER w AS pc, count(*) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS n,
         avg(volume) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS v
-   FROM hours h JOIN lv USING (symbol, day) WINDOW w AS (PARTITION BY symbol, day ORDER BY slot)),
+   FROM hlev_ h WINDOW w AS (PARTITION BY symbol, day ORDER BY slot)),
  g AS (SELECT *, pc<=level AND close>level AS crossed, pc<=level AND close>level AND n>=3 AND volume>=1.3*v AS strong FROM f)
- SELECT symbol, CAST(day AS VARCHAR) AS day, min(level) AS level, min(slot) FILTER (WHERE strong) AS break_slot,
+ SELECT symbol, CAST(day AS VARCHAR) AS day, arg_min(level, slot) FILTER (WHERE strong) AS level, min(slot) FILTER (WHERE strong) AS break_slot,
         arg_min(close, slot) FILTER (WHERE strong) AS break_price, arg_min(volume/v*100, slot) FILTER (WHERE strong) AS break_volume_ratio,
         CASE WHEN bool_or(strong) THEN 'BREAKOUT' WHEN bool_or(crossed) THEN 'WEAK' ELSE 'WAITING' END AS state
  FROM g GROUP BY symbol, day""", f="level break_price break_volume_ratio")
 def volume_breakout_first(spark, sf):
     h = fx.hourly_bars(spark, sf)
-    lv = h.groupBy("symbol", "day").agg(F.avg("close").alias("level"))
-    return ind.volume_breakout_first(h.join(lv, ["symbol", "day"]), "level")
+    before = W.partitionBy("symbol", "day").orderBy("slot").rowsBetween(-12, -1)  # what was known when the bar began
+    return ind.volume_breakout_first(h.withColumn("level", F.max("high").over(before)), "level")
 
 
 SNAP = """

@@ -56,10 +56,10 @@ query("nine_vote_signal", f"""
 
 fragment("isig", "SELECT symbol||'-'||CAST(bar_no AS VARCHAR) AS signal_id, h.symbol, h.day, h.slot, h.bar_no, h.close AS price, s.signal AS decision, s.score, CASE s.signal WHEN 'BUY' THEN h.close*1.5 ELSE h.close*0.6 END AS target, CASE s.signal WHEN 'BUY' THEN h.close*0.7 ELSE h.close*1.4 END AS stop FROM hours h JOIN (SELECT symbol AS sy, slot AS sl, day AS dy, signal, score FROM hsig) s ON h.symbol=s.sy AND h.slot=s.sl AND h.day=s.dy WHERE s.signal<>'WATCH'")
 fragment("iout", """
- SELECT x.*, CASE WHEN need<=0 THEN 'NO_POST_SIGNAL_BAR' WHEN n<>need THEN 'MISSING_BAR' END AS reason, need>0 AND n=need AS completed FROM (
-  SELECT i.signal_id, i.symbol, i.day, i.slot, z.horizon, any_value(i.decision) AS decision, any_value(i.score) AS score, any_value(i.price) AS price, any_value(i.target) AS target, any_value(i.stop) AS stop, least(i.slot+z.h,23)-i.slot AS need, count(b.slot) AS n,
+ SELECT x.*, CASE WHEN need<=0 THEN 'NO_POST_SIGNAL_BAR' WHEN slot+need>23 THEN 'HORIZON_EXCEEDS_SESSION' WHEN n<>need THEN 'MISSING_BAR' END AS reason, need>0 AND slot+need<=23 AND n=need AS completed FROM (
+  SELECT i.signal_id, i.symbol, i.day, i.slot, z.horizon, any_value(i.decision) AS decision, any_value(i.score) AS score, any_value(i.price) AS price, any_value(i.target) AS target, any_value(i.stop) AS stop, CASE WHEN z.horizon='SESSION' THEN 23-i.slot ELSE z.h END AS need, count(b.slot) AS n,
    arg_max(b.close,b.slot) AS xc, max(b.high) AS hi, min(b.low) AS lo, min(b.slot) FILTER (WHERE CASE i.decision WHEN 'SELL' THEN b.low<=i.target ELSE b.high>=i.target END) AS tk, min(b.slot) FILTER (WHERE CASE i.decision WHEN 'SELL' THEN b.high>=i.stop ELSE b.low<=i.stop END) AS sk
-  FROM isig i CROSS JOIN (VALUES ('1H',1),('2H',2),('4H',4),('SESSION',24)) AS z(horizon,h) LEFT JOIN hours b ON b.symbol=i.symbol AND b.day=i.day AND b.slot>i.slot AND b.slot<=least(i.slot+z.h,23) GROUP BY i.signal_id, i.symbol, i.day, i.slot, z.horizon, z.h) AS x""")
+  FROM isig i CROSS JOIN (VALUES ('1H',1),('2H',2),('4H',4),('SESSION',24)) AS z(horizon,h) LEFT JOIN hours b ON b.symbol=i.symbol AND b.day=i.day AND b.slot>i.slot AND b.slot<=CASE WHEN z.horizon='SESSION' THEN 23 ELSE i.slot+z.h END GROUP BY i.signal_id, i.symbol, i.day, i.slot, z.horizon, z.h) AS x""")
 fragment("ires", """
  SELECT *, CASE WHEN completed THEN (xc/price-1)*100 END AS return_pct, CASE WHEN completed THEN CASE decision WHEN 'SELL' THEN (price/xc-1)*100 ELSE (xc/price-1)*100 END END AS side_return,
   CASE WHEN completed THEN greatest(0,CASE decision WHEN 'SELL' THEN (price/lo-1)*100 ELSE (hi/price-1)*100 END) END AS side_mfe, CASE WHEN completed THEN least(0,CASE decision WHEN 'SELL' THEN (price/hi-1)*100 ELSE (lo/price-1)*100 END) END AS side_mae,

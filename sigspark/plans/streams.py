@@ -13,7 +13,7 @@ query("stream_bars_5m", "SELECT event_type AS symbol, strftime(b,'%Y-%m-%d %H:%M
     lambda s, d: sm.drain(sm.bars(sm.quote_stream(s, d)), f"bars {d}"))
 query("stream_session_vwap", "SELECT event_type AS symbol, strftime(date_trunc('day',ts),'%Y-%m-%d %H:%M:%S') AS session, sum(value*v)/sum(v) AS vwap, count(*) AS ticks FROM (SELECT *, CAST(json_extract(props,'$.k') AS BIGINT)+1.0::DOUBLE AS v FROM events) AS e WHERE date_trunc('day',ts)+INTERVAL 1 DAY<=(SELECT max(ts) FROM events)-INTERVAL 10 MINUTE GROUP BY event_type, date_trunc('day',ts)", f="vwap")(
     lambda s, d: sm.drain(sm.session_vwap(sm.quote_stream(s, d)), f"vwap {d}"))
-query("stream_alarms", "WITH a AS (SELECT event_type AS symbol, median(value) AS target, min(ts)+INTERVAL 1 DAY AS created_at FROM events GROUP BY event_type) SELECT DISTINCT a.symbol, op AS operator FROM events e JOIN a ON e.event_type=a.symbol CROSS JOIN (SELECT unnest(['GE','LE']) AS op) o WHERE e.ts>a.created_at AND CASE op WHEN 'GE' THEN value>=target ELSE value<=target END")(
+query("stream_alarms", "WITH a AS (SELECT event_type AS symbol, median(value) FILTER (WHERE ts<=c) AS target, min(c) AS created_at FROM (SELECT *, min(ts) OVER (PARTITION BY event_type)+INTERVAL 1 DAY AS c FROM events) AS e GROUP BY event_type) SELECT DISTINCT a.symbol, op AS operator FROM events e JOIN a ON e.event_type=a.symbol CROSS JOIN (SELECT unnest(['GE','LE']) AS op) o WHERE e.ts>a.created_at AND CASE op WHEN 'GE' THEN value>=target ELSE value<=target END")(
     lambda s, d: sm.drain(sm.fired_alarms(sm.quote_stream(s, d), alarms(s, d), hit()), f"alarms {d}"))
 query("stream_latest_quote", "SELECT event_type AS symbol, arg_max(value, ts) AS price, strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS event_time FROM events GROUP BY event_type", f="price")(
     lambda s, d: fx.quotes(s, d).groupBy("symbol").agg(F.max(F.struct("event_time", "quote_id", "price")).alias("q")).select("symbol", "q.price", "q.event_time"))
