@@ -36,19 +36,32 @@ query("reaction_top10", f"SELECT session_no, symbol, rank FROM (SELECT session_n
     lambda s, d: sc.top_k(rows(s, d).filter(sc.strong_reaction()).withColumn("score", sc.reaction_score()), 10, F.round("score", 6).desc(), F.round("volume_ratio_incl", 6).desc(), F.round("close_position", 6).desc(), F.col("symbol"), group=("session_no",)).select("session_no", "symbol", "rank"))
 
 _br = "coalesce(h.prev_close<=h.high20_prev AND h.close>h.high20_prev,false)"
-query("intraday_score", f"""
+_ISCORE = f"""
  SELECT symbol, bar_no, CASE WHEN from_open<=-7 THEN 'HARD_FALL' WHEN from_open>=9.5 THEN 'HARD_RISE' END AS excluded, CASE WHEN from_open>-7 AND from_open<9.5 THEN greatest(0,least(100,{sql_sum(sc.INTRADAY_RULES)}+CASE WHEN br AND volume_ratio>=130 THEN 15 WHEN br THEN 6 ELSE 0 END)) END::DOUBLE AS score
- FROM (SELECT h.*, h.session_no AS bar_no, e.macd_hist, e.prev_macd-e.prev_signal AS prev_hist, from_open, from_low, to_high, {_br} AS br FROM hind h JOIN hemas e ON h.symbol=e.symbol AND h.session=e.session JOIN hshape s ON s.symbol=h.symbol AND s.bar_start=h.session) AS q""", f="score")(lambda s, d: _iscore(s, d))
+ FROM (SELECT h.*, h.session_no AS bar_no, e.macd_hist, e.prev_macd-e.prev_signal AS prev_hist, from_open, from_low, to_high, {_br} AS br FROM hind h JOIN hemas e ON h.symbol=e.symbol AND h.session=e.session JOIN hshape s ON s.symbol=h.symbol AND s.bar_start=h.session) AS q"""
+query("intraday_score", _ISCORE, f="score")(lambda s, d: _iscore(s, d))
 
 
-def _iscore(s, d):
+fragment("isc_", _ISCORE)
+query("intraday_top10", """
+ SELECT bar_no, symbol, rank FROM (SELECT c.bar_no, c.symbol, row_number() OVER (PARTITION BY c.bar_no ORDER BY score DESC, round(h.volume3_ratio,6) DESC NULLS LAST, round(h.momentum3,6) DESC NULLS LAST, c.symbol) AS rank
+ FROM isc_ c JOIN hind h ON h.symbol=c.symbol AND h.session_no=c.bar_no WHERE score>=45) AS q WHERE rank<=10""")(lambda s, d: _itop(s, d))
+
+
+def _itop(s, d):
+    """Ten best intraday scores of a bar; ties by three-bar volume, then momentum."""
+    x = _iscore(s, d, "volume3_ratio", "momentum3").filter("score >= 45")
+    return sc.top_k(x, 10, F.desc("score"), F.round("volume3_ratio", 6).desc_nulls_last(), F.round("momentum3", 6).desc_nulls_last(), F.col("symbol"), group=("bar_no",)).select("bar_no", "symbol", "rank")
+
+
+def _iscore(s, d, *more):
     h = fx.hourly_bars(s, d)
     shape = ind.intraday_shape(h).select("symbol", F.col("bar_no").alias("session_no"), "from_open", "from_low", "to_high")
     b = h.select("symbol", F.col("symbol").alias("sector"), F.col("bar_start").alias("session"), "open", "high", "low", "close", "volume", F.col("bar_no").alias("session_no"))
     f = ind.indicator_frame(b, ind.BarWindow("symbol", order="session_no")).withColumn("prev_hist", F.col("prev_macd") - F.col("prev_signal"))
     x = f.join(shape, ["symbol", "session_no"])
     brk = F.coalesce((F.col("prev_close") <= F.col("high20_prev")) & (F.col("close") > F.col("high20_prev")), F.lit(False))
-    return x.select("symbol", F.col("session_no").alias("bar_no"), sc.intraday_exclusion().alias("excluded"), sc.intraday_score(brk, brk & F.coalesce(F.col("volume_ratio") >= 130, F.lit(False))).cast("double").alias("score"))
+    return x.select("symbol", F.col("session_no").alias("bar_no"), sc.intraday_exclusion().alias("excluded"), sc.intraday_score(brk, brk & F.coalesce(F.col("volume_ratio") >= 130, F.lit(False))).cast("double").alias("score"), *more)
 
 
 query("fast_prescan", "SELECT symbol, session_no, points FROM (SELECT symbol, session_no, CASE WHEN volume_ratio_incl>=150 THEN 3 WHEN volume_ratio_incl>=110 THEN 2 ELSE 0 END+CASE WHEN abs(change_pct)>=2 THEN 2 ELSE 0 END+CASE WHEN close>sma5 THEN 1 ELSE 0 END+CASE WHEN sma5>sma10 THEN 1 ELSE 0 END AS points FROM ind) AS q WHERE points>=4")(

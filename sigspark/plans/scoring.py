@@ -65,8 +65,6 @@ query("tomorrow_score", "SELECT symbol, session_no, tscore::DOUBLE AS tscore FRO
     lambda s, d: scored(s, d).select("symbol", "session_no", "tscore"))
 query("tomorrow_top10", "SELECT session_no, symbol, tscore::DOUBLE AS tscore, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY tscore DESC, round(volume_ratio_incl,6) DESC, round(rr,6) DESC NULLS LAST, symbol) AS rank FROM tsc WHERE tscore>=55) AS q WHERE rank<=10", f="tscore")(
     lambda s, d: sc.top_k(scored(s, d).filter("tscore >= 55"), 10, F.desc("tscore"), F.round("volume_ratio_incl", 6).desc(), F.round("rr", 6).desc_nulls_last(), F.col("symbol"), group=("session_no",)).select("session_no", "symbol", "tscore", "rank"))
-query("intraday_top10", "SELECT session_no, symbol, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY tscore DESC, round(volume3_ratio,6) DESC NULLS LAST, round(momentum3,6) DESC NULLS LAST, symbol) AS rank FROM tsc WHERE tscore>=45) AS q WHERE rank<=10")(
-    lambda s, d: sc.top_k(scored(s, d).filter("tscore >= 45"), 10, F.desc("tscore"), F.round("volume3_ratio", 6).desc_nulls_last(), F.round("momentum3", 6).desc_nulls_last(), F.col("symbol"), group=("session_no",)).select("session_no", "symbol", "rank"))
 query("news_decay", "SELECT doc_id, n_chars/100.0 * pow(0.5, (doc_id%720)/180.0) AS decayed FROM documents", f="decayed")(
     lambda s, d: fx.table(s, d, "documents").select("doc_id", sc.news_decay(F.col("n_chars") / 100.0, (F.col("doc_id") % 720).cast("double")).alias("decayed")))
 query("decision_from_score", "SELECT signal_id, CASE WHEN score>=82 AND momentum3/100>=-2 AND rsi/50-1>=-1 THEN 'STRONG_BUY' WHEN score>=70 AND momentum3/100>=-4 THEN 'BUY' WHEN score<=35 OR momentum3/100<=-8 THEN 'SELL' WHEN score<=50 OR momentum3/100<=-5 THEN 'RISKY_WATCH' ELSE 'WATCH' END AS decision FROM preds")(
