@@ -70,11 +70,15 @@ def summarize(rows: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
-def outcome_stats(rows: DataFrame, keys: list[str], value: str = "directional_return") -> DataFrame:
-    """Full statistics of clean examples per group; pending and excluded rows only counted."""
+def outcome_stats(rows: DataFrame, keys: list[str], value: str = "directional_return", roll=None) -> DataFrame:
+    """Full statistics of clean examples per group; pending and excluded rows only counted.
+
+    roll: as in ``robust``; rows then carry the fine key instead of the coarse one.
+    """
     ok = F.col("reason").isNull()
     v = F.when(ok, F.col(value))
-    counts = rows.groupBy(*keys).agg(
+    every = rows.withColumn(roll[1], F.explode(roll[2])) if roll else rows
+    counts = every.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), count_if(F.col("reason") == "PENDING").alias("pending"),
         count_if(F.col("reason").isNotNull() & (F.col("reason") != "PENDING")).alias("excluded"),
         count_if(ok).alias("completed_n"), count_if(v > 0).alias("positive"), count_if(v < 0).alias("negative"),
@@ -84,7 +88,7 @@ def outcome_stats(rows: DataFrame, keys: list[str], value: str = "directional_re
         F.avg(F.when(ok, F.col("return_pct"))).alias("mean_raw_return"),
         F.avg(F.when(ok, F.col("mfe"))).alias("mean_mfe"), F.avg(F.when(ok, F.col("mae"))).alias("mean_mae"),
     )
-    r = robust(rows.filter(ok), keys, value)
+    r = robust(rows.filter(ok), keys, value, roll=roll)
     d = counts.join(r, keys, "left") if keys else counts.crossJoin(r)
     n = F.col("completed_n")
     return d.withColumns({

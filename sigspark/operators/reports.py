@@ -75,12 +75,6 @@ def long_labels(df: DataFrame, labels: dict[str, Column], keep: list[str], key:
     return df.select(*keep, F.explode(items).alias("_i")).select(*keep, f"_i.{key}", f"_i.{value}")
 
 
-def periods(asof: Column, at: Column, sizes=(7, 30, 90)) -> Column:
-    """Overlapping look-back cohorts of a record as a short array."""
-    age = asof - at
-    return F.array_compact(F.array(*[F.when((age >= 0) & (age <= n), F.lit(str(n))) for n in sizes], F.lit("ALL")))
-
-
 def signal_keys() -> Column:
     band = score_band(F.col("score"))
     items = [F.struct(F.lit("overall").alias("kind"), F.lit("ALL").alias("name")),
@@ -94,16 +88,29 @@ def signal_keys() -> Column:
 KEEP = ["horizon", "reason", "directional_return", "return_pct", "mfe", "mae"]
 
 
+AGES = (7, 30, 90)
+
+
+def age_class(asof: Column, at: Column) -> Column:
+    """The narrowest look-back cohort a record is in; cohorts overlap, classes don't."""
+    age = asof - at
+    return first_match(*[((age >= 0) & (age <= n), n) for n in AGES], default=0)
+
+
+def cohorts(age: str) -> Column:
+    """All look-back cohorts that hold the records of an age class."""
+    return F.array_compact(F.array(*[F.when((F.col(age) > 0) & (F.col(age) <= n), F.lit(str(n))) for n in AGES], F.lit("ALL")))
+
+
 def signal_performance(examples: DataFrame, asof: DataFrame) -> DataFrame:
-    d = examples.crossJoin(asof).withColumn("period", F.explode(periods(F.col("last_no"), F.col("session_no"))))
-    d = d.select("period", F.explode(signal_keys()).alias("_k"), *KEEP).select("period", "_k.kind", "_k.name", *KEEP)
-    return st.outcome_stats(d, ["period", "kind", "name", "horizon"])
+    d = examples.crossJoin(asof).withColumn("age", age_class(F.col("last_no"), F.col("session_no")))
+    d = d.select("age", F.explode(signal_keys()).alias("_k"), *KEEP).select("age", "_k.kind", "_k.name", *KEEP)
+    return st.outcome_stats(d, ["period", "kind", "name", "horizon"], roll=("age", "period", cohorts("age")))
 
 
 def indicator_condition_performance(examples: DataFrame) -> DataFrame:
     d = long_labels(examples.withColumn("signal", signal_name()), signal_conditions(), ["signal", *KEEP])
-    d = d.withColumn("signal_type", F.explode(F.array(F.lit("ALL"), F.col("signal"))))
-    return st.outcome_stats(d, ["indicator", "condition", "signal_type", "horizon"])
+    return st.outcome_stats(d, ["indicator", "condition", "signal_type", "horizon"], roll=("signal", "signal_type", F.array(F.lit("ALL"), F.col("signal"))))
 
 
 def criterion_report(rows: DataFrame, flags, keys: list[str], minimum: int = 40, days: int = 5) -> DataFrame:
