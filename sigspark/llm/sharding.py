@@ -3,7 +3,8 @@
 Rows with equal texts are an atomic group; groups stand in the order of their text's hash. The
 cut is the contiguous partition into at most ``shards`` ranges whose largest range is smallest:
 the capacity is found by binary search, each candidate checked by filling shards greedily, and
-the groups are cut there.
+the groups are cut there: each cut at the edge nearest to an even share of what is left, among
+the edges that keep every shard within the capacity (filling from the right shows which).
 
 No group list reaches the driver. It holds prefix sums at the edges of hash ranges only, at first
 ``COARSE`` ranges. For a candidate capacity a range can be taken as divisible (a lower bound of
@@ -110,12 +111,47 @@ def split(groups: DataFrame, ranges: list[Range], bits: int) -> list[Range]:
     return out
 
 
+def even_cuts(ranges: Ranges, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+    """Cuts (bytes before each) of shards within the capacity, as even as edges allow; and the
+    divisible ranges in which a cut could still move."""
+    ends, total, open_ = ranges.ends, ranges.ends[-1], set()
+
+    def divisible(at: int) -> None:
+        if not ranges.rows[at][2]:
+            open_.add(at)
+
+    least, stop = [0] * shards, total  # least[k]: where cut k must be at least, from the right
+    for k in range(shards - 1, 0, -1):
+        if stop > capacity:
+            at = bisect_left(ends, stop - capacity)
+            divisible(at)
+            stop = least[k] = ends[at]
+        else:
+            stop = 0
+    cuts, start = [], 0
+    for k in range(1, shards):
+        most = bisect_right(ends, start + capacity)
+        ideal = start + (total - start) / (shards - k + 1)
+        at = bisect_left(ends, ideal)
+        for x in {min(most, len(ends) - 1), min(at, len(ends) - 1)}:
+            divisible(x)
+        near = min((e for e in (ends[at - 1] if at else 0, ends[min(at, len(ends) - 1)])), key=lambda e: abs(e - ideal))
+        start = max(start, least[k], min(near, ends[most - 1] if most else 0))
+        cuts.append(start)
+    return cuts, open_
+
+
 def cut_keys(groups: DataFrame, shards: int = SHARDS, coarse: int = COARSE, fine: int = FINE) -> tuple[list[int], int]:
     """First keys of the shards after the first, and the capacity. groups: key, bytes (one row a key)."""
     ranges = Ranges()
     ranges.replace(set(), split(groups, [(0, 0, False, KEY_BITS)], coarse))
     if not ranges.rows:
         return [], 0
+
+    def refine(touched: set[int]) -> None:
+        old = [ranges.rows[i] for i in sorted(touched)]
+        ranges.replace({r[0] for r in old}, split(groups, old, fine))
+
     while True:
         ranges.sum_up()
         low, high = ranges.smallest(shards, True), ranges.smallest(shards, False)
@@ -128,9 +164,16 @@ def cut_keys(groups: DataFrame, shards: int = SHARDS, coarse: int = COARSE, fine
             last = min(len(ranges.rows) - 1, max(a[0], b[0]))
             touched |= {i for i in range(first, last + 1) if not ranges.rows[i][2]}
         if low == high or not touched:
-            return [ranges.rows[at][0] for at, _ in whole_cuts], high
-        old = [ranges.rows[i] for i in sorted(touched)]
-        ranges.replace({r[0] for r in old}, split(groups, old, fine))
+            break
+        refine(touched)
+    while True:
+        cuts, touched = even_cuts(ranges, high, shards)
+        if not touched:
+            break
+        refine(touched)
+        ranges.sum_up()
+    first = [r[0] for r in ranges.rows] + [1 << KEY_BITS]
+    return [first[bisect_right(ranges.ends, c)] for c in cuts], high
 
 
 def assigned(docs: DataFrame, shards: int = SHARDS, coarse: int = COARSE, fine: int = FINE) -> DataFrame:
@@ -138,7 +181,7 @@ def assigned(docs: DataFrame, shards: int = SHARDS, coarse: int = COARSE, fine:
     rows = written(sized(docs))
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
     cuts, _ = cut_keys(groups, shards, coarse, fine)
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
+    edges = F.array(*[F.lit(c).cast("decimal(20,0)") for c in cuts]) if cuts else F.array().cast("array<decimal(20,0)>")
     dealt = rows.withColumn("shard", F.size(F.filter(edges, lambda c: c <= F.col("key"))))
     # Slots: rank inside a bucket of bounded size, after the rows of the shard's earlier buckets.
     # A bucket is drawn from the id and the text's hash, so a group of copies spreads out.
