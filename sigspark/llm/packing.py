@@ -20,8 +20,10 @@ equally tight.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
+from collections import ChainMap
 from functools import cache
 from itertools import chain
 
@@ -35,8 +37,8 @@ from pyspark.sql.window import Window
 from sigspark.llm.common import text_slices, written
 
 SEQUENCE, SEPARATOR = 2048, 0
-#: Words whose ids a worker process keeps, about 200 bytes each.
-CACHED_WORDS = 500_000
+#: Words, and stems, whose ids a worker process keeps, about 200 bytes each.
+CACHED_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -49,17 +51,22 @@ class WordIds:
     """Ids of whole texts from ids of their words.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of
-    its words in turn. Words seen first stay in a table of bounded size, as the bytes of their
-    ids; frequent ones are among them. Others are encoded with the slice that holds them.
+    its words in turn; it lower-cases, and punctuation never joins letters, so most words are
+    letters and a tail in turn. Words and stems seen first stay in tables of bounded size, as
+    the bytes of their ids; frequent ones are among them. Others are encoded with the slice that
+    holds them.
     """
 
+    #: Letters of the first 256 code points, then punctuation: lower case is plain there.
+    STEM = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.stems = Tokenizer.from_file(path), {}, {"": b""}
 
-    def words(self, new: list[str]) -> dict[str, bytes]:
+    def encoded(self, new: list[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word, many words to a call."""
         out = {}
         plain = [w for w in new if w.isascii() or w.isalpha()]
@@ -74,9 +81,23 @@ class WordIds:
             out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
+    def words(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't in the table, by way of their stems and tails."""
+        parts = {}
+        for w in new:
+            m = self.STEM.fullmatch(w) if max(w) <= "\xff" else None
+            parts[w] = (m[1].lower(), m[2]) if m else (w, "")
+        fresh = self.encoded(sorted({x for p in parts.values() for x in p}.difference(self.stems)))
+        table = self.stems
+        if len(table) + len(fresh) <= CACHED_WORDS:
+            table.update(fresh)
+        else:
+            table = ChainMap(fresh, table)
+        return {w: table[a] + table[b] for w, (a, b) in parts.items()}
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").split() for t in texts]
-        new = self.words(sorted(set(chain.from_iterable(split)).difference(self.known)))
+        new = self.words(set(chain.from_iterable(split)).difference(self.known))
         if len(self.known) + len(new) <= CACHED_WORDS:
             self.known.update(new)
             new = {}
