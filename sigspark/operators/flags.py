@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigspark.operators.outcomes import evaluated
+
 # The criteria by family.
 FAMILIES = {
     "trend": ("SMA_TREND", "EMA_TREND", "MACD"),
@@ -72,3 +74,31 @@ def evidence_flags(known: Column) -> dict[str, Column]:
         **{k: c("final") == k for k in FAMILIES["decision"]},
     }
     return {k: F.when(known, v) for k, v in flags.items()}
+
+# How much of the weight a family may hold.
+BUDGETS = {"trend": 0.15, "momentum": 0.15, "volume": 0.15, "price_position": 0.15, "volatility": 0.1, "market": 0.08, "sector": 0.06, "news": 0.1, "macro": 0.06, "decision": 0.0}
+BASE_WEIGHT = {c: BUDGETS[family] / len(members) for family, members in FAMILIES.items() for c in members}
+
+
+def controlled_score(df: DataFrame, weights: DataFrame, raw: str, valid: Column, unsafe: Column, cap: float = 2.0) -> DataFrame:
+    """Adds a shadow score beside ``raw``: part_<family>, correction, shadow.
+
+    df holds the criteria as columns; weights (criterion, weight) are the approved ones. They fold
+    into one map row, so records are scored in place. A criterion that is true moves its family by
+    its weight less its base, in points. The sum is capped; a model that isn't ``valid`` yet gives 0,
+    an ``unsafe`` record keeps only a malus, and a record without a known criterion stays as it is.
+    """
+    model = weights.agg(F.map_from_entries(F.collect_list(F.struct("criterion", "weight"))).alias("_m"))  # at most one row a criterion
+    d = df.crossJoin(model)
+    zero = F.lit(0.0)
+
+    def share(c: str) -> Column:
+        return F.when(F.col(c), (F.coalesce(F.try_element_at("_m", F.lit(c)), F.lit(BASE_WEIGHT[c])) - BASE_WEIGHT[c]) * 100).otherwise(zero)
+
+    parts = {f"part_{family}": F.when(valid, sum([share(c) for c in members], zero)).otherwise(zero) for family, members in FAMILIES.items()}
+    d = evaluated(d.withColumns(parts))
+    delta = F.greatest(F.lit(-cap), F.least(F.lit(cap), sum([F.col(p) for p in parts], zero)))
+    known = F.exists(F.array(*[F.col(c).isNotNull() for c in CRITERIA]), lambda x: x)
+    delta = F.when(~known, zero).when(F.coalesce(unsafe, F.lit(True)), F.least(zero, delta)).otherwise(delta)
+    d = evaluated(d.withColumn("correction", delta).drop("_m"))
+    return d.withColumn("shadow", F.greatest(zero, F.least(F.lit(100.0), F.col(raw) + F.col("correction"))))

@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 from sigspark.functions import stats as st
 
 
-def bounded_weights(proposals: DataFrame, scope: str, baseline: float, step: float = 0.005) -> DataFrame:
-    """Project each scope's few weights onto the bounded simplex (sum 1).
+def bounded_weights(proposals: DataFrame, scope: str, step: float = 0.005) -> DataFrame:
+    """Project each scope's few weights onto the bounded simplex around its previous weights.
 
-    One scope holds one row per criterion, so a group is a handful of rows; the scopes
-    are spread over the cluster.
+    proposals: scope, criterion, weight, baseline (the previous weight of that criterion). A weight
+    stays within ``step`` and half of its own baseline, and a scope's weights sum to what its
+    baselines sum to, so a scope that lacks a criterion isn't stretched to 1. One scope holds one
+    row per criterion, so a group is a handful of rows; the scopes are spread over the cluster.
     """
     def project(g: pd.DataFrame) -> pd.DataFrame:
-        low = g["weight"].clip(upper=baseline).mul(0) + max(baseline * 0.5, baseline - step)
-        high = low * 0 + min(baseline * 1.5, baseline + step)
+        base = g["baseline"]
+        low = pd.concat([base * 0.5, base - step], axis=1).max(axis=1)
+        high = pd.concat([base * 1.5, base + step], axis=1).min(axis=1)
         a, b = -1.0, 1.0
         for _ in range(80):
             mid = (a + b) / 2
             w = (g["weight"] + mid).clip(lower=low, upper=high)
-            a, b = (mid, b) if w.sum() < 1 else (a, mid)
+            a, b = (mid, b) if w.sum() < base.sum() else (a, mid)
         return g.assign(weight=w.round(12))
 
     return proposals.groupBy(scope).applyInPandas(project, proposals.schema)

@@ -108,7 +108,7 @@ query("intraday_calibrated_score", """
  x AS (SELECT i.signal_id, least(95.0,45+i.score/4) AS raw, (CASE WHEN i.score>=20 THEN CASE WHEN w.a>0 THEN 0.25 ELSE -0.25 END ELSE 0 END+CASE WHEN i.slot<12 THEN CASE WHEN w.b>0 THEN 0.25 ELSE -0.25 END ELSE 0 END)::DOUBLE AS dl, i.decision='SELL' AS unsafe FROM isig i CROSS JOIN w),
  y AS (SELECT *, CASE WHEN unsafe THEN least(0,dl) ELSE dl END AS delta FROM x) SELECT signal_id, delta, greatest(0,least(95,raw+delta)) AS final FROM y""", f="delta final")(
     lambda s, d: ln.calibrated_score(intraday_outcomes(s, d).filter("horizon = '1H'").withColumns({**{n: F.expr(e) for n, e in IFLAG.items()}, "raw": F.least(F.lit(95.0), 45 + F.col("score") / 4)}), _iweights(s, d), list(IFLAG), 0.5, "raw", 45, F.col("decision") == "SELL").select("signal_id", "delta", "final"))
-query("intraday_weight_refresh")(lambda s, d: ln.bounded_weights(_iweights(s, d).withColumn("scope", F.lit("INTRADAY")).select("scope", "criterion", "weight"), "scope", 0.5))
+query("intraday_weight_refresh")(lambda s, d: ln.bounded_weights(_iweights(s, d).withColumn("scope", F.lit("INTRADAY")).withColumn("baseline", F.lit(0.5)).select("scope", "criterion", "weight", "baseline"), "scope"))
 
 # --- landed pages -------------------------------------------------------------------------------
 LINK = r"<li><a href=\"([^\"]*)\">([^<]*)</a>"

@@ -63,3 +63,31 @@ def evidence_inputs(s, d):
 
 query("evidence_flags", f"SELECT * FROM (SELECT signal_id, unnest([{', '.join(repr(k) for k in RULES)}]) AS criterion, unnest([{', '.join(f'CASE WHEN known THEN {v} END' for v in RULES.values())}]) AS flag FROM evin) AS q")(
     lambda s, d: st.long_flags(evidence_inputs(s, d), fl.evidence_flags(F.col("known")), ["signal_id"]))
+
+# --- controlled shadow score -------------------------------------------------------------------------
+# The approved weights of the fixture's model: two of three criteria, moved by up to 0.2 points.
+PROPOSED = {c: fl.BASE_WEIGHT[c] + ((i % 5) - 2) * 0.001 for i, c in enumerate(fl.CRITERIA) if i % 3}
+FAMILY_OF = {c: family for family, members in fl.FAMILIES.items() for c in members}
+_long = f"SELECT signal_id, session_no, rr, unnest([{', '.join(repr(k) for k in RULES)}]) AS criterion, unnest([{', '.join(f'CASE WHEN known THEN {v} END' for v in RULES.values())}]) AS flag FROM evin"
+_model = ", ".join(f"('{c}', '{FAMILY_OF[c]}', {w - fl.BASE_WEIGHT[c]!r}::DOUBLE)" for c, w in PROPOSED.items())
+_fam = ", ".join(f"coalesce(sum(moved) FILTER (WHERE family='{f}'),0)*100 AS part_{f}" for f in fl.FAMILIES)
+_all = "+".join(f"part_{f}" for f in fl.FAMILIES)
+query("controlled_score", f"""
+ WITH l AS ({_long}), m(criterion, family, moved) AS (VALUES {_model}),
+ a AS (SELECT l.signal_id, l.session_no>t.training_end AS valid, bool_or(flag IS NOT NULL) AS known, any_value(rr) AS rr, {_fam} FROM l CROSS JOIN trainend t LEFT JOIN m ON m.criterion=l.criterion AND l.flag GROUP BY l.signal_id, l.session_no, t.training_end),
+ b AS (SELECT *, CASE WHEN NOT known OR NOT valid THEN 0 ELSE greatest(-2,least(2,{_all})) END::DOUBLE AS delta FROM a),
+ c AS (SELECT *, CASE WHEN rr IS NULL OR rr<1.5 THEN least(0,delta) ELSE delta END::DOUBLE AS correction FROM b)
+ SELECT c.signal_id, {', '.join(f'CASE WHEN valid THEN part_{f} ELSE 0 END::DOUBLE AS part_{f}' for f in fl.FAMILIES)}, correction, greatest(0,least(100,p.score+correction)) AS shadow FROM c JOIN preds p ON p.signal_id=c.signal_id""",
+      f=" ".join([*(f"part_{f}" for f in fl.FAMILIES), "correction", "shadow"]))(lambda s, d: _controlled(s, d))
+
+
+def _controlled(s, d):
+    from sigspark.plans.learning import training_end
+
+    marks = fl.evidence_flags(F.col("known"))
+    x = evidence_inputs(s, d).crossJoin(training_end(s, d))
+    x = x.select("signal_id", "rr", (F.col("session_no") > F.col("training_end")).alias("valid"), *[v.alias(k) for k, v in marks.items()])
+    x = x.join(predictions(s, d).select("signal_id", F.col("score").alias("raw")), "signal_id")
+    weights = s.range(1).select(F.explode(F.create_map(*[F.lit(v) for kv in PROPOSED.items() for v in kv])).alias("criterion", "weight"))
+    out = fl.controlled_score(x, weights, "raw", F.col("valid"), F.col("rr").isNull() | (F.col("rr") < 1.5))
+    return out.select("signal_id", *[f"part_{f}" for f in fl.FAMILIES], "correction", "shadow")

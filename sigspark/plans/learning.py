@@ -138,8 +138,8 @@ def _calibrated(s, d):
     return ln.calibrated_score(predictions(s, d).filter("score IS NOT NULL"), _weights(s, d), list(FLAGS), 1 / 6, "score", 55, F.col("rsi") >= 64).select("signal_id", "delta", "final")
 
 
-query("bounded_weights")(lambda s, d: ln.bounded_weights(st.long_flags(ok(s, d).filter("horizon = 1"), list(FLAGS), ["sector", "status"]).filter("flag").groupBy("sector", "criterion")
-    .agg((1 / 6 + 0.01 * (F.avg(F.when(F.col("status") == "SUCCESS", 1.0).otherwise(0.0)) - 0.5)).alias("weight")), "sector", 1 / 6))
+query("bounded_weights")(lambda s, d: ln.bounded_weights(st.long_flags(ok(s, d), list(FLAGS), ["sector", "horizon", "status"]).filter("flag").groupBy(F.concat_ws("|", "sector", "horizon").alias("scope"), "criterion")
+    .agg((1 / 6 + 0.01 * (F.avg(F.when(F.col("status") == "SUCCESS", 1.0).otherwise(0.0)) - 0.5)).alias("weight")).withColumn("baseline", F.lit(1 / 6)), "scope"))
 query("history_success", "SELECT symbol, regime, horizon, n, success_rate, CASE WHEN n>=30 THEN greatest(-5,least(5,(success_rate-0.5)*10)) ELSE 0 END AS effect FROM (SELECT symbol, regime, horizon, count(*) AS n, avg(CASE WHEN status='SUCCESS' THEN 1.0 ELSE 0 END) AS success_rate FROM okx GROUP BY symbol, regime, horizon) AS q", f="success_rate effect")(
     lambda s, d: ok(s, d).groupBy("symbol", "regime", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("status") == "SUCCESS", 1.0).otherwise(0.0)).alias("success_rate"))
     .withColumn("effect", F.when(F.col("n") >= 30, F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col("success_rate") - 0.5) * 10))).otherwise(0.0)))

@@ -23,3 +23,14 @@ def test_criteria_by_hand(spark):
     got = [r.asDict() for r in df.select(*[v.alias(k) for k, v in fl.evidence_flags(F.col("known")).items()]).collect()]
     assert got[0] == WANT
     assert set(got[1].values()) == {None} == set(got[2].values())
+
+
+def test_controlled_score_by_hand(spark):
+    names = [*fl.CRITERIA, "raw", "valid", "unsafe"]
+    schema = ", ".join(f"{c} BOOLEAN" for c in fl.CRITERIA) + ", raw DOUBLE, valid BOOLEAN, unsafe BOOLEAN"
+    row = lambda **k: tuple({"raw": 50.0, "valid": True, "unsafe": False, **k}.get(n) for n in names)
+    rows = [row(MACD=True, RSI=True, VWAP=False), row(MACD=True, RSI=True, unsafe=True), row(RSI=True, unsafe=True), row(MACD=True, valid=False), row(), row(MACD=True, BUY=True, raw=99.5)]
+    weights = spark.createDataFrame([("MACD", fl.BASE_WEIGHT["MACD"] + 0.015), ("RSI", fl.BASE_WEIGHT["RSI"] - 0.004), ("BUY", 0.9)], "criterion string, weight double")
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    got = fl.controlled_score(df, weights, "raw", F.col("valid"), F.col("unsafe")).select("part_trend", "part_momentum", "correction", "shadow").collect()
+    assert [tuple(round(x, 9) for x in r) for r in got] == [(1.5, -0.4, 1.1, 51.1), (1.5, -0.4, 0.0, 50.0), (0.0, -0.4, -0.4, 49.6), (0.0, 0.0, 0.0, 50.0), (0.0, 0.0, 0.0, 50.0), (1.5, 0.0, 2.0, 100.0)]

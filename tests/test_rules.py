@@ -20,8 +20,11 @@ def test_macro_else_and_last_setting_wins(spark):
 
 
 def test_bounded_weights_sum_to_one_inside_their_bounds(spark):
-    rows = [(s, f"c{i}", 0.25 + random.Random(i).uniform(-0.05, 0.05)) for s in "ab" for i in range(4)]
-    got = ln.bounded_weights(spark.createDataFrame(rows, "scope string, criterion string, weight double"), "scope", 0.25).collect()
+    rows = [(s, f"c{i}", 0.25 + random.Random(i).uniform(-0.05, 0.05), 0.25) for s in "ab" for i in range(4)]
+    rows += [("short", "c0", 0.5, 0.3), ("short", "c1", 0.1, 0.1)]  # its criteria held 0.4 before
+    got = ln.bounded_weights(spark.createDataFrame(rows, "scope string, criterion string, weight double, baseline double"), "scope").collect()
+    short = {r.criterion: r.weight for r in got if r.scope == "short"}
+    assert sum(short.values()) == pytest.approx(0.4, abs=1e-9) and 0.295 - 1e-9 <= short["c0"] <= 0.305 + 1e-9 and 0.095 - 1e-9 <= short["c1"] <= 0.105 + 1e-9
     for s in "ab":
         w = [r.weight for r in got if r.scope == s]
         assert sum(w) == pytest.approx(1, abs=1e-9) and all(0.245 - 1e-9 <= x <= 0.255 + 1e-9 for x in w)
