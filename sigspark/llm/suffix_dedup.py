@@ -314,7 +314,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     """doc_id, n_bytes, span_starts, span_ends (removed byte runs), kept (remaining bytes) of every row."""
     rows = staged(docs)
     all_anchors = anchors(rows, length, gram)
-    twice = all_anchors.groupBy("h").count().filter("count > 1").select("h")
+    twice = written(all_anchors.groupBy("h").count().filter("count > 1").select("h"))  # a plain table: the join can split hot anchors
     found = written(all_anchors.join(twice, "h", "left_semi"))
     verdict = settled(contexts(found, rows, length), length, most)
     hit = found.select(F.col("h").alias("g"), "c", "rid", "lo").join(verdict, ["g", "c"])
