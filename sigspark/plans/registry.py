@@ -26,7 +26,8 @@ def fragment(name: str, sql: str) -> None:
 
 
 def _needs(sql: str) -> list[str]:
-    return [n for n in FRAGMENTS if re.search(rf"\b{n}\b", sql)]
+    words = set(re.findall(r"\w+", sql))
+    return [n for n in FRAGMENTS if n in words]
 
 
 def compose(body: str) -> str:
