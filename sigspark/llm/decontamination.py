@@ -5,7 +5,8 @@ is a window of ``SPAN`` words under a fixed mask; the words at the mask's zeros
 substitution there leaves the seed alone. Seeds of the benchmark and of the documents are joined
 by hash, and around each hit the two word sequences are compared on its diagonal: the best
 stretch by +1 a match and -2 a mismatch counts if it holds ``LEAST`` matches (all words of a
-shorter item) and four of five of its words agree.
+shorter item) and four of five of its words agree. If it fails either, the stretch with the most
+matches is tried, of all those of which four of five words agree.
 
 Before the join a document's windows are tried against a bitmap of the benchmark's seeds, of
 fixed size whatever the benchmark's; it only saves shuffling, and a full one lets everything
@@ -14,7 +15,8 @@ through. Documents send runs of hits with the words around them, never whole tex
 Defined cases: null and empty texts have no words and no overlap; items of fewer than ``SPAN``
 words are too short to tell from prose and are left out; a null doc_id or item_id is passed on;
 repeated rows give the same overlap once; extra columns are ignored; an empty documents or
-benchmark table gives no rows; among equally long overlaps the earliest is reported.
+benchmark table gives no rows; among overlaps with equally many matches the shortest, then the
+earliest is reported.
 """
 
 from __future__ import annotations
@@ -161,6 +163,25 @@ def stretch(match: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(match[start:end].sum())
 
 
+def passage(match: np.ndarray) -> tuple[int, int, int]:
+    """start, end and matches of the stretch with the most matches of those with IDENTITY; zeros without a match.
+
+    It begins and ends with a match. With i matches before a start and j to an end, identity holds
+    where 5 * j - 4 * end is at least 5 * i - 4 * start, so the least start of each end is found in
+    the running minimum.
+    """
+    at = np.flatnonzero(match)
+    if not len(at):
+        return 0, 0, 0
+    order = np.arange(len(at))
+    opened, closed = 5 * order - 4 * at, 5 * (order + 1) - 4 * (at + 1)
+    first = np.searchsorted(-np.minimum.accumulate(opened), -closed)
+    n = order - first + 1
+    last = np.flatnonzero(n == n.max())
+    last = int(last[np.argmin(at[last] - at[first[last]])])
+    return int(at[first[last]]), int(at[last]) + 1, int(n[last])
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, item_id, n_match, n_overlap, doc_word, item_word: the longest verified overlap of each
     document and item."""
@@ -183,8 +204,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
                 a, b = max(0, shift), min(len(doc), shift + len(item))
                 if b <= a:
                     continue
-                start, end, n = stretch(doc[a:b] == item[a - shift : b - shift])
-                if n >= min(LEAST, len(item)) and n >= IDENTITY * (end - start):
+                match = doc[a:b] == item[a - shift : b - shift]
+                start, end, n = stretch(match)
+                if n < min(LEAST, len(item)) or n < IDENTITY * (end - start):
+                    start, end, n = passage(match)
+                if n >= min(LEAST, len(item)):
                     rows.append(i)
                     out.append((n, end - start, begin + a + start, a - shift + start))
             columns = list(zip(*out, strict=True)) or [()] * 4

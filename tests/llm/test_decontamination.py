@@ -58,3 +58,30 @@ def test_bitmap_holds_every_seed(spark):
     bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
     a, b = dc.slots(np.array(seeds, np.int64).view(np.uint64), 18)
     assert bits[a].all() and bits[b].all() and bits.sum() <= 2 * len(seeds)
+
+
+def longest(match):
+    """Matches of the longest passing stretch, from all stretches."""
+    n = len(match)
+    return max((sum(match[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 5 * sum(match[a:b]) >= 4 * (b - a)), default=0)
+
+
+def test_passage_equals_all_stretches():
+    rng = random.Random(8)
+    for k in range(300):
+        match = [rng.random() < (0.3, 0.6, 0.75, 0.85)[k % 4] for _ in range(rng.randrange(45))]
+        start, end, n = dc.passage(np.array(match, bool))
+        assert n == sum(match[start:end]) == longest(match)
+        assert 5 * n >= 4 * (end - start) and (not n or match[start] and match[end - 1])
+
+
+def test_edited_passages_hold_what_their_parts_hold(spark):
+    rng = random.Random(6)
+    fresh = lambda n: ["".join(rng.choices("abcdefgh", k=9)) for _ in range(n)]
+    item = fresh(38)
+    edited = [w if k % 14 < 10 else "x" + w for k, w in enumerate(item)]  # three runs of 10, 4 changed words between
+    docs = [(1, edited), (2, edited[:10]), (3, edited[:24]), (4, [w if k % 3 else "x" + w for k, w in enumerate(item)])]
+    docs += [(5, [*item[:9], "x", item[10]]), (6, item[:9])]  # the best stretch of both is the run of 9
+    df = spark.createDataFrame([(d, " ".join(fresh(30) + w + fresh(30))) for d, w in docs], "doc_id long, text string")
+    got = {r.doc_id: (r.n_match, r.n_overlap) for r in dc.overlaps(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (20, 24), 2: (10, 10), 3: (20, 24), 5: (10, 11)}
