@@ -37,3 +37,37 @@ def test_planted_notices_are_found_and_prose_is_left_alone(spark):
     got = {(r.doc_id, r.license) for r in licenses.scan(df).collect()}
     assert got == want | {(None, "Apache-2.0")}
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def found(text):
+    known = licenses.Templates()
+    words, _ = licenses.word_hashes([text])
+    return [(known.names[t], n, a, b) for t, n, a, b in known.scan(words, *known.hits(words))]
+
+
+def test_close_copies_are_found_one_by_one():
+    line = "Licensed under the MIT License"
+    assert found(f"alpha {line} beta {line} gamma") == [("MIT", 5, 1, 6), ("MIT", 5, 7, 12)]
+    for name, text in TEMPLATES:
+        size = len(licenses.word_hashes([text])[0])
+        for copies in (1, 2, 3, 40):
+            for between in ("", "beta", "copyright some company and others " * 6):
+                step = size + len(between.split())
+                got = found(f"alpha {f' {between} '.join([text] * copies)} gamma")
+                assert got == [(name, size, 1 + k * step, 1 + k * step + size) for k in range(copies)], (name, copies, between)
+
+
+def test_close_copies_with_edits_and_mixed_notices():
+    rng = random.Random(3)
+    # GPL-2.0 and GPL-3.0 differ in a word that an edit can hit.
+    long = [(name, text.split()) for name, text in TEMPLATES if len(text.split()) > 20 and name != "GPL-2.0"]
+    for _ in range(100):
+        want, words = [], ["alpha"]
+        for name, text in rng.choices(long, k=rng.randint(2, 6)):
+            own = list(text)
+            del own[rng.randrange(1, len(own) - 1)]
+            own[rng.randrange(1, len(own) - 1)] = "changed"
+            own.insert(rng.randrange(1, len(own) - 1), "inserted here")
+            want.append(name)
+            words += own + ["beta"] * rng.randrange(3)
+        assert [d[0] for d in found(" ".join(words))] == want
