@@ -60,6 +60,10 @@ class WordIds:
     #: Letters of the first 256 code points, then punctuation: lower case is plain there.
     STEM = re.compile(r"([^\W\d_]+)([^\w\s]*)")
 
+    #: The vocabulary's white space: that of str.split() without SEPARATORS, which have ids.
+    SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+    SEPARATORS = "\x1c\x1d\x1e\x1f"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
@@ -95,8 +99,14 @@ class WordIds:
             table = ChainMap(fresh, table)
         return {w: table[a] + table[b] for w, (a, b) in parts.items()}
 
+    def split(self, text: str) -> list[str]:
+        """Words between the vocabulary's white space; str.split() is several times faster."""
+        if any(c in text for c in self.SEPARATORS):
+            return [w for w in self.SPACE.split(text) if w]
+        return text.split()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").split() for t in texts]
+        split = [self.split(t or "") for t in texts]
         new = self.words(set(chain.from_iterable(split)).difference(self.known))
         if len(self.known) + len(new) <= CACHED_WORDS:
             self.known.update(new)

@@ -73,3 +73,14 @@ def test_patterns_use_every_piece_and_are_near_the_bound(seed):
         else:
             gaps[at] -= size
     assert sum(b for b, _ in found) <= 1.02 * len(gaps) + 1
+
+
+def test_control_and_space_characters_keep_their_ids():
+    words = packing.WordIds(PATH)
+    odd = [chr(c) for c in range(0x3001) if not chr(c).isprintable() or chr(c).isspace()]
+    texts = [f"{a}{c}{b}" for c in odd for a, b in (("a", "b"), ("Don't,", "é!"), ("", "x"), ("x ", " "))]
+    texts += ["".join(f"w{c}" for c in odd), "".join(odd), "a\x1cb", " \x1f\x1e "]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [w.tolist() for w in words.encode(texts)] == want
+    assert words.encode(["a\x1cb"])[0].tolist() == [320, 472, 321, 0]
