@@ -1,8 +1,8 @@
 """Secret scan: base patterns, and structural confirmation of encoded candidates.
 
 Base spans come from three patterns over the whole text. The method looks at every run of
-base64 or hex letters and at every armoured block, decodes it and reports a span of its own
-only if the decoded bytes hold together: nested DER lengths that add up to the whole, a
+base64 or hex letters, at base64 wrapped to lines of one width and at every armoured block, with
+real or escaped line breaks, decodes it and reports a span of its own only if the decoded bytes hold together: nested DER lengths that add up to the whole, a
 length-prefixed key blob, or a signed token whose header is JSON with an algorithm.
 
 Defined cases: null text is the empty text and has no span; a null doc_id is passed on;
@@ -37,7 +37,11 @@ ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----([A-Za-z0-9+/=\s:,.-]{40,}?)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----((?:[A-Za-z0-9+/=\s:,.-]|\\{1,2}[nr/]){40,}?)-----END \1-----")
+#: A line break, real or escaped; a first long line and those that follow it; armour of something else.
+BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\{1,2}r)?\\{1,2}n)[ \t]*")
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+={{0,2}})+")
+OTHER_ARMOUR = re.compile(rf"-----BEGIN (?![A-Z0-9 ]*KEY-----)[A-Z0-9 ]+-----(?:{BREAK.pattern})?\Z")
 #: The first field of length-prefixed key blobs.
 BLOB_KINDS = {b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521"}
 OPENSSH = b"openssh-key-v1\x00"
@@ -113,6 +117,45 @@ def is_signed_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
 
 
+def der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that begins here, its header included; 0 if none does."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    more = head[1] & 0x7F if head[1] >= 0x80 else 0
+    return 0 if more > 4 else 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+
+
+def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64 over two lines or more, all of one width but for a shorter last one."""
+    found = []
+    for m in WRAPPED.finditer(text):
+        if OTHER_ARMOUR.search(text, max(0, m.start() - 80), m.start()):
+            continue
+        cuts = [(b.start(), b.end()) for b in BREAK.finditer(text, m.start(), m.end())]
+        lines = list(zip([m.start(), *(b for _, b in cuts)], [*(a for a, _ in cuts), m.end()], strict=True))
+        at = 0
+        while at + 1 < len(lines):
+            first, width = lines[at][0], lines[at][1] - lines[at][0]
+            head = unbase64(text[first : first + 40]) if width >= 40 else None
+            size, ends = der_size(head or b""), []
+            if size:  # a sequence says how many lines it takes
+                ends = [at - (-((4 * size + 2) // 3) // width)]
+            elif head and (head.startswith(OPENSSH) or head[4:].startswith((b"ssh-", b"ecdsa-"))):
+                end = at + 1
+                while end < len(lines) and lines[end][1] - lines[end][0] == width:
+                    end += 1
+                ends = [end + 1, end]
+            for end in ends:
+                if at + 2 <= end <= len(lines) and all(b - a == width for a, b in lines[at : end - 1]) and lines[end - 1][1] - lines[end - 1][0] <= width:
+                    data = unbase64("".join(text[a:b] for a, b in lines[at:end]))
+                    if data and (is_der_key(data) or is_key_blob(data)):
+                        found.append((first, lines[end - 1][1], "der_key" if is_der_key(data) else "key_blob"))
+                        at = end - 1
+                        break
+            at += 1
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
     if "AKIA" in text:
@@ -125,7 +168,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN" in text:
         for m in ARMOUR.finditer(text):
-            lines = [x for x in m[2].split("\n") if ":" not in x]  # without armour headers
+            body = re.sub(r"\\+[nr]", "\n", m[2]).replace("\\", "")
+            lines = [x for x in body.split("\n") if ":" not in x]  # without armour headers
             data = unbase64(re.sub(r"\s", "", "".join(lines)))
             if data and (is_der_key(data) or is_key_blob(data) or ":" in m[2]):
                 found.append((m.start(), m.end(), "pem_key"))
@@ -139,6 +183,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         data = unbase64(m[0])
         if data and (is_der_key(data) or is_key_blob(data)):
             found.append((m.start(), m.end(), "der_key" if is_der_key(data) else "key_blob"))
+    found += wrapped_spans(text)
     outer: list[tuple[int, int, str]] = []
     for span in sorted(found, key=lambda s: (s[0], -s[1], KINDS.index(s[2]))):
         if not outer or span[0] >= outer[-1][1]:

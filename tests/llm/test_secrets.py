@@ -74,3 +74,28 @@ def test_rows(spark):
     clean = {r.doc_id: r for r in secrets.redact(df, "n_chars").collect()}
     assert clean[0].text is None and clean[0].n_chars == 7 and clean[2].n_chars == len(clean[2].text) and "hunter22" not in clean[2].text
     assert secrets.scan(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+
+
+def test_keys_with_escaped_or_wrapped_lines():
+    import base64
+    import os
+
+    part = lambda tag, data: bytes([tag, 0x82]) + len(data).to_bytes(2, "big") + data
+    der = part(0x30, b"\x02\x01\x00" + part(4, os.urandom(600)))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    blob = field(b"ssh-rsa") + field(b"\x01\x00\x01") + field(os.urandom(257))
+    cut = lambda data, n: [t[i : i + n] for t in [base64.b64encode(data).decode()] for i in range(0, len(t), n)]
+    for turn in ("\\n", "\\r\\n", "\\\\n", "\n", "\r\n"):
+        armour = turn.join(["-----BEGIN PRIVATE KEY-----", *cut(der, 64), "-----END PRIVATE KEY-----"])
+        for body in (armour, armour.replace("/", "\\/")):
+            text = f'{{"key": "{body}{turn}"}}'
+            assert secrets.confirmed_spans(text) == [(9, 9 + len(body), "pem_key")]
+        other = armour.replace("PRIVATE KEY", "CERTIFICATE")
+        assert secrets.confirmed_spans(f"see {other} end") == []
+        for width in (64, 76):
+            for data, kind in ((der, "der_key"), (blob, "key_blob")):
+                body = turn.join(cut(data, width))
+                assert secrets.confirmed_spans(f"see {body}{turn}words after") == [(4, 4 + len(body), kind)]
+                assert secrets.confirmed_spans(f"see {body[:-40]}{turn}words after") == []
+    two = "\n".join(cut(der, 64) + cut(der, 64))
+    assert [s[2] for s in secrets.confirmed_spans(two)] == ["der_key", "der_key"]
