@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import decontamination, language, licenses, line_crf, packing, quality_rules, secrets, sharding, simhash, suffix_dedup
+from sigspark.llm import decontamination, importance, language, licenses, line_crf, mixing, packing, product_codes, quality_rules, secrets, sharding, simhash, suffix_dedup
 from sigspark.llm.common import documents, id_crc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,32 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and grants in every document, with their coverage."""
     return licenses.scan(documents(spark, sf_dir))
+
+
+@query
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, at the sources' target weights."""
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op11_source_mix"] = mixing.ORACLE
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's distribution."""
+    found = importance.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_importance_resampling"] = importance.ORACLE
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, with the codebooks' digest."""
+    found, book = product_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(product_codes.digest(book)).alias("codebooks_sha256"))
+
+
+ORACLES["op13_vector_codes"] = product_codes.oracle()
