@@ -15,6 +15,7 @@ MODULES = (
     "scoring",
     "bars",
     "news",
+    "identity",
     "streams",
     "learning",
     "more",

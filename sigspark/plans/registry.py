@@ -21,8 +21,14 @@ ORACLES: dict[str, str] = {}
 FRAGMENTS: dict[str, str] = {}
 
 
-def fragment(name: str, sql: str) -> None:
+#: Fragments that a recursive one reads: worked out once, not in every step.
+ONCE: set[str] = set()
+
+
+def fragment(name: str, sql: str, once: bool = False) -> None:
     FRAGMENTS[name] = sql
+    if once:
+        ONCE.add(name)
 
 
 def _needs(sql: str) -> list[str]:
@@ -48,7 +54,7 @@ def compose(body: str) -> str:
         return body
     if body.lstrip().upper().startswith("WITH"):
         body = f"SELECT * FROM (\n{body}\n) AS body_"
-    ctes = ",\n".join(f"{n} AS ({FRAGMENTS[n]})" for n in ordered)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({FRAGMENTS[n]})" for n in ordered)
     return f"WITH RECURSIVE {ctes}\n{body}"
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "sigspark", shuffle: int = 8) -> SparkSession:
@@ -44,3 +45,10 @@ def complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: iterations keep no lineage and survive a lost executor."""
+    path = f"{shared_dir(df.sparkSession)}/frozen-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
