@@ -17,6 +17,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +37,14 @@ KINDS = ("assign", "access", "hex", "pem_key", "signed_token", "der_key", "key_b
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----((?:[A-Za-z0-9+/=\s:,.-]|\\{1,2}[nr/]){40,}?)-----END \1-----")
+#: A run is entered at its start only and never given back, so that long runs cost linear time.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{16,}")
+OPENED, CLOSED = (re.compile(rf"-----{word} ([A-Z0-9 ]{{0,40}}KEY)-----") for word in ("BEGIN", "END"))
+ARMOURED = re.compile(r"(?:[A-Za-z0-9+/=\s:,.-]|\\{1,2}[nr/])*+")
+LEAST_ARMOURED = re.compile(r"(?:[A-Za-z0-9+/=\s:,.-]|\\{1,2}[nr/]){40,}+")
 #: A line break, real or escaped; a first long line and those that follow it; armour of something else.
 BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\{1,2}r)?\\{1,2}n)[ \t]*")
-WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+={{0,2}})+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{40,}}+(?:{BREAK.pattern}[A-Za-z0-9+/_-]+={{0,2}})+")
 OTHER_ARMOUR = re.compile(rf"-----BEGIN (?![A-Z0-9 ]*KEY-----)[A-Z0-9 ]+-----(?:{BREAK.pattern})?\Z")
 #: The first field of length-prefixed key blobs.
 BLOB_KINDS = {b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521"}
@@ -125,6 +129,27 @@ def der_size(head: bytes) -> int:
     return 0 if more > 4 else 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
 
 
+def armoured(text: str):
+    """(start, end, body) of each block from a BEGIN line to the next END line of its label, body characters only between."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in CLOSED.finditer(text):
+        ends.setdefault(m[1], []).append(m.span())
+    done = reach = 0
+    for m in OPENED.finditer(text):
+        if m.start() < done:
+            continue
+        if reach <= m.end():  # else this line lies in the run of body characters already measured
+            reach = ARMOURED.match(text, m.end()).end()
+        closing = ends.get(m[1], [])
+        for start, end in closing[bisect_left(closing, (m.end(), 0)) :]:
+            if start > reach:
+                break
+            if LEAST_ARMOURED.fullmatch(text, m.end(), start):
+                yield m.start(), end, text[m.end() : start]
+                done = end
+                break
+
+
 def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
     """Keys in base64 over two lines or more, all of one width but for a shorter last one."""
     found = []
@@ -167,12 +192,12 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose decoded structure says key or token, outermost first, none inside another."""
     found = []
     if "-----BEGIN" in text:
-        for m in ARMOUR.finditer(text):
-            body = re.sub(r"\\+[nr]", "\n", m[2]).replace("\\", "")
+        for start, end, inside in armoured(text):
+            body = re.sub(r"\\+[nr]", "\n", inside).replace("\\", "")
             lines = [x for x in body.split("\n") if ":" not in x]  # without armour headers
             data = unbase64(re.sub(r"\s", "", "".join(lines)))
-            if data and (is_der_key(data) or is_key_blob(data) or ":" in m[2]):
-                found.append((m.start(), m.end(), "pem_key"))
+            if data and (is_der_key(data) or is_key_blob(data) or ":" in inside):
+                found.append((start, end, "pem_key"))
     if "." in text:
         found += [(m.start(), m.end(), "signed_token") for m in TOKEN.finditer(text) if m[0].startswith(("ey", "ew")) and is_signed_token(m[0])]
     for m in HEX_ANY.finditer(text):

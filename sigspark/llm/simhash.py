@@ -157,8 +157,10 @@ def link_edges(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links) of every row."""
     prints = written(fingerprints(docs))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
-    named = nodes.filter("node is not null")
-    found = components(link_edges(named))
-    least = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # The fingerprint itself is the node, so rows without an id link others and a repeated id links nothing.
+    found = components(link_edges(nodes.select(F.col("fp").alias("node"), "fp")))
+    member = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = member.groupBy("component").agg(F.min("least").cast("long").alias("component_id"))
+    least = member.join(named, "component").select("fp", "component_id")
     return prints.join(least, "fp").select("doc_id", "fp", "component_id")

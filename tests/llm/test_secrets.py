@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 
 from sigspark.llm import secrets
@@ -99,3 +100,44 @@ def test_keys_with_escaped_or_wrapped_lines():
                 assert secrets.confirmed_spans(f"see {body[:-40]}{turn}words after") == []
     two = "\n".join(cut(der, 64) + cut(der, 64))
     assert [s[2] for s in secrets.confirmed_spans(two)] == ["der_key", "der_key"]
+
+
+def test_long_unbroken_runs_take_linear_time():
+    import time
+
+    mb = 1 << 20
+    opened = "-----BEGIN RSA PRIVATE KEY-----\n"
+    texts = ["A" * mb, "ab" * (mb // 2), "deadbeef" * (mb // 8), "0" * (mb + 1), "." * mb, "abcdefghijklmnopq." * (mb // 18), "eyJ" * (mb // 3) + ".", opened * (mb // len(opened)),
+             opened * (mb // len(opened)) + "-----END RSA PRIVATE KEY-----", (opened + "!") * (mb // len(opened)), "-----END RSA PRIVATE KEY-----" * (mb // 30), ("A" * 76 + "\n") * (mb // 77),
+             ("A" * 60 + " " * 900) * (mb // 960), "A" * 50 + " " * mb, "\\" * mb, "token=" * (mb // 6)]
+    for text in texts:
+        start = time.perf_counter()
+        secrets.base_spans(text), secrets.confirmed_spans(text)
+        assert time.perf_counter() - start < 1.5, text[:40]
+
+
+def test_armour_is_found_as_by_trying_every_end():
+    rng = random.Random(4)
+    parts = ["-----BEGIN KEY-----", "-----END KEY-----", "-----BEGIN EC KEY-----", "-----END EC KEY-----", "A" * 30, "\n", "\\n", "\\", "!", "B" * 45, ": "]
+    slow = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----((?:[A-Za-z0-9+/=\s:,.-]|\\{1,2}[nr/]){40,}?)-----END \1-----")
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(2, 9)))
+        assert list(secrets.armoured(text)) == [(*m.span(), m[2]) for m in slow.finditer(text)], text
+
+
+def test_spans_against_trying_every_start_and_end():
+    """Hex and base64 keys: a slow scan over all maximal runs; tokens: over all starts."""
+    rng = random.Random(6)
+    piece = lambda: rng.choice([KEY.hex(), KEY.hex().upper(), base64.b64encode(KEY).decode(), token({"alg": "x"}), "ab.cd", " ", "-", "Z" * 50, "0" * 7, "\t", "é"])
+    for _ in range(300):
+        text = "".join(piece() for _ in range(rng.randint(1, 6)))
+        got = secrets.confirmed_spans(text)
+        covered = [(a, b) for a, b, _ in got]
+        assert all(a2 >= b1 for (_, b1), (a2, _) in zip(covered, covered[1:]))
+        for a, b, kind in got:
+            if kind == "signed_token":
+                assert secrets.is_signed_token(text[a:b])
+        for i in range(len(text)):  # a signed token from every start of a run is inside a span
+            m = re.match(r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}", text[i:])
+            if m and (i == 0 or not re.match(r"[A-Za-z0-9_-]", text[i - 1])) and secrets.is_signed_token(m[0]):
+                assert any(a <= i < b for a, b in covered)

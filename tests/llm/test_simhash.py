@@ -68,3 +68,16 @@ def test_documents_with_nulls_ties_and_clashing_names(spark):
     found = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert found == [(-1, None), (3, 3), (5, 3), (5, 3), (7, 7), (8, 8), (9, 8)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_link_others_and_one_id_on_two_texts_links_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    prints = [(9, 0b0), (None, 0b111), (7, 0b111111), (20, 0b111111111), (4, 1 << 40 | 0xFFFF0000), (4, 0xABCDEF << 20), (30, 0xABCDEF << 20 | 1), (31, 1 << 40 | 0xFFFF0001)]
+    df = spark.createDataFrame(prints, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", F.col("fp")))
+    found = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert [found[p] for p in prints] == [7, 7, 7, 7, 4, 4, 4, 4] and len(set(found)) == 8
+    far = spark.createDataFrame([(4, 0), (4, (1 << 30) - 1), (5, 1), (6, (1 << 30) - 2)], "doc_id long, fp long")
+    edges = simhash.link_edges(far.select(F.col("fp").alias("node"), "fp")).collect()
+    assert {frozenset((r["a"], r["b"])) for r in edges} == {frozenset((0, 1)), frozenset(((1 << 30) - 1, (1 << 30) - 2))}
