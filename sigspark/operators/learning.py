@@ -31,14 +31,15 @@ def bounded_weights(proposals: DataFrame, scope: str, step: float = 0.005) -> Da
     return proposals.groupBy(scope).applyInPandas(project, proposals.schema)
 
 
-def calibrated_score(rows: DataFrame, weights: DataFrame, flags: list[str], base: float, raw: str, gate: float, unsafe, cap: float = 3.0) -> DataFrame:
+def calibrated_score(rows: DataFrame, weights: DataFrame, flags: list[str], base: float, raw: str, gate: float, unsafe, cap: float = 3.0, by: str | None = None) -> DataFrame:
     """Raw score plus the capped weight delta of true, approved flags.
 
     The weights table has one row per criterion, so it is folded into one map row and
-    every record is scored in place, without a shuffle of the records.
+    every record is scored in place, without a shuffle of the records. With ``by`` (a column
+    of both sides, such as the horizon) there is one map for each of its values.
     """
-    model = weights.agg(F.map_from_entries(F.collect_list(F.struct("criterion", "weight"))).alias("_m"))
-    d = rows.crossJoin(model)
+    entries = F.map_from_entries(F.collect_list(F.struct("criterion", "weight"))).alias("_m")
+    d = rows.join(weights.groupBy(by).agg(entries), by, "left") if by else rows.crossJoin(weights.agg(entries))
     parts = [F.when(F.col(f), (F.coalesce(F.try_element_at("_m", F.lit(f)), F.lit(base)) - base) * 100).otherwise(0.0) for f in flags]
     delta = F.greatest(F.lit(-cap), F.least(F.lit(cap), sum(parts, F.lit(0.0))))
     delta = F.when(F.col(raw) < gate, 0.0).when(F.coalesce(unsafe, F.lit(False)), F.least(F.lit(0.0), delta)).otherwise(delta)
@@ -51,20 +52,22 @@ def masks(flags: list[str]) -> tuple:
     return known, value
 
 
-def similar_history(queries: DataFrame, history: DataFrame, flags: list[str], scope: list[str], shared: int = 5, equal: float = 0.7) -> DataFrame:
-    """Laplace success probability over history with enough equal known flags.
+def similar_history(queries: DataFrame, history: DataFrame, flags: list[str], scope: list[str], shared: int = 5, equal: float = 0.7, per: str = "horizon") -> DataFrame:
+    """Laplace success probability over history with enough equal known flags, for each horizon of the history.
+
+    queries has the horizons asked for in ``per``.
 
     Both sides are first folded to flag patterns (known mask, value mask) per scope, so
     the inequality join compares patterns, whose number is set by the flags, not rows.
     """
     k, v = masks(flags)
-    h = history.withColumns({"hk": k, "hv": v}).groupBy(*scope, "hk", "hv").agg(
+    h = history.withColumns({"hk": k, "hv": v}).groupBy(*scope, per, "hk", "hv").agg(
         F.count(F.lit(1)).alias("n"), st.count_if(F.col("status") == "SUCCESS").alias("s"), F.sum("directional_return").alias("r"))
     q = queries.withColumns({"qk": k, "qv": v})
     patterns = q.select(*scope, "qk", "qv").distinct()
     both = F.col("hk").bitwiseAND(F.col("qk"))
     n_both = F.bit_count(both)
     agree = n_both - F.bit_count(both.bitwiseAND(F.col("hv").bitwiseXOR(F.col("qv"))))
-    m = patterns.join(h, scope).filter((n_both >= shared) & (agree >= equal * n_both)).groupBy(*scope, "qk", "qv").agg(
+    m = patterns.join(h, scope).filter((n_both >= shared) & (agree >= equal * n_both)).groupBy(*scope, per, "qk", "qv").agg(
         F.sum("n").alias("sample"), ((F.sum("s") + 1) / (F.sum("n") + 2) * 100).alias("probability"), (F.sum("r") / F.sum("n")).alias("mean_return"))
-    return q.join(m, [*scope, "qk", "qv"], "left").drop("qk", "qv")
+    return q.join(m, [*scope, per, "qk", "qv"], "left").drop("qk", "qv")

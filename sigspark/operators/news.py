@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sigspark.functions.scalars import first_match
+from sigspark.operators.context import asof_rows
 
 # Letters folded to ASCII, keyword weights, routine and high-importance words.
 FOLD = ("çğıöşü", "cgiosu")
@@ -97,3 +98,22 @@ def canonical_url(u: Column) -> Column:
     kept = F.array_sort(F.filter(given, lambda p: p.rlike("=.") & ~p.rlike(TRACKING)))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.concat(host, F.regexp_extract(bare, "^[a-zA-Z]+://[^/]+(.*)$", 1), query)
+
+
+def reference_prices(news: DataFrame, quotes: DataFrame, asks: DataFrame, hours: int = 6, bucket_seconds: int = 3600) -> DataFrame:
+    """symbol, news_id, asked_at, reference_price: for each question about a symbol, its live news and
+    the first price seen at or after the publication, if that was strictly before the question.
+
+    The forward as-of is the backward one on mirrored time. News are live for ``hours``; they meet
+    questions by equal symbol and hour, so no range join is formed.
+    """
+    mirrored = lambda c: F.timestamp_micros(F.lit(0).cast("long") - F.unix_micros(c))
+    seen = quotes.select("symbol", mirrored(F.col("event_time")).alias("known"), "price", F.col("event_time").alias("seen_at"))
+    left = news.select("news_id", "symbol", "published_at", mirrored(F.col("published_at")).alias("at"))
+    priced = asof_rows(left, seen, ["symbol"], "at", "known", ["price", "seen_at"], bucket_seconds)
+    hour = lambda c: F.floor(F.unix_timestamp(c) / 3600)
+    live = priced.withColumn("h", F.explode(F.sequence(hour(F.col("published_at")), hour(F.col("published_at")) + hours)))
+    met = live.join(asks.withColumn("h", hour(F.col("asked_at"))), ["symbol", "h"])
+    age = F.unix_micros("asked_at") - F.unix_micros("published_at")
+    return met.filter((age >= 0) & (age < hours * 3_600_000_000)).select(
+        "symbol", "news_id", "asked_at", F.when(F.col("seen_at") < F.col("asked_at"), F.col("price")).alias("reference_price"))

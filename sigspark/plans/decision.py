@@ -50,10 +50,12 @@ def macro_sql():
     return f"SELECT doc_id, {cat} AS category, greatest(-10,least(10,{'+'.join(gen)})) AS general, {cols} FROM (SELECT doc_id, lower(text) AS t FROM documents) AS q", " ".join(k_.lower() for k_ in sec)
 
 
-_sql, _cols = macro_sql()
+SQL, _cols = macro_sql()
+#: Sectors that the rules name.
+SECTORS = sorted(c.upper() for c in _cols.split())
 
 
-@query("macro_rules_score", _sql, f="general " + _cols)
+@query("macro_rules_score", SQL, f="general " + _cols)
 def macro_rules_score(s, d):
     cat, gen, sec = dc.macro_score(F.col("t"), GROUPS)
     return fx.table(s, d, "documents").select("doc_id", F.lower("text").alias("t")).select("doc_id", cat.alias("category"), gen.alias("general"), *[c.alias(k_.lower()) for k_, c in sec.items()])

@@ -15,26 +15,28 @@ from sigspark.plans.learning import intraday_outcomes
 from sigspark.plans.records_fixture import FLAGS, examples, frame, predictions
 from sigspark.plans.registry import fragment, query
 from sigspark.plans.reports import SIG, conds_sql, ok
+from sigspark.operators.outcomes import DAILY_HORIZONS as HORIZONS
 from sigspark.sources import fixtures as fx
 
 # --- evidence with fallback -------------------------------------------------------------------
-_ev = f"SELECT indicator, condition, signal_type, count(*) AS n, avg(CASE WHEN directional_return>0 THEN 1.0 ELSE 0 END) AS rate FROM (SELECT *, unnest(['ALL', {SIG}]) AS signal_type FROM ({conds_sql('ex')}) AS u_ WHERE horizon=1 AND reason IS NULL) AS q GROUP BY ALL HAVING count(*)>=30"
+_ev = f"SELECT horizon, indicator, condition, signal_type, count(*) AS n, avg(CASE WHEN directional_return>0 THEN 1.0 ELSE 0 END) AS rate FROM (SELECT *, unnest(['ALL', {SIG}]) AS signal_type FROM ({conds_sql('ex')}) AS u_ WHERE reason IS NULL) AS q GROUP BY ALL HAVING count(*)>=30"
 query("evidence_lookup_fallback", f"""
- WITH e AS ({_ev}), p AS (SELECT signal_id, {SIG} AS sig, indicator, condition FROM ({conds_sql('preds')}) AS c)
- SELECT p.signal_id, p.indicator, p.condition, coalesce(o.rate,a.rate) AS rate, CASE WHEN o.rate IS NOT NULL THEN 1.0 WHEN a.rate IS NOT NULL THEN 0.5 END::DOUBLE AS weight FROM p LEFT JOIN e o ON o.indicator=p.indicator AND o.condition=p.condition AND o.signal_type=p.sig
- LEFT JOIN e a ON a.indicator=p.indicator AND a.condition=p.condition AND a.signal_type='ALL'""", f="rate weight")(lambda s, d: _lookup(s, d))
+ WITH e AS ({_ev}), p AS (SELECT signal_id, {SIG} AS sig, indicator, condition, horizon FROM ({conds_sql('preds')}) AS c CROSS JOIN (SELECT unnest([{', '.join(map(str, HORIZONS))}]) AS horizon) AS z)
+ SELECT p.signal_id, p.horizon, p.indicator, p.condition, coalesce(o.rate,a.rate) AS rate, CASE WHEN o.rate IS NOT NULL THEN 1.0 WHEN a.rate IS NOT NULL THEN 0.5 END::DOUBLE AS weight FROM p LEFT JOIN e o ON o.horizon=p.horizon AND o.indicator=p.indicator AND o.condition=p.condition AND o.signal_type=p.sig
+ LEFT JOIN e a ON a.horizon=p.horizon AND a.indicator=p.indicator AND a.condition=p.condition AND a.signal_type='ALL'""", f="rate weight")(lambda s, d: _lookup(s, d))
 
 
 def _lookup(s, d):
-    x = rp.long_labels(examples(s, d).filter("horizon = 1 AND reason IS NULL").withColumn("sig", rp.signal_name()), rp.signal_conditions(), ["sig", "directional_return"])
-    e = x.withColumn("signal_type", F.explode(F.array(F.lit("ALL"), F.col("sig")))).groupBy("indicator", "condition", "signal_type").agg(
+    x = rp.long_labels(examples(s, d).filter("reason IS NULL").withColumn("sig", rp.signal_name()), rp.signal_conditions(), ["sig", "horizon", "directional_return"])
+    e = x.withColumn("signal_type", F.explode(F.array(F.lit("ALL"), F.col("sig")))).groupBy("horizon", "indicator", "condition", "signal_type").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("directional_return") > 0, 1.0).otherwise(0.0)).alias("rate")).filter("n >= 30")
-    # Two look-ups folded into one small table keyed by condition.
-    table = e.groupBy("indicator", "condition").agg(F.map_from_entries(F.collect_list(F.struct("signal_type", "rate"))).alias("m"))  # a handful of signal types
+    # Two look-ups folded into one small table keyed by horizon and condition.
+    table = e.groupBy("horizon", "indicator", "condition").agg(F.map_from_entries(F.collect_list(F.struct("signal_type", "rate"))).alias("m"))  # a handful of signal types
     p = rp.long_labels(predictions(s, d).withColumn("sig", rp.signal_name()), rp.signal_conditions(), ["signal_id", "sig"])
-    j = p.join(table, ["indicator", "condition"], "left")
+    p = p.withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
+    j = p.join(table, ["horizon", "indicator", "condition"], "left")
     own, every = F.try_element_at("m", F.col("sig")), F.try_element_at("m", F.lit("ALL"))
-    return j.select("signal_id", "indicator", "condition", F.coalesce(own, every).alias("rate"), first_match((own.isNotNull(), 1.0), (every.isNotNull(), 0.5), default=None).alias("weight"))
+    return j.select("signal_id", "horizon", "indicator", "condition", F.coalesce(own, every).alias("rate"), first_match((own.isNotNull(), 1.0), (every.isNotNull(), 0.5), default=None).alias("weight"))
 
 
 # --- resignal: keep an event only when it differs enough from the last kept one ----------------

@@ -118,24 +118,26 @@ def _after(s, d, rows, when):
 _mk = lambda a: "+".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE {1 << i} END" for i, f in enumerate(FLAGS))
 _mv = "+".join(f"CASE WHEN {f} THEN {1 << i} ELSE 0 END" for i, f in enumerate(FLAGS))
 query("similar_history", f"""
- WITH h AS (SELECT regime, {_mk(0)} AS hk, {_mv} AS hv, count(*) AS n, count(*) FILTER (WHERE status='SUCCESS') AS s, sum(directional_return) AS r FROM okx WHERE horizon=1 AND due_no<(SELECT training_end FROM trainend) GROUP BY ALL),
- q AS (SELECT signal_id, regime, {_mk(0)} AS qk, {_mv} AS qv FROM preds WHERE session_no>=(SELECT training_end FROM trainend))
- SELECT q.signal_id, m.sample, m.probability, m.mean_return FROM q LEFT JOIN (SELECT p.regime, qk, qv, sum(n)::BIGINT AS sample, (sum(s)+1)*100.0::DOUBLE/(sum(n)+2) AS probability, sum(r)/sum(n) AS mean_return FROM (SELECT DISTINCT regime, qk, qv FROM q) p JOIN h ON p.regime=h.regime AND bit_count(hk & qk)>=5 AND bit_count(hk & qk)-bit_count((hk & qk) & xor(hv,qv))>=0.7*bit_count(hk & qk) GROUP BY p.regime, qk, qv) m
- ON q.regime=m.regime AND q.qk=m.qk AND q.qv=m.qv""", f="probability mean_return")(
-    lambda s, d: ln.similar_history(_after(s, d, predictions(s, d), "session_no >= training_end").select("signal_id", "regime", *FLAGS), _after(s, d, ok(s, d), "horizon = 1 AND due_no < training_end"), list(FLAGS), ["regime"]).select("signal_id", "sample", "probability", "mean_return"))
+ WITH h AS (SELECT regime, {_mk(0)} AS hk, {_mv} AS hv, count(*) AS n, count(*) FILTER (WHERE status='SUCCESS') AS s, sum(directional_return) AS r, horizon FROM okx WHERE due_no<(SELECT training_end FROM trainend) GROUP BY ALL),
+ q AS (SELECT signal_id, regime, unnest([{', '.join(map(str, out.DAILY_HORIZONS))}]) AS horizon, {_mk(0)} AS qk, {_mv} AS qv FROM preds WHERE session_no>=(SELECT training_end FROM trainend))
+ SELECT q.signal_id, q.horizon, m.sample, m.probability, m.mean_return FROM q LEFT JOIN (SELECT p.regime, h.horizon, qk, qv, sum(n)::BIGINT AS sample, (sum(s)+1)*100.0::DOUBLE/(sum(n)+2) AS probability, sum(r)/sum(n) AS mean_return FROM (SELECT DISTINCT regime, qk, qv FROM q) p JOIN h ON p.regime=h.regime AND bit_count(hk & qk)>=5 AND bit_count(hk & qk)-bit_count((hk & qk) & xor(hv,qv))>=0.7*bit_count(hk & qk) GROUP BY p.regime, h.horizon, qk, qv) m
+ ON q.regime=m.regime AND q.horizon=m.horizon AND q.qk=m.qk AND q.qv=m.qv""", f="probability mean_return")(
+    lambda s, d: ln.similar_history(_after(s, d, predictions(s, d), "session_no >= training_end").select("signal_id", "regime", F.explode(F.array(*map(F.lit, out.DAILY_HORIZONS))).alias("horizon"), *FLAGS), _after(s, d, ok(s, d), "due_no < training_end"), list(FLAGS), ["regime"]).select("signal_id", "horizon", "sample", "probability", "mean_return"))
 query("calibrated_score", f"""
- WITH a AS (SELECT criterion, 1/6.0::DOUBLE+CASE direction WHEN 'UP' THEN 0.0025 WHEN 'DOWN' THEN -0.0025 ELSE 0 END AS weight FROM ({crit_sql('SELECT * FROM okl WHERE horizon=3', 'horizon')}) AS c WHERE enough AND direction<>'SAME'),
- x AS (SELECT p.signal_id, any_value(p.score) AS raw, any_value(p.rsi) AS rsi, coalesce(sum(CASE WHEN f.flag THEN (a.weight-1/6.0::DOUBLE)*100 END),0) AS dl FROM preds p, (SELECT signal_id AS sid, unnest([{', '.join(repr(f) for f in FLAGS)}]) AS criterion, unnest([{', '.join(FLAGS)}]) AS flag FROM preds) f LEFT JOIN a ON a.criterion=f.criterion WHERE f.sid=p.signal_id AND p.score IS NOT NULL GROUP BY p.signal_id),
- y AS (SELECT *, CASE WHEN raw<55 THEN 0 WHEN rsi>=64 THEN least(0,greatest(-3,least(3,dl))) ELSE greatest(-3,least(3,dl)) END AS delta FROM x) SELECT signal_id, delta, greatest(0,least(95,raw+delta)) AS final FROM y""", f="delta final")(lambda s, d: _calibrated(s, d))
+ WITH a AS (SELECT horizon, criterion, 1/6.0::DOUBLE+CASE direction WHEN 'UP' THEN 0.0025 WHEN 'DOWN' THEN -0.0025 ELSE 0 END AS weight FROM ({crit_sql('SELECT * FROM okl', 'horizon')}) AS c WHERE enough AND direction<>'SAME'),
+ p AS (SELECT *, unnest([{', '.join(map(str, out.DAILY_HORIZONS))}]) AS horizon FROM preds WHERE score IS NOT NULL), f AS (SELECT signal_id AS sid, unnest([{', '.join(repr(f) for f in FLAGS)}]) AS criterion, unnest([{', '.join(FLAGS)}]) AS flag FROM preds),
+ x AS (SELECT p.signal_id, p.horizon, any_value(p.score) AS raw, any_value(p.rsi) AS rsi, coalesce(sum(CASE WHEN f.flag THEN (a.weight-1/6.0::DOUBLE)*100 END),0) AS dl FROM p JOIN f ON f.sid=p.signal_id LEFT JOIN a ON a.criterion=f.criterion AND a.horizon=p.horizon GROUP BY p.signal_id, p.horizon),
+ y AS (SELECT *, CASE WHEN raw<55 THEN 0 WHEN rsi>=64 THEN least(0,greatest(-3,least(3,dl))) ELSE greatest(-3,least(3,dl)) END AS delta FROM x) SELECT signal_id, horizon, delta, greatest(0,least(95,raw+delta)) AS final FROM y""", f="delta final")(lambda s, d: _calibrated(s, d))
 
 
 def _weights(s, d):
-    r = rp.criterion_report(ok(s, d).filter("horizon = 3"), list(FLAGS), ["horizon"]).filter("enough AND direction <> 'SAME'")
-    return r.select("criterion", (1 / 6 + F.when(F.col("direction") == "UP", 0.0025).otherwise(-0.0025)).alias("weight"))
+    r = rp.criterion_report(ok(s, d), list(FLAGS), ["horizon"]).filter("enough AND direction <> 'SAME'")
+    return r.select("horizon", "criterion", (1 / 6 + F.when(F.col("direction") == "UP", 0.0025).otherwise(-0.0025)).alias("weight"))
 
 
 def _calibrated(s, d):
-    return ln.calibrated_score(predictions(s, d).filter("score IS NOT NULL"), _weights(s, d), list(FLAGS), 1 / 6, "score", 55, F.col("rsi") >= 64).select("signal_id", "delta", "final")
+    p = predictions(s, d).filter("score IS NOT NULL").withColumn("horizon", F.explode(F.array(*map(F.lit, out.DAILY_HORIZONS))))
+    return ln.calibrated_score(p, _weights(s, d), list(FLAGS), 1 / 6, "score", 55, F.col("rsi") >= 64, by="horizon").select("signal_id", "horizon", "delta", "final")
 
 
 query("bounded_weights")(lambda s, d: ln.bounded_weights(st.long_flags(ok(s, d), list(FLAGS), ["sector", "horizon", "status"]).filter("flag").groupBy(F.concat_ws("|", "sector", "horizon").alias("scope"), "criterion")

@@ -23,6 +23,7 @@ from sigspark.plans.context import measurement, sectors
 from sigspark.plans.learning import intraday_outcomes
 from sigspark.plans.news import lexed
 from sigspark.plans.records_fixture import FLAGS, examples, frame, labelled, last_session, predictions
+from sigspark.plans import decision as mac
 from sigspark.plans.registry import fragment, query
 from sigspark.plans.reports import ok
 from sigspark.session import complete, shared_dir
@@ -139,26 +140,51 @@ def _mergeq(s, d):
     return a.join(c, ["symbol", "session_no"], "full_outer").select("symbol", "session_no", F.coalesce("bp", "ap").alias("price"), ((F.col("bp") / F.col("bo") - 1) * 100).alias("from_open"))
 
 
-# A macro event is a session's market regime; its sector effects fan out to the member symbols.
-query("macro_fanout", "SELECT m.session_no AS event_no, d.symbol, d.sector, CASE d.sector WHEN 'ASIA' THEN 2.0 WHEN 'EUROPE' THEN -1.5 END::DOUBLE AS score FROM mmeas m JOIN symdim d ON d.sector IN ('ASIA','EUROPE') WHERE m.final", f="score")(
-    lambda s, d: measurement(s, d).filter("final").select(F.col("session_no").alias("event_no"), F.explode(F.create_map(F.lit("ASIA"), F.lit(2.0), F.lit("EUROPE"), F.lit(-1.5))).alias("sector", "score")).join(fx.symbol_dim(s, d), "sector").select("event_no", "symbol", "sector", "score"))
+# A macro event is a document: its sector scores reach every symbol of every sector they name.
+# Sectors of the macro rules have no column in the given tables; a nation's number deals them out.
+fragment("macrodim", f"SELECT 'N'||lpad(CAST(n_nationkey AS VARCHAR),2,'0') AS symbol, [{', '.join(repr(x) for x in mac.SECTORS)}][n_nationkey%{len(mac.SECTORS)}+1] AS sector FROM nation")
+query("macro_fanout", f"SELECT doc_id AS event_no, symbol, d.sector, score FROM (SELECT doc_id, unnest([{', '.join(repr(x) for x in mac.SECTORS)}]) AS sector, unnest([{', '.join(x.lower() for x in mac.SECTORS)}]) AS score FROM ({mac.SQL}) AS m) AS e JOIN macrodim d ON d.sector=e.sector WHERE score IS NOT NULL", f="score")(lambda s, d: _fanout(s, d))
+
+
+def _fanout(s, d):
+    sector = F.element_at(F.array(*map(F.lit, mac.SECTORS)), (F.col("n_nationkey") % len(mac.SECTORS) + 1).cast("int"))
+    members = fx.table(s, d, "nation").select(F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("symbol"), sector.alias("sector"))
+    effects = F.array(*[F.struct(F.lit(x).alias("sector"), F.col(x.lower()).alias("score")) for x in mac.SECTORS])
+    events = mac.macro_rules_score(s, d).select(F.col("doc_id").alias("event_no"), F.inline(effects)).filter("score IS NOT NULL")
+    return events.join(members, "sector").select("event_no", "symbol", "sector", "score")
+
+
 query("macro_lookup", "SELECT p.signal_id, coalesce(m.regime_score,0) AS macro_score, coalesce(x.rs_score,0) AS sector_score FROM preds p LEFT JOIN mmeas m ON p.session_no=m.session_no AND m.final LEFT JOIN smeas x ON p.session_no=x.session_no AND p.sector=x.sector", f="macro_score sector_score")(
     lambda s, d: predictions(s, d).join(measurement(s, d).filter("final").select("session_no", "regime_score"), "session_no", "left").join(sectors(s, d).select("session_no", "sector", "rs_score"), ["session_no", "sector"], "left")
     .select("signal_id", F.coalesce("regime_score", F.lit(0.0)).alias("macro_score"), F.coalesce("rs_score", F.lit(0.0)).alias("sector_score")))
 query("backfill_list_flags", "WITH l AS (SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY score+CASE WHEN coalesce(f_trend,false) THEN 3 ELSE 0 END DESC, symbol) AS lrank FROM preds) SELECT signal_id, rank<=10 AS in_base, lrank<=10 AS in_learned, CASE WHEN lrank<=10 THEN lrank END AS list_rank FROM l")(
     lambda s, d: _lists(predictions(s, d)).select("signal_id", (F.col("rank") <= 10).alias("in_base"), (F.col("lrank") <= 10).alias("in_learned"), F.when(F.col("lrank") <= 10, F.col("lrank")).alias("list_rank")))
-query("asof_intraday_enrich", "WITH e AS (SELECT event_id, ts, value FROM events WHERE event_type='purchase'), l AS (SELECT event_id, ts FROM events WHERE event_type='click') SELECT l.event_id, CASE WHEN epoch_us(l.ts)-epoch_us(e.ts)<=1200*1000000 THEN e.value END AS value FROM l ASOF LEFT JOIN e ON l.ts>=e.ts", f="value")(lambda s, d: _enrich(s, d))
+query("asof_intraday_enrich", "WITH e AS (SELECT user_id, ts, value FROM events WHERE event_type='purchase'), l AS (SELECT event_id, user_id, ts FROM events WHERE event_type<>'purchase') SELECT l.event_id, CASE WHEN epoch_us(l.ts)-epoch_us(e.ts)<=1200*1000000 THEN e.value END AS value FROM l ASOF LEFT JOIN e ON l.user_id=e.user_id AND l.ts>=e.ts", f="value")(lambda s, d: _enrich(s, d))
 
 
 def _enrich(s, d):
-    q = fx.quotes(s, d).withColumns({"event_time": F.col("event_time").cast("timestamp"), "k": F.lit("k")})
-    left = q.filter("symbol = 'click'").select(F.col("quote_id").alias("event_id"), "event_time", "k")
-    right = q.filter("symbol = 'purchase'").select("k", F.col("event_time").alias("known"), F.col("price").alias("value"))
-    return cx.asof_rows(left, right, ["k"], "event_time", "known", ["value"], 1200, 1200).select("event_id", "value")
+    """The account's last purchase price, for every other event of the account within 20 minutes."""
+    q = fx.table(s, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("event_time"))
+    left = q.filter("event_type <> 'purchase'").select("event_id", "user_id", "event_time")
+    right = q.filter("event_type = 'purchase'").select("user_id", F.col("event_time").alias("known"), "value")
+    return cx.asof_rows(left, right, ["user_id"], "event_time", "known", ["value"], 1200, 1200).select("event_id", "value")
+
+
+# News of a symbol (the kinds of event in turn), asked about at every hour that has a bar, for six hours.
+fragment("refnews", "SELECT doc_id AS news_id, ['click','error','purchase','signup','view'][doc_id%5+1] AS symbol, TIMESTAMP '2024-01-01'+doc_id*INTERVAL 1 MINUTE AS published_at FROM documents")
+query("asof_news_reference_price", """
+ WITH f AS (SELECT n.*, e.ts AS seen_at, e.value AS price FROM refnews n ASOF LEFT JOIN (SELECT event_type, ts, value FROM events) e ON e.event_type=n.symbol AND e.ts>=n.published_at)
+ SELECT f.symbol, news_id, strftime(h.bar_start,'%Y-%m-%d %H:%M:%S') AS asked_at, CASE WHEN seen_at<h.bar_start THEN price END AS reference_price FROM f JOIN hours h ON h.symbol=f.symbol AND h.bar_start>=published_at AND epoch_us(h.bar_start)-epoch_us(published_at)<6*3600*1000000::BIGINT""", f="reference_price")(lambda s, d: _reference(s, d))
+
+
+def _reference(s, d):
+    names = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    news = fx.news(s, d).select("news_id", F.element_at(names, (F.col("news_id") % 5 + 1).cast("int")).alias("symbol"), "published_at")
+    quotes = fx.quotes(s, d).select("symbol", "price", F.col("event_time").cast("timestamp").alias("event_time"))
+    asks = fx.hourly_bars(s, d).select("symbol", F.col("bar_start").cast("timestamp").alias("asked_at"))
+    return nw.reference_prices(news, quotes, asks).select("symbol", "news_id", "asked_at", "reference_price")
 
 
-query("asof_news_reference_price", "SELECT a.user_id, a.event_type AS symbol, arg_min(value, ts) AS reference_price FROM events a GROUP BY a.user_id, a.event_type", f="reference_price")(
-    lambda s, d: fx.table(s, d, "events").groupBy("user_id", F.col("event_type").alias("symbol")).agg(F.min_by("value", F.struct("ts", "event_id")).alias("reference_price")))
 query("events_to_records", "SELECT 'NEWS_'||CAST(news_id AS VARCHAR)||'_'||symbol AS record_id, symbol, CASE WHEN score>0 THEN 'BUY' WHEN score<0 THEN 'SELL' ELSE 'WATCH' END AS decision FROM nlex WHERE news_id%4<>0")(lambda s, d: _ev2rec(s, d))
 
 
