@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from sigspark.functions import stats as st
@@ -16,7 +15,9 @@ from sigspark.plans.records_fixture import FLAGS, examples, frame, predictions
 from sigspark.plans.registry import fragment, query
 from sigspark.plans.reports import SIG, conds_sql, ok
 from sigspark.operators.outcomes import DAILY_HORIZONS as HORIZONS
+from sigspark.plans.streams import middle
 from sigspark.sources import fixtures as fx
+from sigspark.streaming import stateful as sf
 
 # --- evidence with fallback -------------------------------------------------------------------
 _ev = f"SELECT horizon, indicator, condition, signal_type, count(*) AS n, avg(CASE WHEN directional_return>0 THEN 1.0 ELSE 0 END) AS rate FROM (SELECT *, unnest(['ALL', {SIG}]) AS signal_type FROM ({conds_sql('ex')}) AS u_ WHERE reason IS NULL) AS q GROUP BY ALL HAVING count(*)>=30"
@@ -40,26 +41,22 @@ def _lookup(s, d):
 
 
 # --- resignal: keep an event only when it differs enough from the last kept one ----------------
-fragment("mro_", "SELECT i.symbol, i.day, i.slot, i.price, i.decision, i.score, row_number() OVER (PARTITION BY i.symbol, i.day ORDER BY i.slot) AS rn FROM isig i")
+fragment("mro_", "SELECT i.symbol, i.day, i.slot, i.price, i.decision, i.score, i.target, i.stop, row_number() OVER (PARTITION BY i.symbol, i.day ORDER BY i.slot) AS rn FROM isig i")
 fragment("mrr_", """
- SELECT symbol, day, slot, price, decision, score, rn, price AS lp, decision AS ld, score AS ls, true AS kept FROM mro_ WHERE rn=1
- UNION ALL SELECT symbol, day, slot, price, decision, score, rn, CASE WHEN k THEN price ELSE lp END, CASE WHEN k THEN decision ELSE ld END, CASE WHEN k THEN score ELSE ls END, k FROM (SELECT o.*, r.lp, r.ld, r.ls, o.decision<>r.ld OR abs(o.price/r.lp-1)>=0.01 OR abs(o.score-r.ls)>=5 AS k FROM mrr_ r JOIN mro_ o ON o.symbol=r.symbol AND o.day=r.day AND o.rn=r.rn+1) AS q""")
+ SELECT symbol, day, slot, price, decision, score, target, stop, rn, price AS lp, decision AS ld, score AS ls, target AS lt, stop AS lx, true AS kept FROM mro_ WHERE rn=1
+ UNION ALL SELECT symbol, day, slot, price, decision, score, target, stop, rn, CASE WHEN k THEN price ELSE lp END, CASE WHEN k THEN decision ELSE ld END, CASE WHEN k THEN score ELSE ls END, CASE WHEN k THEN target ELSE lt END, CASE WHEN k THEN stop ELSE lx END, k
+ FROM (SELECT o.*, r.lp, r.ld, r.ls, r.lt, r.lx, o.decision<>r.ld OR abs(o.price/r.lp-1)>=0.01 OR abs(o.score-r.ls)>=5 OR abs(o.target/r.lt-1)>=0.01 OR abs(o.stop/r.lx-1)>=0.01
+  OR CASE r.ld WHEN 'BUY' THEN o.price>=r.lt OR o.price<=r.lx ELSE o.price<=r.lt OR o.price>=r.lx END AS k FROM mrr_ r JOIN mro_ o ON o.symbol=r.symbol AND o.day=r.day AND o.rn=r.rn+1) AS q""")
+query("meaningful_resignal", "SELECT symbol, strftime(day+slot*INTERVAL 1 HOUR,'%Y-%m-%d %H:%M:%S') AS at, price, decision, score FROM mrr_ WHERE kept", f="price score")(lambda s, d: _resignal(s, d))
 
 
-def keep_meaningful(g: pd.DataFrame) -> pd.DataFrame:
-    """A new side, a price move of 1 % or 5 score points against the last kept event."""
-    g, kept, last = g.sort_values("slot"), [], None
-    for row in g.itertuples():
-        if last is None or row.decision != last.decision or abs(row.price / last.price - 1) >= 0.01 or abs(row.score - last.score) >= 5:
-            kept.append(row.Index)
-            last = row
-    return g.loc[kept]
+def _resignal(s, d):
+    at = F.unix_micros(F.col("day").cast("timestamp")) + F.col("slot") * 3_600_000_000
+    rows = intraday_outcomes(s, d).filter("horizon = '1H'").select("symbol", at.alias("at"), "price", "decision", "score", "target", "stop")
+    job = sf.Job(s, "symbol string, at long, price double, decision string, score double, target double, stop double", lambda x: sf.keyed(x, "symbol", sf.Resignal()), {"kept": "true"})
+    return sf.in_two_parts(job, rows, f"at < {middle(rows, 'at')}").read("kept").select("symbol", F.timestamp_micros("at").alias("at"), "price", "decision", "score")
 
 
-query("meaningful_resignal", "SELECT symbol, CAST(day AS VARCHAR) AS day, slot, price, decision, score FROM mrr_ WHERE kept", f="price score")(
-    lambda s, d: intraday_outcomes(s, d).filter("horizon = '1H'").select("symbol", "day", "slot", "price", "decision", "score").groupBy("symbol", "day")  # one symbol's slots of a day
-    .applyInPandas(keep_meaningful, "symbol string, day date, slot int, price double, decision string, score double"))
-
 # --- opportunity: early move, staying power, penalty -------------------------------------------
 # Points of the three parts over the wide daily row.
 EARLY = (("volume > prev_volume", 15), ("obv_break = 'UP'", 15), ("positive_turn", 15), ("acceleration > 0", 10), ("squeeze_break", 10))

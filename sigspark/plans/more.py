@@ -260,8 +260,7 @@ query("prefer_newer_price", "SELECT user_id, arg_max(value, ts) AS price FROM ev
 query("explain_lists", "SELECT session_no, concat_ws('|', CASE WHEN conflict THEN 'Index and breadth disagree' END, CASE WHEN NOT enough THEN 'Low coverage' END, CASE WHEN index_volatility IN ('HIGH','EXTREME') THEN 'High volatility' END, CASE WHEN breadth_score<40 THEN 'Weak participation' END) AS warnings FROM mmeas")(
     lambda s, d: measurement(s, d).select("session_no", F.array_compact(F.array(F.when(F.col("conflict"), F.lit("Index and breadth disagree")), F.when(~F.col("enough"), F.lit("Low coverage")),
         F.when(F.col("index_volatility").isin("HIGH", "EXTREME"), F.lit("High volatility")), F.when(F.col("breadth_score") < 40, F.lit("Weak participation")))).alias("warnings")))
-query("seen_ids", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")(lambda s, d: fx.table(s, d, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id")))
-query("late_and_future_guard", "SELECT CASE WHEN feature_at>signal_at THEN 'REJECTED_FUTURE' WHEN session_no+5>last_no THEN 'PENDING' ELSE 'READY' END AS state, count(*) AS n FROM preds CROSS JOIN lastno GROUP BY 1")(
+query("record_guard_counts", "SELECT CASE WHEN feature_at>signal_at THEN 'REJECTED_FUTURE' WHEN session_no+5>last_no THEN 'PENDING' ELSE 'READY' END AS state, count(*) AS n FROM preds CROSS JOIN lastno GROUP BY 1")(
     lambda s, d: predictions(s, d).crossJoin(last_session(fx.weekly_bars(s, d))).groupBy(first_match((F.col("feature_at") > F.col("signal_at"), "REJECTED_FUTURE"), (F.col("session_no") + 5 > F.col("last_no"), "PENDING"), default="READY").alias("state")).agg(F.count(F.lit(1)).alias("n")))
 
 
