@@ -24,6 +24,7 @@ MODULES = (
     "decision",
     "flags",
     "composite",
+    "ranklearn",
 )
 
 for _m in MODULES:
