@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigspark.functions.scalars import first_match, pct_change, side_return
 from sigspark.operators import outcomes as out
@@ -87,3 +88,64 @@ def label_session(signals: DataFrame, bars: DataFrame, horizons: dict[str, int],
         "side_mae": F.when(done, F.least(F.lit(0.0), side_return(base, F.when(short, F.col("_hi")).otherwise(F.col("_lo")), short))),
         "touch": F.when(done, F.coalesce(out.first_touch(use_open_rule=False), F.lit("NEITHER"))),
     }).drop("_tk", "_sk", "_n", "_hi", "_lo", "_exit", "_open", "_mfs", "_mat")
+
+
+#: Horizons of a signal: bars of its session (None: to the session's end), then daily bars.
+SIGNAL_HORIZONS = {"1H": (1, 0), "2H": (2, 0), "4H": (4, 0), "SESSION": (None, 0), "D1": (None, 1), "D3": (None, 3)}
+DAILY = 100  # place of the first daily bar in a path, after every slot of a session
+
+
+def label_path(signals: DataFrame, bars: DataFrame, horizons=None, last_slot: int = 23) -> DataFrame:
+    """Outcome over a path of two resolutions: the rest of the signal's session, then whole days.
+
+    Every expected bar must be there. Long and short sides; touches of target and stop; entry to
+    the buying zone (zone_low, zone_high; long signals only) and the best and worst move in the bars
+    after the bar of entry, whose own extremes may be older than the entry. The bars of a session
+    and the days that follow it stand in one row for each symbol and day, so the label is one equi-join.
+    """
+    horizons = SIGNAL_HORIZONS if horizons is None else horizons
+    most = max(n for _, n in horizons.values())
+    bar = F.struct(F.col("slot").cast("int").alias("no"), "open", "high", "low", "close")
+    days = bars.groupBy("symbol", "day").agg(
+        F.array_sort(F.collect_list(bar)).alias("_bars"),  # one session's slots
+        F.struct(F.col("day").alias("of"), F.min_by("open", "slot").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "slot").alias("close")).alias("_daily"))
+    w = W.partitionBy("symbol").orderBy("day")
+    later = []
+    for i in range(1, most + 1):
+        x = F.lead("_daily", i).over(w)
+        later.append(F.when(F.datediff(x["of"], F.col("day")) == i, F.struct(F.lit(DAILY + i - 1).alias("no"), x["open"].alias("open"), x["high"].alias("high"), x["low"].alias("low"), x["close"].alias("close"))))
+    days = days.withColumn("_later", F.array(*later)).drop("_daily")
+    d = signals.join(days, ["symbol", "day"], "left").withColumns({"short": F.col("decision") == "SELL", "price": F.when(F.col("price") > 0, F.col("price"))})
+    span = F.array(*[F.struct(F.lit(n).alias("horizon"), F.lit(h).cast("int").alias("h"), F.lit(k).alias("n")) for n, (h, k) in horizons.items()])
+    d = d.withColumn("_h", F.explode(span))
+    d = out.evaluated(d.withColumns({"horizon": F.col("_h.horizon"), "_due": F.coalesce(F.col("slot") + F.col("_h.h"), F.lit(last_slot)), "_n": F.col("_h.n")}).drop("_h"))
+    session = F.filter("_bars", lambda b: (b["no"] > F.col("slot")) & (b["no"] <= F.col("_due")))
+    ahead = F.array_compact(F.slice(F.coalesce("_later", F.array().cast(days.schema["_later"].dataType)), F.lit(1), F.col("_n")))
+    d = out.evaluated(d.withColumns({"_session": session, "_ahead": ahead}).drop("_bars", "_later"))
+    need = F.col("_due") - F.col("slot")
+    reason = first_match((F.col("_due") > last_slot, "HORIZON_EXCEEDS_SESSION"), (need <= 0, "NO_POST_SIGNAL_BAR"), (F.coalesce(F.size("_session") != need, F.lit(True)), "MISSING_BAR"),
+                         (F.size("_ahead") != F.col("_n"), "MISSING_DAILY_BAR"), (F.col("price").isNull(), "INVALID_SOURCE"), default=None)
+    d = out.evaluated(d.withColumns({"reason": reason, "_path": F.concat("_session", "_ahead")}).drop("_session", "_ahead"))
+    base, t, s, short, path = F.col("price"), F.col("target"), F.col("stop"), F.col("short"), F.col("_path")
+    done = F.col("reason").isNull()
+    ordered = F.when(short, (t < base) & (base < s)).otherwise((s < base) & (base < t))
+    zone = ~short & F.coalesce((F.col("zone_low") > 0) & (F.col("zone_low") <= F.col("zone_high")), F.lit(False))
+    entry = F.when(zone, F.get(F.filter(path, lambda b: (b["low"] <= F.col("zone_high")) & (b["high"] >= F.col("zone_low"))), 0)["no"])
+    high, low = (lambda p: F.array_max(F.transform(p, lambda b: b["high"]))), (lambda p: F.array_min(F.transform(p, lambda b: b["low"])))
+    d = out.touches(d).withColumns({"levels_ok": F.coalesce(ordered, F.lit(False)), "_entry": entry, "_hi": high(path), "_lo": low(path), "_exit": F.get(path, F.size(path) - 1)["close"]})
+    d = out.evaluated(d)
+    rest = F.filter(path, lambda b: b["no"] > F.col("_entry"))
+    d = out.evaluated(d.withColumns({"_phi": high(rest), "_plo": low(rest)}))
+    known = F.col("zone_low").isNotNull() & F.col("zone_high").isNotNull()
+    return d.withColumns({
+        "completed": done,
+        "return_pct": F.when(done, pct_change(F.col("_exit"), base)),
+        "side_return": F.when(done, side_return(base, F.col("_exit"), short)),
+        "side_mfe": F.when(done, F.greatest(F.lit(0.0), side_return(base, F.when(short, F.col("_lo")).otherwise(F.col("_hi")), short))),
+        "side_mae": F.when(done, F.least(F.lit(0.0), side_return(base, F.when(short, F.col("_hi")).otherwise(F.col("_lo")), short))),
+        "touch": F.when(done, F.coalesce(out.first_touch(use_open_rule=False), F.lit("NEITHER"))),
+        "target_hit": F.when(done & F.col("levels_ok"), F.col("_tk").isNotNull()), "stop_hit": F.when(done & F.col("levels_ok"), F.col("_sk").isNotNull()),
+        "zone_entered": F.when(done & known, F.col("_entry").isNotNull()), "zone_entry_no": F.when(done, F.col("_entry")),
+        "post_entry_mfe": F.when(done & F.col("_phi").isNotNull(), F.greatest(F.lit(0.0), pct_change(F.col("_phi"), base))),
+        "post_entry_mae": F.when(done & F.col("_plo").isNotNull(), F.least(F.lit(0.0), pct_change(F.col("_plo"), base))),
+    }).drop("_due", "_n", "_path", "_entry", "_hi", "_lo", "_exit", "_phi", "_plo", "_tk", "_sk", "_open", "_mfs", "_mat")

@@ -33,7 +33,7 @@ LEAST = 30
 
 
 def clip(x: Column, cap: float) -> Column:
-    return F.greatest(F.lit(-cap), F.least(F.lit(cap), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(-cap), F.least(F.lit(cap), x)))
 
 
 def verified(prefix: str) -> Column:

@@ -79,8 +79,34 @@ def intraday_outcomes(s, d):
 
 query("label_intraday_outcomes", "SELECT signal_id, horizon, completed, reason, return_pct, touch FROM ires", f="return_pct")(
     lambda s, d: intraday_outcomes(s, d).select("signal_id", "horizon", "completed", "reason", "return_pct", "touch"))
-query("label_signal_outcomes", "SELECT signal_id, horizon, side_return, side_mfe, side_mae FROM ires", f="side_return side_mfe side_mae")(
-    lambda s, d: intraday_outcomes(s, d).select("signal_id", "horizon", "side_return", "side_mfe", "side_mae"))
+# Signal labels: the rest of the session, then daily bars; the buying zone ends 2 % under the price.
+_sz = ", ".join(f"('{n}',{'NULL::BIGINT' if h is None else h},{m})" for n, (h, m) in iy.SIGNAL_HORIZONS.items())
+fragment("sigday", "SELECT symbol, day, arg_min(open,slot) AS open, max(high) AS high, min(low) AS low, arg_max(close,slot) AS close FROM hours GROUP BY symbol, day")
+fragment("sigpath", f"""
+ WITH z(horizon,h,m) AS (VALUES {_sz}), i AS (SELECT isig.*, z.*, coalesce(slot+h,23) AS due FROM isig CROSS JOIN z)
+ SELECT i.signal_id, i.horizon, b.slot AS seq, b.high, b.low, b.close FROM i JOIN hours b ON b.symbol=i.symbol AND b.day=i.day AND b.slot>i.slot AND b.slot<=i.due
+ UNION ALL SELECT i.signal_id, i.horizon, 99+date_diff('day',i.day,b.day), b.high, b.low, b.close FROM i JOIN sigday b ON b.symbol=i.symbol AND b.day>i.day AND date_diff('day',i.day,b.day)<=i.m""")
+fragment("siglab", f"""
+ WITH z(horizon,h,m) AS (VALUES {_sz}), i AS (SELECT isig.*, z.*, coalesce(slot+h,23) AS due, price*0.9 AS zl, price*0.98 AS zh FROM isig CROSS JOIN z),
+ p AS (SELECT p.*, min(seq) FILTER (WHERE i.decision='BUY' AND p.low<=zh AND p.high>=zl) OVER (PARTITION BY signal_id, horizon) AS ez FROM sigpath p JOIN i USING (signal_id, horizon)),
+ g AS (SELECT i.signal_id, i.horizon, any_value(i.decision) AS decision, any_value(i.price) AS price, any_value(due) AS due, any_value(i.slot) AS slot, any_value(m) AS m, count(seq) FILTER (WHERE seq<99) AS nh, count(seq) FILTER (WHERE seq>=99) AS nd, arg_max(p.close,seq) AS xc, max(p.high) AS hi, min(p.low) AS lo,
+  min(seq) FILTER (WHERE CASE i.decision WHEN 'SELL' THEN p.low<=i.target ELSE p.high>=i.target END) AS tk, min(seq) FILTER (WHERE CASE i.decision WHEN 'SELL' THEN p.high>=i.stop ELSE p.low<=i.stop END) AS sk, any_value(ez) AS ez, max(p.high) FILTER (WHERE seq>ez) AS phi, min(p.low) FILTER (WHERE seq>ez) AS plo
+  FROM i LEFT JOIN p ON p.signal_id=i.signal_id AND p.horizon=i.horizon GROUP BY i.signal_id, i.horizon)
+ SELECT *, CASE WHEN due>23 THEN 'HORIZON_EXCEEDS_SESSION' WHEN due<=slot THEN 'NO_POST_SIGNAL_BAR' WHEN nh<>due-slot THEN 'MISSING_BAR' WHEN nd<>m THEN 'MISSING_DAILY_BAR' WHEN price<=0 THEN 'INVALID_SOURCE' END AS reason FROM g""")
+query("label_signal_outcomes", """
+ SELECT signal_id, horizon, reason, CASE WHEN ok THEN (xc/price-1)*100 END AS return_pct, CASE WHEN ok THEN CASE WHEN sell THEN (price/xc-1)*100 ELSE (xc/price-1)*100 END END AS side_return,
+  CASE WHEN ok THEN greatest(0,CASE WHEN sell THEN (price/lo-1)*100 ELSE (hi/price-1)*100 END) END AS side_mfe, CASE WHEN ok THEN least(0,CASE WHEN sell THEN (price/hi-1)*100 ELSE (lo/price-1)*100 END) END AS side_mae,
+  CASE WHEN ok THEN CASE WHEN tk IS NULL AND sk IS NULL THEN 'NEITHER' WHEN tk=sk THEN 'AMBIGUOUS' WHEN sk IS NULL OR tk<sk THEN 'TARGET' ELSE 'STOP' END END AS touch, CASE WHEN ok THEN tk IS NOT NULL END AS target_hit, CASE WHEN ok THEN sk IS NOT NULL END AS stop_hit,
+  CASE WHEN ok THEN ez IS NOT NULL END AS zone_entered, CASE WHEN ok THEN ez END AS zone_entry_no, CASE WHEN ok AND phi IS NOT NULL THEN greatest(0,(phi/price-1)*100) END AS post_entry_mfe, CASE WHEN ok AND plo IS NOT NULL THEN least(0,(plo/price-1)*100) END AS post_entry_mae
+ FROM (SELECT *, reason IS NULL AS ok, decision='SELL' AS sell FROM siglab) AS q""", f="return_pct side_return side_mfe side_mae post_entry_mfe post_entry_mae")(lambda s, d: _signal_labels(s, d))
+
+
+def _signal_labels(s, d):
+    rows = intraday_outcomes(s, d).filter("horizon = '1H'").select("signal_id", "symbol", "day", "slot", "price", "decision", "target", "stop", (F.col("price") * 0.9).alias("zone_low"), (F.col("price") * 0.98).alias("zone_high"))
+    return iy.label_path(rows, fx.hourly_bars(s, d)).select(
+        "signal_id", "horizon", "reason", "return_pct", "side_return", "side_mfe", "side_mae", "touch", "target_hit", "stop_hit", "zone_entered", "zone_entry_no", "post_entry_mfe", "post_entry_mae")
+
+
 query("intraday_signal_performance", f"""
  SELECT decision, horizon, min_score, n, mean, median, positive::DOUBLE/n AS success_rate FROM (SELECT decision, horizon, min_score, count(*) FILTER (WHERE side_return>0) AS positive FROM (SELECT *, unnest([0,20,40,60,80]) AS min_score FROM ires WHERE completed) AS q WHERE score>=min_score GROUP BY ALL) AS a
  JOIN ({k.robust("SELECT * FROM (SELECT *, unnest([0,20,40,60,80]) AS min_score FROM ires WHERE completed) AS q WHERE score>=min_score", "decision, horizon, min_score", "side_return")}) AS b USING (decision, horizon, min_score)""", f="mean median success_rate")(lambda s, d: _iperf(s, d))

@@ -31,7 +31,7 @@ fragment("evadj", f"""
  fam AS (SELECT signal_id, family, {_clip.format('sum(edge)/count(*)*0.75', '0.75')} AS v, max(strength) AS s FROM part WHERE family IS NOT NULL GROUP BY ALL),
  able AS (SELECT c.signal_id, c.indicator, any_value(c.edge) AS edge FROM part c JOIN (VALUES {_combos}) AS m(ind, family) ON m.ind=c.indicator LEFT JOIN fam ON fam.signal_id=c.signal_id AND fam.family=m.family WHERE c.edge<>0 GROUP BY c.signal_id, c.indicator HAVING any_value(c.strength)>=max(coalesce(fam.s,0))),
  best AS (SELECT signal_id, arg_max(indicator, (abs(edge), indicator)) AS combo, arg_max(edge, (abs(edge), indicator)) AS edge FROM able GROUP BY signal_id),
- tot AS (SELECT q.signal_id, round(coalesce((SELECT sum(v) FROM fam WHERE fam.signal_id=q.signal_id AND NOT EXISTS (SELECT 1 FROM (VALUES {_combos}) AS m(ind, family) WHERE m.ind=b.combo AND m.family=fam.family)),0)+coalesce({_clip.format('b.edge', '1.0')},0),6) AS uncapped FROM (SELECT signal_id FROM preds WHERE session_no>=(SELECT training_end FROM trainend)) q LEFT JOIN best b USING (signal_id))
+ tot AS (SELECT q.signal_id, round(coalesce((SELECT sum(v) FROM fam WHERE fam.signal_id=q.signal_id AND NOT EXISTS (SELECT 1 FROM (VALUES {_combos}) AS m(ind, family) WHERE m.ind=b.combo AND m.family=fam.family)),0)+CASE WHEN b.edge IS NULL THEN 0 ELSE {_clip.format('b.edge', '1.0')} END,6) AS uncapped FROM (SELECT signal_id FROM preds WHERE session_no>=(SELECT training_end FROM trainend)) q LEFT JOIN best b USING (signal_id))
  SELECT signal_id, uncapped, round({_clip.format('uncapped', '3.0')},6) AS adjustment FROM tot""")
 query("learned_rank_adjustment", """
  SELECT signal_id, session_no, uncapped, adjustment, final_score, learned_rank, rank-learned_rank AS rank_change FROM (SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY final_score DESC NULLS LAST, rank) AS learned_rank FROM (
