@@ -52,22 +52,22 @@ def masks(flags: list[str]) -> tuple:
     return known, value
 
 
-def similar_history(queries: DataFrame, history: DataFrame, flags: list[str], scope: list[str], shared: int = 5, equal: float = 0.7, per: str = "horizon") -> DataFrame:
-    """Laplace success probability over history with enough equal known flags, for each horizon of the history.
+def similar_history(queries: DataFrame, history: DataFrame, flags: list[str], scope: list[str], shared: int = 5, equal: float = 0.7, per: tuple[str, ...] = ()) -> DataFrame:
+    """Laplace success probability over history with enough equal known flags.
 
-    queries has the horizons asked for in ``per``.
+    ``per`` names columns, such as the horizon, that a query asks for and its history must equal.
 
     Both sides are first folded to flag patterns (known mask, value mask) per scope, so
     the inequality join compares patterns, whose number is set by the flags, not rows.
     """
     k, v = masks(flags)
-    h = history.withColumns({"hk": k, "hv": v}).groupBy(*scope, per, "hk", "hv").agg(
+    h = history.withColumns({"hk": k, "hv": v}).groupBy(*scope, *per, "hk", "hv").agg(
         F.count(F.lit(1)).alias("n"), st.count_if(F.col("status") == "SUCCESS").alias("s"), F.sum("directional_return").alias("r"))
     q = queries.withColumns({"qk": k, "qv": v})
     patterns = q.select(*scope, "qk", "qv").distinct()
     both = F.col("hk").bitwiseAND(F.col("qk"))
     n_both = F.bit_count(both)
     agree = n_both - F.bit_count(both.bitwiseAND(F.col("hv").bitwiseXOR(F.col("qv"))))
-    m = patterns.join(h, scope).filter((n_both >= shared) & (agree >= equal * n_both)).groupBy(*scope, per, "qk", "qv").agg(
+    m = patterns.join(h, scope).filter((n_both >= shared) & (agree >= equal * n_both)).groupBy(*scope, *per, "qk", "qv").agg(
         F.sum("n").alias("sample"), ((F.sum("s") + 1) / (F.sum("n") + 2) * 100).alias("probability"), (F.sum("r") / F.sum("n")).alias("mean_return"))
-    return q.join(m, [*scope, per, "qk", "qv"], "left").drop("qk", "qv")
+    return q.join(m, [*scope, *per, "qk", "qv"], "left").drop("qk", "qv")

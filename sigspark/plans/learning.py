@@ -148,7 +148,7 @@ query("similar_history", f"""
  q AS (SELECT signal_id, regime, unnest([{', '.join(map(str, out.DAILY_HORIZONS))}]) AS horizon, {_mk(0)} AS qk, {_mv} AS qv FROM preds WHERE session_no>=(SELECT training_end FROM trainend))
  SELECT q.signal_id, q.horizon, m.sample, m.probability, m.mean_return FROM q LEFT JOIN (SELECT p.regime, h.horizon, qk, qv, sum(n)::BIGINT AS sample, (sum(s)+1)*100.0::DOUBLE/(sum(n)+2) AS probability, sum(r)/sum(n) AS mean_return FROM (SELECT DISTINCT regime, qk, qv FROM q) p JOIN h ON p.regime=h.regime AND bit_count(hk & qk)>=5 AND bit_count(hk & qk)-bit_count((hk & qk) & xor(hv,qv))>=0.7*bit_count(hk & qk) GROUP BY p.regime, h.horizon, qk, qv) m
  ON q.regime=m.regime AND q.horizon=m.horizon AND q.qk=m.qk AND q.qv=m.qv""", f="probability mean_return")(
-    lambda s, d: ln.similar_history(_after(s, d, predictions(s, d), "session_no >= training_end").select("signal_id", "regime", F.explode(F.array(*map(F.lit, out.DAILY_HORIZONS))).alias("horizon"), *FLAGS), _after(s, d, ok(s, d), "due_no < training_end"), list(FLAGS), ["regime"]).select("signal_id", "horizon", "sample", "probability", "mean_return"))
+    lambda s, d: ln.similar_history(_after(s, d, predictions(s, d), "session_no >= training_end").select("signal_id", "regime", F.explode(F.array(*map(F.lit, out.DAILY_HORIZONS))).alias("horizon"), *FLAGS), _after(s, d, ok(s, d), "due_no < training_end"), list(FLAGS), ["regime"], per=("horizon",)).select("signal_id", "horizon", "sample", "probability", "mean_return"))
 query("calibrated_score", f"""
  WITH a AS (SELECT horizon, criterion, 1/6.0::DOUBLE+CASE direction WHEN 'UP' THEN 0.0025 WHEN 'DOWN' THEN -0.0025 ELSE 0 END AS weight FROM ({crit_sql('SELECT * FROM okl', 'horizon')}) AS c WHERE enough AND direction<>'SAME'),
  p AS (SELECT *, unnest([{', '.join(map(str, out.DAILY_HORIZONS))}]) AS horizon FROM preds WHERE score IS NOT NULL), f AS (SELECT signal_id AS sid, unnest([{', '.join(repr(f) for f in FLAGS)}]) AS criterion, unnest([{', '.join(FLAGS)}]) AS flag FROM preds),

@@ -105,3 +105,18 @@ def test_resignals_and_seen_ids_by_hand(spark):
     ids = [("f", i, t + i) for i in (1, 2, 3)] + [("f", i, t + MINUTE + i) for i in (2, 4, 4, 5)] + [("g", 1, t + MINUTE)]
     new = run(spark, ids, "feed string, id long, at long", sf.Seen, "feed", [t + MINUTE]).read("out").collect()
     assert sorted((r["feed"], r["id"]) for r in new) == [("f", 4), ("f", 5)]
+
+
+def test_stream_equals_the_batch_form(spark):
+    from pyspark.sql import functions as F
+
+    from sigspark.streaming import streams as sm
+
+    rng = random.Random(3)
+    rows = [(s, d * sf.DAY + m * 60 * MINUTE, rng.choice(["BUY", "SELL", "WATCH"]), rng.uniform(0, 40), 0.0) for s in "ABC" for d in (1, 2, 3) for m in range(24)]
+    job = run(spark, rows, LIFE, sf.Life, "symbol", [2 * sf.DAY + 700 * MINUTE])
+    batch = spark.createDataFrame(rows, LIFE).withColumns({"bar_start": F.timestamp_micros("at"), "day": F.floor(F.col("at") / sf.DAY), "slot": F.col("at")})
+    life = sm.lifecycle(batch)
+    key = ("symbol", "at", "previous_side", "state", "previous_state")
+    assert sorted(map(repr, life.select(*key).collect())) == sorted(map(repr, job.read("out").select(*key).collect()))
+    assert sorted(map(tuple, sm.significant(life).select("symbol", "at").collect())) == sorted(map(tuple, job.read("out").filter("important").select("symbol", "at").collect()))
