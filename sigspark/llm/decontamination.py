@@ -2,9 +2,14 @@
 
 Texts become words (runs of letters and digits, ASCII lower case) and 64-bit word hashes. A seed
 is a window of ``SPAN`` words under a fixed mask; the words at the mask's zeros are ignored, so a
-substitution there leaves the seed alone. Seeds of the benchmark and of the documents are joined
-by hash, and around each hit the two word sequences are compared on its diagonal: the best
-stretch by +1 a match and -2 a mismatch counts if it holds ``LEAST`` matches (all words of a
+substitution there leaves the seed alone. A hit is a seed and one more word that agrees, at most five
+words beside the window: a stretch that passes has one beside some seed of its own, or else a part on
+one side of the gap passes by itself. Benchmark and documents are joined by the hash of both, so a
+phrase of one window that many items share pairs a document only with the items that go on as the
+document does. (All words of an item of fewer than ``LEAST`` words must agree: its seeds stand alone.)
+
+Around each hit the two word sequences are compared on its diagonal, of which only the part under
+the item travels, so a copy of the whole benchmark costs what its length costs: the best stretch by +1 a match and -2 a mismatch counts if it holds ``LEAST`` matches (all words of a
 shorter item) and four of five of its words agree. If it fails either, the stretch with the most
 matches is tried, of all those of which four of five words agree.
 
@@ -35,6 +40,8 @@ MASKS = ("11011011", "10111101", "11100111")
 SPAN, LEAST, IDENTITY = 8, 10, 0.8
 #: Words of a document sent along on either side of a run of hits.
 MARGIN = 64
+#: Where the one more word of a hit may stand, from the window's start.
+BESIDE = (*range(-5, 0), *range(SPAN, SPAN + 5))
 BITMAP_BITS = 25
 
 WORD_BYTE = np.zeros(256, bool)
@@ -67,6 +74,19 @@ def seeds(words: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def keys(seed: np.ndarray, place: np.ndarray, words: np.ndarray, first, last) -> tuple[np.ndarray, np.ndarray]:
+    """For each place beside a window that lies in its text (words first to last): the window's number
+    and the hash of its seed with the word there."""
+    which, out = [], []
+    for k, beside in enumerate(BESIDE):
+        own = np.flatnonzero((place + beside >= first) & (place + beside < last))
+        h = (seed[own] ^ np.uint64((BASE * (k + 1)) & (1 << 64) - 1)) + words[place[own] + beside] * np.uint64((BASE * (2 * k + 3)) & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        which.append(own)
+        out.append(h ^ (h >> np.uint64(29)))
+    return np.concatenate(which), np.concatenate(out)
+
+
 def slots(h, bits: int = BITMAP_BITS):
     """The two bits of a seed in the bitmap."""
     return (h >> np.uint64(64 - bits)), (h & np.uint64((1 << bits) - 1))
@@ -86,19 +106,23 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_seeds(table: DataFrame) -> DataFrame:
-    """seed, number, at: every window of the items under every mask."""
+    """seed, key, number, n, item_at: every window of the items under every mask with every word beside
+    it (alone for an item of fewer than LEAST words); n is the item's length."""
 
     def work(batches):
         for batch in batches:
             numbers, lists = batch.column("number").to_pylist(), batch.column("words")
             for number, words in zip(numbers, lists, strict=True):
-                found = seeds(words.values.to_numpy().view(np.uint64))
-                n = len(found[0])
+                words = words.values.to_numpy().view(np.uint64)
+                seed = np.concatenate(seeds(words))
+                at = np.tile(np.arange(len(words) - SPAN + 1), len(MASKS))
+                which, key = keys(seed, at, words, 0, len(words)) if len(words) >= LEAST else (np.arange(len(seed)), seed)
+                same = [np.full(len(key), v, np.int64) for v in (number, len(words))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.full(n * len(MASKS), number, np.int64)), pa.array(np.tile(np.arange(n), len(MASKS)))], names=["seed", "number", "item_at"]
+                    [pa.array(c) for c in (seed[which].view(np.int64), key.view(np.int64), *same, at[which])], names=["seed", "key", "number", "n", "item_at"]
                 )
 
-    return table.select("number", "words").mapInArrow(work, "seed long, number long, item_at long")
+    return table.select("number", "words").mapInArrow(work, "seed long, key long, number long, n long, item_at long")
 
 
 def bitmap(table: DataFrame, bits: int = BITMAP_BITS) -> bytes:
@@ -113,9 +137,9 @@ def bitmap(table: DataFrame, bits: int = BITMAP_BITS) -> bytes:
 
 
 def hit_runs(docs: DataFrame, filter_bits: bytes, key: str) -> DataFrame:
-    """key, begin, words, hits (seed, word index in the document): runs of windows that the bitmap passes."""
+    """key, begin, words, hits (keys, word index in the run): runs of windows that the bitmap passes."""
     schema = docs.select(key).schema.add("begin", "long").add("words", T.ArrayType(T.LongType()))
-    schema = schema.add("seeds", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.LongType()))
+    schema = schema.add("keys", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.LongType()))
 
     def work(batches):
         bits = np.unpackbits(np.frombuffer(filter_bits, np.uint8), bitorder="little")
@@ -139,14 +163,20 @@ def hit_runs(docs: DataFrame, filter_bits: bytes, key: str) -> DataFrame:
             first, last = np.r_[0, turn], np.r_[turn, len(place)]
             doc = owner[place[first]]
             begin, end = np.maximum(place[first] - MARGIN, edge[doc]), np.minimum(place[last - 1] + SPAN + MARGIN, edge[doc + 1])
+            own = owner[place]
+            which, more = keys(seed, place, words, edge[own], edge[own + 1])
+            which, hashes = np.r_[np.arange(len(seed)), which], np.r_[seed, more]
+            by = np.argsort(which, kind="stable")
+            which, hashes = which[by], hashes[by].view(np.int64)
+            low, high = np.searchsorted(which, first), np.searchsorted(which, last)
             lists = lambda parts: pa.array(parts, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(doc)),
                     pa.array(begin - edge[doc]),
                     lists([words[a:b].view(np.int64) for a, b in zip(begin, end, strict=True)]),
-                    lists([seed[a:b].view(np.int64) for a, b in zip(first, last, strict=True)]),
-                    lists([place[a:b] - s for a, b, s in zip(first, last, begin, strict=True)]),
+                    lists([hashes[a:b] for a, b in zip(low, high, strict=True)]),
+                    lists([place[which[a:b]] - s for a, b, s in zip(low, high, begin, strict=True)]),
                 ],
                 names=schema.names,
             )
@@ -188,9 +218,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
     known = written(items(benchmark).withColumn("number", F.monotonically_increasing_id()))
     table = written(item_seeds(known).distinct())
     runs = written(hit_runs(docs, bitmap(table), key).withColumn("run", F.monotonically_increasing_id()))
-    hits = runs.select("run", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("run", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
-    diagonals = hits.join(table, "seed").select("run", "number", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
-    pairs = diagonals.join(runs.select("run", key, "begin", F.col("words").alias("doc_words")), "run").join(known.select("number", "item_id", F.col("words").alias("item_words")), "number")
+    hits = runs.select("run", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("run", F.col("h.keys").alias("key_"), F.col("h.places").alias("place"))
+    diagonals = hits.join(table.withColumnRenamed("key", "key_"), "key_").select("run", "number", "n", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
+    start, end = F.greatest(F.lit(0), "shift"), F.least(F.size("words"), F.col("shift") + F.col("n"))
+    part = F.slice("words", (start + 1).cast("int"), F.greatest(F.lit(0), end - start).cast("int"))
+    parts = diagonals.join(runs.select("run", key, "begin", "words"), "run").select(key, "begin", "number", "shift", part.alias("doc_words"))
+    pairs = parts.join(known.select("number", "item_id", F.col("words").alias("item_words")), "number")
     schema = pairs.select(key, "item_id").schema
     for name in ("n_match", "n_overlap", "doc_word", "item_word"):
         schema = schema.add(name, "long")
@@ -201,10 +234,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
             begins, shifts = batch.column("begin").to_pylist(), batch.column("shift").to_pylist()
             for i, (begin, shift) in enumerate(zip(begins, shifts, strict=True)):
                 doc, item = (batch.column(c)[i].values.to_numpy() for c in ("doc_words", "item_words"))
-                a, b = max(0, shift), min(len(doc), shift + len(item))
-                if b <= a:
-                    continue
-                match = doc[a:b] == item[a - shift : b - shift]
+                a = max(0, shift)
+                match = doc == item[a - shift : a - shift + len(doc)]
                 start, end, n = stretch(match)
                 if n < min(LEAST, len(item)) or n < IDENTITY * (end - start):
                     start, end, n = passage(match)

@@ -85,3 +85,42 @@ def test_edited_passages_hold_what_their_parts_hold(spark):
     df = spark.createDataFrame([(d, " ".join(fresh(30) + w + fresh(30))) for d, w in docs], "doc_id long, text string")
     got = {r.doc_id: (r.n_match, r.n_overlap) for r in dc.overlaps(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
     assert got == {1: (20, 24), 2: (10, 10), 3: (20, 24), 5: (10, 11)}
+
+
+def test_dump_and_repeated_words_carry_one_item_a_diagonal(spark, monkeypatch):
+    """A copy of the whole benchmark: what is compared grows with the copy, not with its square."""
+    rng = random.Random(9)
+    fresh = lambda n: ["".join(rng.choices("abcdefgh", k=9)) for _ in range(n)]
+    items = [(i, " ".join(fresh(40))) for i in range(400)] + [(900, "a " * 30)]
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(t for _, t in items[:400])), (2, "a " * 20000)], "doc_id long, text string")
+    compared = spark.sparkContext.accumulator(0)
+    plain = dc.stretch
+    monkeypatch.setattr(dc, "stretch", lambda match: (compared.add(len(match)), plain(match))[1])
+    got = {(r.doc_id, r.item_id): (r.n_match, r.doc_word) for r in dc.overlaps(docs, marks).collect()}
+    assert got == {(1, i): (40, 40 * i) for i in range(400)} | {(2, 900): (30, 0)}
+    assert compared.value <= 16000 + 20030 * 30
+
+
+def test_shared_phrase_meets_only_items_that_go_on_alike(spark, monkeypatch):
+    rng = random.Random(10)
+    fresh = lambda n: ["".join(rng.choices("abcdefgh", k=9)) for _ in range(n)]
+    prompt = fresh(8)
+    items = [(i, " ".join(prompt + fresh(20))) for i in range(300)] + [(900, " ".join(prompt))]
+    docs = [(d, " ".join(fresh(10) + prompt + fresh(10))) for d in range(50)] + [(99, "x " + items[7][1])]
+    tried = spark.sparkContext.accumulator(0)
+    plain = dc.stretch
+    monkeypatch.setattr(dc, "stretch", lambda match: (tried.add(1), plain(match))[1])
+    found = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.n_match for r in found.collect()}
+    assert got == {(d, 900): 8 for d in [*range(50), 99]} | {(99, 7): 28}
+    assert tried.value <= 60  # all pairs would be 15,351
+
+
+def test_words_beside_a_seed_may_stand_behind_a_gap(spark):
+    """Eight words, four others, eight words: the least identity that passes, from either side."""
+    item = [f"w{k}" for k in range(20)]
+    cut = [w if not 8 <= k < 12 else "x" for k, w in enumerate(item)]
+    df = spark.createDataFrame([(1, " ".join(["y"] * 9 + cut + ["z"] * 9)), (2, " ".join(cut)), (3, " ".join(cut[:13]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_match, r.n_overlap) for r in dc.overlaps(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (16, 20), 2: (16, 20)}
