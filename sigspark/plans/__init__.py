@@ -25,6 +25,7 @@ MODULES = (
     "flags",
     "composite",
     "ranklearn",
+    "plan",
 )
 
 for _m in MODULES:
