@@ -26,6 +26,7 @@ MODULES = (
     "composite",
     "ranklearn",
     "plan",
+    "transfer",
 )
 
 for _m in MODULES:
