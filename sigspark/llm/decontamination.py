@@ -125,9 +125,9 @@ def item_seeds(table: DataFrame) -> DataFrame:
     return table.select("number", "words").mapInArrow(work, "seed long, key long, number long, n long, item_at long")
 
 
-def bitmap(table: DataFrame, bits: int = BITMAP_BITS) -> bytes:
-    """The benchmark's bitmap: 2 ** bits bits, gathered as pages of 32,768."""
-    high, low = F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
+def bitmap(table: DataFrame, bits: int = BITMAP_BITS, column: str = "seed") -> bytes:
+    """The benchmark's bitmap of a column of hashes: 2 ** bits bits, gathered as pages of 32,768."""
+    high, low = F.shiftrightunsigned(column, 64 - bits), F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     slot = table.select(F.explode(F.array(high, low)).alias("slot")).select((F.col("slot") + 1).alias("slot"))
     pages = slot.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = bytearray((1 << bits) // 8)
@@ -136,8 +136,15 @@ def bitmap(table: DataFrame, bits: int = BITMAP_BITS) -> bytes:
     return bytes(out)
 
 
-def hit_runs(docs: DataFrame, filter_bits: bytes, key: str) -> DataFrame:
-    """key, begin, words, hits (keys, word index in the run): runs of windows that the bitmap passes."""
+def held(bits: bytes, h: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set, read from the bitmap as it is."""
+    raw = np.frombuffer(bits, np.uint8)
+    return np.logical_and(*[(raw[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 for s in slots(h)])
+
+
+def hit_runs(docs: DataFrame, filter_bits: bytes, key_bits: bytes, key: str) -> DataFrame:
+    """key, begin, words, hits (keys, word index in the run): runs of windows that the bitmap of seeds
+    passes, with those of their keys that the bitmap of keys passes."""
     schema = docs.select(key).schema.add("begin", "long").add("words", T.ArrayType(T.LongType()))
     schema = schema.add("keys", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.LongType()))
 
@@ -166,6 +173,8 @@ def hit_runs(docs: DataFrame, filter_bits: bytes, key: str) -> DataFrame:
             own = owner[place]
             which, more = keys(seed, place, words, edge[own], edge[own + 1])
             which, hashes = np.r_[np.arange(len(seed)), which], np.r_[seed, more]
+            own = held(key_bits, hashes)
+            which, hashes = which[own], hashes[own]
             by = np.argsort(which, kind="stable")
             which, hashes = which[by], hashes[by].view(np.int64)
             low, high = np.searchsorted(which, first), np.searchsorted(which, last)
@@ -217,7 +226,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
     document and item."""
     known = written(items(benchmark).withColumn("number", F.monotonically_increasing_id()))
     table = written(item_seeds(known).distinct())
-    runs = written(hit_runs(docs, bitmap(table), key).withColumn("run", F.monotonically_increasing_id()))
+    runs = written(hit_runs(docs, bitmap(table), bitmap(table, column="key"), key).withColumn("run", F.monotonically_increasing_id()))
     hits = runs.select("run", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("run", F.col("h.keys").alias("key_"), F.col("h.places").alias("place"))
     diagonals = hits.join(table.withColumnRenamed("key", "key_"), "key_").select("run", "number", "n", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
     start, end = F.greatest(F.lit(0), "shift"), F.least(F.size("words"), F.col("shift") + F.col("n"))
