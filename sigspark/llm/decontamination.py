@@ -2,11 +2,12 @@
 
 Texts become words (runs of letters and digits, ASCII lower case) and 64-bit word hashes. A seed
 is a window of ``SPAN`` words under a fixed mask; the words at the mask's zeros are ignored, so a
-substitution there leaves the seed alone. A hit is a seed and one more word that agrees, at most five
-words beside the window: a stretch that passes has one beside some seed of its own, or else a part on
-one side of the gap passes by itself. Benchmark and documents are joined by the hash of both, so a
-phrase of one window that many items share pairs a document only with the items that go on as the
-document does. (All words of an item of fewer than ``LEAST`` words must agree: its seeds stand alone.)
+substitution there leaves the seed alone. A hit of a seed that at most ``FEW`` items hold is the seed. A
+hit of any other is the seed and one more word that agrees, at most five words beside the window: a
+stretch that passes has one beside some seed of its own, or else a part on one side of the gap passes
+by itself. Benchmark and documents are then joined by the hash of both, so a phrase of one window that
+many items share pairs a document only with the items that go on as the document does. (All words of
+an item of fewer than ``LEAST`` words must agree: its seeds stand alone.)
 
 Around each hit the two word sequences are compared on its diagonal, of which only the part under
 the item travels, so a copy of the whole benchmark costs what its length costs: the best stretch by +1 a match and -2 a mismatch counts if it holds ``LEAST`` matches (all words of a
@@ -40,6 +41,8 @@ MASKS = ("11011011", "10111101", "11100111")
 SPAN, LEAST, IDENTITY = 8, 10, 0.8
 #: Words of a document sent along on either side of a run of hits.
 MARGIN = 64
+#: Items that may hold a seed before a hit of it needs one more word.
+FEW = 4
 #: Where the one more word of a hit may stand, from the window's start.
 BESIDE = (*range(-5, 0), *range(SPAN, SPAN + 5))
 BITMAP_BITS = 25
@@ -106,8 +109,8 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_seeds(table: DataFrame) -> DataFrame:
-    """seed, key, number, n, item_at: every window of the items under every mask with every word beside
-    it (alone for an item of fewer than LEAST words); n is the item's length."""
+    """seed, key, number, n, item_at: every window of the items under every mask, alone (the key is the
+    seed) and, for an item of LEAST words, with every word beside it; n is the item's length."""
 
     def work(batches):
         for batch in batches:
@@ -116,7 +119,9 @@ def item_seeds(table: DataFrame) -> DataFrame:
                 words = words.values.to_numpy().view(np.uint64)
                 seed = np.concatenate(seeds(words))
                 at = np.tile(np.arange(len(words) - SPAN + 1), len(MASKS))
-                which, key = keys(seed, at, words, 0, len(words)) if len(words) >= LEAST else (np.arange(len(seed)), seed)
+                which, key = np.arange(len(seed)), seed
+                if len(words) >= LEAST:
+                    which, key = (np.r_[a, b] for a, b in zip((which, key), keys(seed, at, words, 0, len(words)), strict=True))
                 same = [np.full(len(key), v, np.int64) for v in (number, len(words))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in (seed[which].view(np.int64), key.view(np.int64), *same, at[which])], names=["seed", "key", "number", "n", "item_at"]
@@ -125,6 +130,19 @@ def item_seeds(table: DataFrame) -> DataFrame:
     return table.select("number", "words").mapInArrow(work, "seed long, key long, number long, n long, item_at long")
 
 
+def hot_seeds(table: DataFrame) -> DataFrame:
+    """seed: those that more than FEW items of LEAST words hold."""
+    held = table.filter((F.col("key") == F.col("seed")) & (F.col("n") >= LEAST)).select("seed", "number").distinct()
+    return held.groupBy("seed").agg(F.count(F.lit(1)).alias("items")).filter(F.col("items") > FEW).select("seed")
+
+
+def needed(table: DataFrame, hot: DataFrame) -> DataFrame:
+    """Of the rows of ``item_seeds``: a hot seed's with one more word, any other seed's alone."""
+    alone = F.col("key") == F.col("seed")
+    marked = table.join(hot.withColumn("hot", F.lit(True)), "seed", "left").withColumn("hot", F.col("hot").isNotNull())
+    return marked.filter(F.when(F.col("n") < LEAST, alone).otherwise(alone != F.col("hot"))).drop("hot")
+
+
 def bitmap(table: DataFrame, bits: int = BITMAP_BITS, column: str = "seed") -> bytes:
     """The benchmark's bitmap of a column of hashes: 2 ** bits bits, gathered as pages of 32,768."""
     high, low = F.shiftrightunsigned(column, 64 - bits), F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
@@ -137,27 +155,29 @@ def bitmap(table: DataFrame, bits: int = BITMAP_BITS, column: str = "seed") -> b
 
 
 def held(bits: bytes, h: np.ndarray) -> np.ndarray:
-    """Whether both bits of each hash are set, read from the bitmap as it is."""
+    """Numbers of the hashes whose bits are both set, read from the bitmap as it is."""
     raw = np.frombuffer(bits, np.uint8)
-    return np.logical_and(*[(raw[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 for s in slots(h)])
+    own = np.arange(len(h))
+    for slot in slots(h):
+        s = slot[own]
+        own = own[(raw[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    return own
 
 
-def hit_runs(docs: DataFrame, filter_bits: bytes, key_bits: bytes, key: str) -> DataFrame:
+def hit_runs(docs: DataFrame, filter_bits: bytes, hot_bits: bytes, key_bits: bytes, key: str) -> DataFrame:
     """key, begin, words, hits (keys, word index in the run): runs of windows that the bitmap of seeds
-    passes, with those of their keys that the bitmap of keys passes."""
+    passes, with those of their keys that the bitmap of keys passes: the seed, and where the bitmap of
+    hot seeds has it the seed with each word beside it."""
     schema = docs.select(key).schema.add("begin", "long").add("words", T.ArrayType(T.LongType()))
     schema = schema.add("keys", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.LongType()))
 
     def work(batches):
-        bits = np.unpackbits(np.frombuffer(filter_bits, np.uint8), bitorder="little")
         for (ids,), texts in text_slices(batches, (key,)):
             words, edge = word_hashes(texts)
             owner = np.repeat(np.arange(len(texts)), np.diff(edge))
             place, seed = [], []
             for h in seeds(words):
-                a, b = slots(h)
-                own = np.flatnonzero(bits[a])
-                own = own[bits[b[own]] > 0]
+                own = held(filter_bits, h)
                 own = own[owner[own] == owner[own + SPAN - 1]]
                 place.append(own)
                 seed.append(h[own])
@@ -171,8 +191,9 @@ def hit_runs(docs: DataFrame, filter_bits: bytes, key_bits: bytes, key: str) ->
             doc = owner[place[first]]
             begin, end = np.maximum(place[first] - MARGIN, edge[doc]), np.minimum(place[last - 1] + SPAN + MARGIN, edge[doc + 1])
             own = owner[place]
-            which, more = keys(seed, place, words, edge[own], edge[own + 1])
-            which, hashes = np.r_[np.arange(len(seed)), which], np.r_[seed, more]
+            hot = held(hot_bits, seed)
+            which, more = keys(seed[hot], place[hot], words, edge[own[hot]], edge[own[hot] + 1])
+            which, hashes = np.r_[np.arange(len(seed)), hot[which]], np.r_[seed, more]
             own = held(key_bits, hashes)
             which, hashes = which[own], hashes[own]
             by = np.argsort(which, kind="stable")
@@ -225,8 +246,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
     """key, item_id, n_match, n_overlap, doc_word, item_word: the longest verified overlap of each
     document and item."""
     known = written(items(benchmark).withColumn("number", F.monotonically_increasing_id()))
-    table = written(item_seeds(known).distinct())
-    runs = written(hit_runs(docs, bitmap(table), bitmap(table, column="key"), key).withColumn("run", F.monotonically_increasing_id()))
+    every = written(item_seeds(known).distinct())
+    hot = written(hot_seeds(every))
+    table = written(needed(every, hot))
+    runs = written(hit_runs(docs, bitmap(table), bitmap(hot), bitmap(table, column="key"), key).withColumn("run", F.monotonically_increasing_id()))
     hits = runs.select("run", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("run", F.col("h.keys").alias("key_"), F.col("h.places").alias("place"))
     diagonals = hits.join(table.withColumnRenamed("key", "key_"), "key_").select("run", "number", "n", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
     start, end = F.greatest(F.lit(0), "shift"), F.least(F.size("words"), F.col("shift") + F.col("n"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sigspark.llm import decontamination as dc
 
@@ -124,3 +125,22 @@ def test_words_beside_a_seed_may_stand_behind_a_gap(spark):
     df = spark.createDataFrame([(1, " ".join(["y"] * 9 + cut + ["z"] * 9)), (2, " ".join(cut)), (3, " ".join(cut[:13]))], "doc_id long, text string")
     got = {r.doc_id: (r.n_match, r.n_overlap) for r in dc.overlaps(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
     assert got == {1: (16, 20), 2: (16, 20)}
+
+
+def test_one_more_word_is_asked_for_where_many_items_hold_a_seed_and_nowhere_else(spark):
+    rng = random.Random(41)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, own = words(8), words(30)
+    items = [(f"i{i}", f"{shared} {words(20)}") for i in range(dc.FEW + 1)] + [("alone", own), ("short", words(9))]
+    known = dc.items(spark.createDataFrame(items, "item_id string, text string")).withColumn("number", F.monotonically_increasing_id())
+    every = dc.item_seeds(known)
+    hot = dc.hot_seeds(every)
+    assert hot.count() == len(dc.MASKS)
+    rows = [(r.seed, r.key, r.n) for r in dc.needed(every, hot).collect()]
+    seeds = {r.seed for r in hot.collect()}
+    assert all((s == k) == (s not in seeds) for s, k, _ in rows)
+    # each shared window starts its item: five words stand behind it
+    assert sum(s in seeds for s, _, _ in rows) == (dc.FEW + 1) * len(dc.MASKS) * 5
+    docs = [(1, f"{words(50)} {shared} {words(50)}"), (2, f"{words(40)} {items[0][1]} {words(9)}"), (3, f"{words(70)} {own}")]
+    got = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_match) for r in got) == [(2, "i0", 28), (3, "alone", 30)]
