@@ -51,6 +51,55 @@ def nine_votes(df: DataFrame, min_votes: int = 6, min_families: int = 3, min_con
     return d.withColumn("signal", F.when(ok, F.col("side")).otherwise("WATCH"))
 
 
+def buy_sell(df: DataFrame, least_rr: float = 1.4) -> DataFrame:
+    """Buying and selling points of a bar, levels from its session's range so far, and the decision.
+
+    Inputs: close, day_open, day_high, day_low (the session up to the bar), vwap, macd_hist, prev_hist,
+    ema9, ema21, obv_trend, rsi, volume3_ratio, momentum3, momentum6, resistance20 (the highest high of
+    the 20 bars before). An unknown input gives no points. To buy takes ``least_rr`` reward for a unit of
+    risk and 20 points more than to sell; to sell takes 20 points more than to buy. Adds buy_points,
+    sell_points, entry_low, entry_high, take_profit, stop_loss, risk_pct, reward_pct, reward_risk,
+    decision_confidence and decision.
+    """
+    c, price, hist = F.col, F.col("close"), F.col("macd_hist")
+    e9, e21, rsi, flow = c("ema9"), c("ema21"), c("rsi"), c("volume3_ratio")
+    above, below = (price > e9) & (e9 > e21), (price < e9) & (e9 < e21)
+    breakout = price > c("resistance20")
+    buy = [
+        [(price > c("vwap"), 18)],
+        [(hist > 0, 15)],
+        [((hist > 0) & (hist > c("prev_hist")), 12)],
+        [(above, 12), (below, 0), (e9 > e21, 5)],
+        [(c("obv_trend") == "RISING", 8)],
+        [(rsi.between(50, 68), 12)],
+        [(flow >= 150, 15), (flow >= 120, 9)],
+        [((c("momentum3") > 0) & (c("momentum6") > 0), 12)],
+        [(breakout & (flow >= 130), 16), (breakout, 7)],
+    ]
+    sell = [
+        [(price < c("vwap"), 18)],
+        [(hist <= 0, 15)],
+        [((hist < 0) & (hist < c("prev_hist")), 12)],
+        [(above, 0), (below, 12), (e9 < e21, 5)],
+        [(c("obv_trend") == "FALLING", 8)],
+        [(rsi >= 75, 12), (rsi < 35, 8)],
+        [(flow < 60, 10)],
+        [((c("momentum3") < 0) & (c("momentum6") < 0), 12)],
+        [(pct_change(price, c("day_open")) > 6, 10)],
+        [((c("day_high") - price) / c("day_high") * 100 > 4, 6)],
+    ]
+    total = lambda rules: F.least(F.lit(100), sum([first_match(*cases, default=0) for cases in rules], F.lit(0)))
+    d = out.evaluated(df.withColumns({"buy_points": total(buy), "sell_points": total(sell), "_span": F.greatest(c("day_high") - c("day_low"), price * 0.005)}))
+    d = out.evaluated(d.withColumns({"entry_low": F.greatest(c("day_low"), price - c("_span") * 0.18), "entry_high": price, "take_profit": F.greatest(c("day_high"), price + c("_span") * 0.35)}))
+    d = out.evaluated(d.withColumn("stop_loss", F.greatest(F.lit(0.0), c("entry_low") - c("_span") * 0.22)).drop("_span"))
+    share = lambda move: F.greatest(F.lit(0.0), move / price * 100)
+    d = out.evaluated(d.withColumns({"risk_pct": share(price - c("stop_loss")), "reward_pct": share(c("take_profit") - price)}))
+    d = out.evaluated(d.withColumn("reward_risk", F.when(c("risk_pct") > 0, c("reward_pct") / c("risk_pct")).otherwise(0.0)))
+    up, down = c("buy_points"), c("sell_points")
+    decision = first_match(((up >= 65) & (up >= down + 20) & (c("reward_risk") >= least_rr), "BUY"), ((down >= 60) & (down >= up + 20), "SELL"), default="WATCH")
+    return d.withColumns({"decision_confidence": F.greatest(up, down), "decision": decision})
+
+
 def label_session(signals: DataFrame, bars: DataFrame, horizons: dict[str, int], last_slot: int = 23) -> DataFrame:
     """Same-session outcome per signal and horizon; every expected bar must be there.
 

@@ -40,7 +40,7 @@ def hourly_wide(s, d):
     v = ind.session_vwap(h).select("symbol", F.col("bar_no").alias("session_no"), F.when(F.col("contiguous"), F.col("vwap")).alias("vwap"))
     b = h.select("symbol", F.col("symbol").alias("sector"), F.col("bar_start").alias("session"), "open", "high", "low", "close", "volume", F.col("bar_no").alias("session_no"))
     f = ind.indicator_frame(b, ind.BarWindow("symbol", order="session_no")).withColumn("prev_hist", F.col("prev_macd") - F.col("prev_signal"))
-    need = ["symbol", "session", "session_no", "open", "close", "rsi", "macd_hist", "prev_hist", "ema9", "ema21", "volume_ratio", "obv_trend", "bb_mid", "bb_upper", "bb_lower", "momentum3", "close_position", "atr14"]
+    need = ["symbol", "session", "session_no", "open", "close", "rsi", "macd_hist", "prev_hist", "ema9", "ema21", "volume_ratio", "volume3_ratio", "obv_trend", "bb_mid", "bb_upper", "bb_lower", "momentum3", "close_position", "atr14"]
     return f.select(*need).join(v, ["symbol", "session_no"])
 
 
@@ -54,6 +54,39 @@ query("nine_vote_signal", f"""
  SELECT symbol, session_no AS bar_no, buy, sell, missing, side, votes, families, vote_confidence, CASE WHEN votes>=6 AND families>=3 AND vote_confidence>=60 THEN side ELSE 'WATCH' END AS signal FROM g""", f="vote_confidence")(
     lambda s, d: iy.nine_votes(hourly_wide(s, d), 6, 3, 60).select("symbol", F.col("session_no").alias("bar_no"), "buy", "sell", "missing", "side", "votes", "families", "vote_confidence", "signal"))
 
+fragment("hsess", """
+ SELECT symbol, bar_no, first_value(open) OVER w AS day_open, max(high) OVER w AS day_high, min(low) OVER w AS day_low, CASE WHEN count(*) OVER r=20 THEN max(high) OVER r END AS top20, (close/lag(close,6) OVER (PARTITION BY symbol ORDER BY bar_no)-1)*100 AS m6
+ FROM hours WINDOW w AS (PARTITION BY symbol, day ORDER BY slot), r AS (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
+query("intraday_buy_sell", """
+ WITH x AS (SELECT h.symbol, h.session_no AS bar_no, h.close, s.day_open, s.day_high, s.day_low, greatest(s.day_high-s.day_low, h.close*0.005) AS span,
+   CASE WHEN h.close>h.vwap THEN 18 ELSE 0 END+CASE WHEN h.macd_hist>0 THEN 15 ELSE 0 END+CASE WHEN h.macd_hist>0 AND h.macd_hist>h.prev_hist THEN 12 ELSE 0 END
+   +CASE WHEN h.close>h.ema9 AND h.ema9>h.ema21 THEN 12 WHEN h.ema9>h.ema21 THEN 5 ELSE 0 END+CASE WHEN h.obv_trend='RISING' THEN 8 ELSE 0 END+CASE WHEN h.rsi BETWEEN 50 AND 68 THEN 12 ELSE 0 END
+   +CASE WHEN h.volume3_ratio>=150 THEN 15 WHEN h.volume3_ratio>=120 THEN 9 ELSE 0 END+CASE WHEN h.momentum3>0 AND s.m6>0 THEN 12 ELSE 0 END
+   +CASE WHEN h.close>s.top20 AND h.volume3_ratio>=130 THEN 16 WHEN h.close>s.top20 THEN 7 ELSE 0 END AS b,
+   CASE WHEN h.close<h.vwap THEN 18 ELSE 0 END+CASE WHEN h.macd_hist<=0 THEN 15 ELSE 0 END+CASE WHEN h.macd_hist<0 AND h.macd_hist<h.prev_hist THEN 12 ELSE 0 END
+   +CASE WHEN h.close<h.ema9 AND h.ema9<h.ema21 THEN 12 WHEN h.ema9<h.ema21 THEN 5 ELSE 0 END+CASE WHEN h.obv_trend='FALLING' THEN 8 ELSE 0 END+CASE WHEN h.rsi>=75 THEN 12 WHEN h.rsi<35 THEN 8 ELSE 0 END
+   +CASE WHEN h.volume3_ratio<60 THEN 10 ELSE 0 END+CASE WHEN h.momentum3<0 AND s.m6<0 THEN 12 ELSE 0 END
+   +CASE WHEN (h.close/s.day_open-1)*100>6 THEN 10 ELSE 0 END+CASE WHEN (s.day_high-h.close)/s.day_high*100>4 THEN 6 ELSE 0 END AS v
+   FROM hwide h JOIN hsess s ON h.symbol=s.symbol AND h.session_no=s.bar_no),
+ y AS (SELECT *, CAST(least(100,b) AS BIGINT) AS buy_points, CAST(least(100,v) AS BIGINT) AS sell_points, greatest(day_low, close-span*0.18) AS entry_low, greatest(day_high, close+span*0.35) AS take_profit FROM x),
+ z AS (SELECT *, greatest(0, entry_low-span*0.22) AS stop_loss FROM y), q AS (SELECT *, greatest(0,(close-stop_loss)/close*100) AS risk, greatest(0,(take_profit-close)/close*100) AS reward FROM z),
+ g AS (SELECT *, CASE WHEN risk>0 THEN reward/risk ELSE 0 END AS reward_risk FROM q)
+ SELECT symbol, bar_no, buy_points, sell_points, entry_low, close AS entry_high, take_profit, stop_loss, reward_risk, greatest(buy_points,sell_points) AS decision_confidence,
+  CASE WHEN buy_points>=65 AND buy_points>=sell_points+20 AND reward_risk>=1.4 THEN 'BUY' WHEN sell_points>=60 AND sell_points>=buy_points+20 THEN 'SELL' ELSE 'WATCH' END AS decision FROM g""", f="entry_low entry_high take_profit stop_loss reward_risk")(
+    lambda s, d: iy.buy_sell(hourly_wide(s, d).join(_session_range(s, d), ["symbol", "session_no"])).select(
+        "symbol", F.col("session_no").alias("bar_no"), "buy_points", "sell_points", "entry_low", "entry_high", "take_profit", "stop_loss", "reward_risk", "decision_confidence", "decision"))
+
+
+def _session_range(s, d):
+    """The session up to each hour bar, its six-bar momentum and the highest high of the 20 bars before."""
+    bars = W.partitionBy("symbol").orderBy("bar_no")
+    before, day = bars.rowsBetween(-20, -1), W.partitionBy("symbol", "day").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
+    return fx.hourly_bars(s, d).select(
+        "symbol", F.col("bar_no").alias("session_no"), F.when(F.count(F.lit(1)).over(before) == 20, F.max("high").over(before)).alias("resistance20"),
+        ((F.col("close") / F.lag("close", 6).over(bars) - 1) * 100).alias("momentum6"),
+        F.first("open").over(day).alias("day_open"), F.max("high").over(day).alias("day_high"), F.min("low").over(day).alias("day_low"))
+
+
 fragment("isig", "SELECT symbol||'-'||CAST(bar_no AS VARCHAR) AS signal_id, h.symbol, h.day, h.slot, h.bar_no, h.close AS price, s.signal AS decision, s.score, CASE s.signal WHEN 'BUY' THEN h.close*1.5 ELSE h.close*0.6 END AS target, CASE s.signal WHEN 'BUY' THEN h.close*0.7 ELSE h.close*1.4 END AS stop FROM hours h JOIN (SELECT symbol AS sy, slot AS sl, day AS dy, signal, score FROM hsig) s ON h.symbol=s.sy AND h.slot=s.sl AND h.day=s.dy WHERE s.signal<>'WATCH'")
 fragment("iout", """
  SELECT x.*, CASE WHEN need<=0 THEN 'NO_POST_SIGNAL_BAR' WHEN slot+need>23 THEN 'HORIZON_EXCEEDS_SESSION' WHEN n<>need THEN 'MISSING_BAR' END AS reason, need>0 AND slot+need<=23 AND n=need AS completed FROM (
