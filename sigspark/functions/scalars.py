@@ -42,6 +42,16 @@ def pct_change(new: ColumnLike, old: ColumnLike) -> Column:
     return (ratio(new, old) - 1) * 100
 
 
+def float_ratio(a: ColumnLike, b: ColumnLike) -> Column:
+    """a/b by the rules of floating point: infinite over zero, NaN for zero over zero; NULL only for a missing side."""
+    n, d = col(a).cast("double"), col(b).cast("double")
+    return F.when(d == 0, n * float("inf")).otherwise(F.try_divide(n, d))
+
+
+def float_change(new: ColumnLike, old: ColumnLike) -> Column:
+    return (float_ratio(new, old) - 1) * 100
+
+
 def flag(test: Column, *needed: Column) -> Column:
     """Tri-state: NULL as soon as one needed input is NULL."""
     known = reduce(lambda a, b: a & b, [c.isNotNull() for c in needed])
@@ -91,6 +101,11 @@ def side_return(base: ColumnLike, price: ColumnLike, short: Column) -> Column:
     return F.when(short, pct_change(base, price)).otherwise(pct_change(price, base))
 
 
+def float_side_return(base: ColumnLike, price: ColumnLike, short: Column) -> Column:
+    """The side's return by the rules of floating point: a price of zero is a price."""
+    return F.when(short, float_change(base, price)).otherwise(float_change(price, base))
+
+
 def negated_return(base: ColumnLike, price: ColumnLike, short: Column) -> Column:
     """Short return as the negated long return."""
     r = pct_change(price, base)
