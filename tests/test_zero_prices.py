@@ -1,6 +1,7 @@
 """Prices of zero: ratios follow floating point, as in the SQL of the queries."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -61,3 +62,13 @@ def test_queries_with_zero_prices(spark, tmp_path, name):
     events(spark, tmp_path, {1: 1, 30: 2, 24: 0})  # within an hour, as a close, as a day's open
     got, want = both(spark, tmp_path, name)
     assert len(got) == 48 and got == want
+
+
+def test_top10_with_many_zero_prices(spark, tmp_path):
+    rng = random.Random(5)
+    at = [(1704067200 * 10**6 + rng.randrange(20 * 86_400 * 10**6), rng.choice("ABCDE")) for _ in range(40_000)]
+    rows = [(i, t, 1, s, 0.0 if rng.random() < 0.08 else round(rng.expovariate(0.02), 2), "{}") for i, (t, s) in enumerate(dict.fromkeys(at))]
+    d = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
+    d.select("event_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = both(spark, tmp_path, "intraday_top10")
+    assert got and got == want
