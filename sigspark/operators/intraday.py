@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sigspark.functions.scalars import first_match, pct_change, side_return
+from sigspark.functions.scalars import first_match, float_change, float_side_return, pct_change
 from sigspark.operators import outcomes as out
 
 # The nine criteria and the family each belongs to.
@@ -131,10 +131,10 @@ def label_session(signals: DataFrame, bars: DataFrame, horizons: dict[str, int],
     return d.withColumns({
         "completed": done,
         "reason": first_match((need <= 0, "NO_POST_SIGNAL_BAR"), (beyond, "HORIZON_EXCEEDS_SESSION"), (~done, "MISSING_BAR"), default=None),
-        "return_pct": F.when(done, pct_change(F.col("_exit"), base)),
-        "side_return": F.when(done, side_return(base, F.col("_exit"), short)),
-        "side_mfe": F.when(done, F.greatest(F.lit(0.0), side_return(base, F.when(short, F.col("_lo")).otherwise(F.col("_hi")), short))),
-        "side_mae": F.when(done, F.least(F.lit(0.0), side_return(base, F.when(short, F.col("_hi")).otherwise(F.col("_lo")), short))),
+        "return_pct": F.when(done, float_change(F.col("_exit"), base)),
+        "side_return": F.when(done, float_side_return(base, F.col("_exit"), short)),
+        "side_mfe": F.when(done, F.greatest(F.lit(0.0), float_side_return(base, F.when(short, F.col("_lo")).otherwise(F.col("_hi")), short))),
+        "side_mae": F.when(done, F.least(F.lit(0.0), float_side_return(base, F.when(short, F.col("_hi")).otherwise(F.col("_lo")), short))),
         "touch": F.when(done, F.coalesce(out.first_touch(use_open_rule=False), F.lit("NEITHER"))),
     }).drop("_tk", "_sk", "_n", "_hi", "_lo", "_exit", "_open", "_mfs", "_mat")
 
@@ -188,13 +188,13 @@ def label_path(signals: DataFrame, bars: DataFrame, horizons=None, last_slot: in
     known = F.col("zone_low").isNotNull() & F.col("zone_high").isNotNull()
     return d.withColumns({
         "completed": done,
-        "return_pct": F.when(done, pct_change(F.col("_exit"), base)),
-        "side_return": F.when(done, side_return(base, F.col("_exit"), short)),
-        "side_mfe": F.when(done, F.greatest(F.lit(0.0), side_return(base, F.when(short, F.col("_lo")).otherwise(F.col("_hi")), short))),
-        "side_mae": F.when(done, F.least(F.lit(0.0), side_return(base, F.when(short, F.col("_hi")).otherwise(F.col("_lo")), short))),
+        "return_pct": F.when(done, float_change(F.col("_exit"), base)),
+        "side_return": F.when(done, float_side_return(base, F.col("_exit"), short)),
+        "side_mfe": F.when(done, F.greatest(F.lit(0.0), float_side_return(base, F.when(short, F.col("_lo")).otherwise(F.col("_hi")), short))),
+        "side_mae": F.when(done, F.least(F.lit(0.0), float_side_return(base, F.when(short, F.col("_hi")).otherwise(F.col("_lo")), short))),
         "touch": F.when(done, F.coalesce(out.first_touch(use_open_rule=False), F.lit("NEITHER"))),
         "target_hit": F.when(done & F.col("levels_ok"), F.col("_tk").isNotNull()), "stop_hit": F.when(done & F.col("levels_ok"), F.col("_sk").isNotNull()),
         "zone_entered": F.when(done & known, F.col("_entry").isNotNull()), "zone_entry_no": F.when(done, F.col("_entry")),
-        "post_entry_mfe": F.when(done & F.col("_phi").isNotNull(), F.greatest(F.lit(0.0), pct_change(F.col("_phi"), base))),
-        "post_entry_mae": F.when(done & F.col("_plo").isNotNull(), F.least(F.lit(0.0), pct_change(F.col("_plo"), base))),
+        "post_entry_mfe": F.when(done & F.col("_phi").isNotNull(), F.greatest(F.lit(0.0), float_change(F.col("_phi"), base))),
+        "post_entry_mae": F.when(done & F.col("_plo").isNotNull(), F.least(F.lit(0.0), float_change(F.col("_plo"), base))),
     }).drop("_due", "_n", "_path", "_entry", "_hi", "_lo", "_exit", "_phi", "_plo", "_tk", "_sk", "_open", "_mfs", "_mat")

@@ -65,12 +65,12 @@ def touch_columns(window: Column, base: Column, target: Column, stop: Column, sh
 
 
 def best_move(high: Column, low: Column, base: Column, short: Column) -> Column:
-    best = F.when(short, (base - low) / base * 100).otherwise((high - base) / base * 100)
+    best = F.when(short, ratio(base - low, base) * 100).otherwise(ratio(high - base, base) * 100)
     return F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0)))
 
 
 def worst_move(high: Column, low: Column, base: Column, short: Column) -> Column:
-    worst = F.when(short, (base - high) / base * 100).otherwise((low - base) / base * 100)
+    worst = F.when(short, ratio(base - high, base) * 100).otherwise(ratio(low - base, base) * 100)
     return F.least(F.lit(0.0), F.coalesce(worst, F.lit(0.0)))
 
 

@@ -64,11 +64,23 @@ def test_queries_with_zero_prices(spark, tmp_path, name):
     assert len(got) == 48 and got == want
 
 
-def test_top10_with_many_zero_prices(spark, tmp_path):
+def many_events(spark, path):
+    """Twenty days of five types at random times; about one value in twelve is zero."""
     rng = random.Random(5)
     at = [(1704067200 * 10**6 + rng.randrange(20 * 86_400 * 10**6), rng.choice("ABCDE")) for _ in range(40_000)]
     rows = [(i, t, 1, s, 0.0 if rng.random() < 0.08 else round(rng.expovariate(0.02), 2), "{}") for i, (t, s) in enumerate(dict.fromkeys(at))]
     d = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
-    d.select("event_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    d.select("event_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{path}/events.parquet")
+
+
+def test_top10_with_many_zero_prices(spark, tmp_path):
+    many_events(spark, tmp_path)
     got, want = both(spark, tmp_path, "intraday_top10")
     assert got and got == want
+
+
+@pytest.mark.parametrize("name", ["label_signal_outcomes", "intraday_signal_performance"])
+def test_outcomes_with_zero_prices(spark, tmp_path, name):
+    many_events(spark, tmp_path)  # lows, opens and closes of zero, also of the signal's bar
+    got, want = both(spark, tmp_path, name)
+    assert got and got == want and (name != "label_signal_outcomes" or any(INF in r for r in got))
