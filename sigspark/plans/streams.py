@@ -47,7 +47,7 @@ query("seen_ids", "SELECT event_type AS feed, user_id AS id, strftime(min(ts),'%
 def _seen(s, d):
     """The first day is the first sync: its ids are seen, later ones are new."""
     e = fx.table(s, d, "events").select(F.col("event_type").alias("feed"), F.col("user_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    job = sf.Job(s, "feed string, id long, at long", lambda x: sf.keyed(x, "feed", sf.Seen()), {"new": "true"})
+    job = sf.Job(s, "feed string, id long, at long", lambda x: sf.keyed(x, "feed", sf.Seen(one_sync=True)), {"new": "true"})
     return sf.in_two_parts(job, e, f"at < {(e.agg(F.min('at')).first()[0] or 0) + sf.DAY}").read("new").select("feed", "id", F.timestamp_micros("at").alias("first_seen"))
 
 

@@ -21,7 +21,7 @@ from sigspark.session import shared_dir
 
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 DAY = 86_400_000_000
-NEW_EVENT, KEPT_IDS = 10.0, 3000
+NEW_EVENT, SHARES = 10.0, 256  # SHARES: groups that the ids of one feed are dealt to
 
 
 def _rows(parts: Iterator[pd.DataFrame], order: list[str]) -> list:
@@ -145,44 +145,64 @@ class LatestQuote(Daily):
 
 
 class Seen(StatefulProcessor):
-    """New ids of a feed: all that the first sync brings count as seen; the last 3000 are remembered."""
+    """First sights of the ids of a feed. A group is one share of a feed's ids, and every id is kept.
+
+    What the first sync of a feed brings counts as seen; with one_sync the job's first batch is
+    the first sync of all feeds.
+    """
 
     OUT = "feed string, id long, at long"
 
+    def __init__(self, one_sync: bool = False):
+        self.one_sync = one_sync
+
     def init(self, handle) -> None:
-        self.ids = handle.getValueState("ids", "ids array<long>")
+        self.ids = handle.getListState("ids", "id long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = not self.ids.exists()
-        known = [] if first else list(self.ids.get()[0])
-        seen, out = set(known), []
-        for row in _rows(rows, ["at", "id"]):
-            if row.id in seen:
-                continue
-            seen.add(row.id)
-            known.append(row.id)
-            if not first:
-                out.append((*key, row.id, row.at))
-        self.ids.update((known[-KEPT_IDS:],))
-        yield pd.DataFrame(out, columns=["feed", "id", "at"])
+        first = None
+        for part in rows:  # no more than the ids of the share are held
+            low = part.groupby("id")["at"].min()
+            first = low if first is None else pd.concat([first, low]).groupby(level=0).min()
+        new = first.drop([i for (i,) in self.ids.get()], errors="ignore") if self.ids.exists() else first
+        if len(new):
+            self.ids.appendList([(int(i),) for i in new.index])
+        yield pd.DataFrame({"feed": key[0], "id": new.index.astype("int64"), "at": new.to_numpy()}, columns=["feed", "id", "at"])
 
     def close(self) -> None:
         self.ids = None
 
+    def finish(self, batch: DataFrame, number: int, base: str) -> DataFrame:
+        """The batch without first syncs: the feeds of each batch are kept, and those of earlier ones are known."""
+        spark = batch.sparkSession
+        batch.select("feed").distinct().write.mode("overwrite").parquet(f"{base}/feeds/batch={number}")
+        known = spark.read.schema("feed string, batch long").parquet(f"{base}/feeds").filter(F.col("batch") < number)
+        if self.one_sync:
+            return batch.crossJoin(known.agg(F.count(F.lit(1)).alias("_n"))).filter("_n > 0").drop("_n")
+        return batch.join(known.select("feed").distinct(), "feed", "left_semi")
 
-def keyed(stream: DataFrame, key: str, job, late: str = "2 hours") -> DataFrame:
-    """The job over a stream; the watermark follows its clock, in microseconds. Seen ids need none."""
+
+def keyed(stream: DataFrame, key: str, job, late: str = "2 hours") -> DataFrame | tuple[DataFrame, Callable]:
+    """The job over a stream; the watermark follows its clock, in microseconds. Seen ids need none.
+
+    For seen ids, a pair: the stream and what a batch of it passes through before the sinks.
+    """
     timed, mode = stream, "None"
     if isinstance(job, Daily):
         timed, mode = stream.withColumn("event_time", F.timestamp_micros(job.CLOCK)).withWatermark("event_time", late), "EventTime"
-    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=job, outputStructType=job.OUT, outputMode="Append", timeMode=mode)
+    by = [key]
+    if isinstance(job, Seen):
+        timed, by = stream.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES))), [key, "share"]
+    out = timed.groupBy(*by).transformWithStateInPandas(statefulProcessor=job, outputStructType=job.OUT, outputMode="Append", timeMode=mode)
+    return (out, job.finish) if isinstance(job, Seen) else out
 
 
 class Job:
     """A folder of landed input, a checkpoint and sinks; ``run`` takes in what has landed since."""
 
-    def __init__(self, spark: SparkSession, schema: str, build: Callable[[DataFrame], DataFrame], sinks: dict[str, str], base: str | None = None):
+    def __init__(self, spark: SparkSession, schema: str, build: Callable[[DataFrame], DataFrame | tuple[DataFrame, Callable]], sinks: dict[str, str], base: str | None = None):
         self.spark, self.schema, self.build, self.sinks = spark, schema, build, sinks
+        self.finish: Callable | None = None
         self.base = base or os.path.join(shared_dir(spark), f"job-{uuid.uuid4().hex}")
 
     def land(self, rows: DataFrame) -> None:
@@ -192,7 +212,8 @@ class Job:
         held = self.spark.conf.get(STORE[0], None)
         self.spark.conf.set(*STORE)
         try:
-            stream = self.build(self.spark.readStream.schema(self.schema).parquet(f"{self.base}/in"))
+            built = self.build(self.spark.readStream.schema(self.schema).parquet(f"{self.base}/in"))
+            stream, self.finish = built if isinstance(built, tuple) else (built, None)
             query = stream.writeStream.foreachBatch(self.split).option("checkpointLocation", f"{self.base}/cp").trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
@@ -201,8 +222,9 @@ class Job:
     def split(self, batch: DataFrame, number: int) -> None:
         """Each sink takes its rows; a batch that is run again replaces what it wrote before."""
         batch.persist()
+        rows = self.finish(batch, number, self.base) if self.finish else batch
         for name, test in self.sinks.items():
-            batch.filter(test).write.mode("overwrite").parquet(f"{self.base}/{name}/batch={number}")
+            rows.filter(test).write.mode("overwrite").parquet(f"{self.base}/{name}/batch={number}")
         batch.unpersist()
 
     def read(self, sink: str) -> DataFrame:

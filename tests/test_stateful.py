@@ -120,3 +120,13 @@ def test_stream_equals_the_batch_form(spark):
     key = ("symbol", "at", "previous_side", "state", "previous_state")
     assert sorted(map(repr, life.select(*key).collect())) == sorted(map(repr, job.read("out").select(*key).collect()))
     assert sorted(map(tuple, sm.significant(life).select("symbol", "at").collect())) == sorted(map(tuple, job.read("out").filter("important").select("symbol", "at").collect()))
+
+
+def test_seen_ids_are_all_kept(spark):
+    """More ids than the 3000 once remembered come back, and a feed can be new after the one first sync."""
+    t = sf.DAY
+    ids = [("f", i, t + i) for i in range(4000)] + [("f", i, t + MINUTE + 7 * i + k) for i in (5, 3999, 5000, 5001) for k in (3, 1)] + [("g", 1, t + MINUTE)]
+    new = run(spark, ids, "feed string, id long, at long", sf.Seen, "feed", [t + 5000, t + 4 * MINUTE]).read("out").collect()
+    assert sorted(map(tuple, new)) == [("f", 5000, t + MINUTE + 35001), ("f", 5001, t + MINUTE + 35008)]
+    every = run(spark, ids, "feed string, id long, at long", lambda: sf.Seen(one_sync=True), "feed", [t + 5000]).read("out").collect()
+    assert sorted(map(tuple, every)) == [("f", 5000, t + MINUTE + 35001), ("f", 5001, t + MINUTE + 35008), ("g", 1, t + MINUTE)]
