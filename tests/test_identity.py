@@ -143,3 +143,23 @@ def test_record_rows_and_edge_cases(spark):
     rec = idn.records(members).collect()
     assert [(r["canonical_id"], r["n"], r["sources"], r["title"]) for r in rec] == [(1, 3, "KAP + SIRKET_SITE", FIRST)]
     assert idn.canonical(spark.createDataFrame([], ROW)).count() == 0
+
+
+def test_bodies_stay_out_of_files(spark, tmp_path, monkeypatch):
+    """Many different long bodies: what the job writes between steps stays far below them, and copies are still found by their bodies."""
+    rng = random.Random(4)
+    body = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(1200))
+    rows = [("S", f"Fabrika {i} haberi uzun baslik", body(), "KAP", None, T0 + timedelta(minutes=i)) for i in range(150)]
+    rows += [("S", rows[7][1], rows[7][2][:-30] + " yeni son cumle", "SIRKET_SITE", None, T0 + timedelta(minutes=170))]
+
+    def kept(df):
+        path = str(tmp_path / f"step{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(idn, "frozen", kept)
+    _, classes, links = idn.verdicts(frame(spark, rows))
+    name = {r["class_id"]: r["named"] for r in classes.collect()}
+    assert [(name[r["later"]], name[r["earlier"]], r["verdict"]) for r in links.collect()] == [(150, 7, "EXACT_DUPLICATE")]
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file())
+    assert written < sum(len(r[2]) for r in rows) / 8
