@@ -163,3 +163,20 @@ def test_bodies_stay_out_of_files(spark, tmp_path, monkeypatch):
     assert [(name[r["later"]], name[r["earlier"]], r["verdict"]) for r in links.collect()] == [(150, 7, "EXACT_DUPLICATE")]
     written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file())
     assert written < sum(len(r[2]) for r in rows) / 8
+
+
+def test_rounds_take_linked_events_only(spark, tmp_path, monkeypatch):
+    """Events that nothing resembles are their own records without passing through the rounds."""
+    rows = [("S", f"alfa{i} beta{i} gama{i} delta{i}", f"govde {i} " * 20, "KAP", None, T0 + timedelta(minutes=i)) for i in range(40)] + [("S", "alfa7 beta7 gama7 delta7", "govde 7 " * 20, "KAP", None, T0 + timedelta(minutes=50))]
+    steps = []
+
+    def kept(df):
+        path = str(tmp_path / f"step{len(steps)}")
+        df.write.parquet(path)
+        steps.append(spark.read.schema(df.schema).parquet(path))
+        return steps[-1]
+
+    monkeypatch.setattr(idn, "frozen", kept)
+    got = {r["news_id"]: (r["canonical_id"], r["verdict"]) for r in idn.canonical(frame(spark, rows)).collect()}
+    assert got == {i: (i, None) for i in range(40)} | {40: (7, "EXACT_DUPLICATE")}
+    assert [s.count() for s in steps if "content" in s.columns and "a" in s.columns] and all(s.count() == 2 for s in steps if "content" in s.columns)
