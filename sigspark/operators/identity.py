@@ -66,8 +66,13 @@ def amount_set(text: Column) -> Column:
 
 
 def _digest(x: Column) -> Column:
-    """SHA-256 in 44 characters."""
-    return F.base64(F.unhex(F.sha2(x, 256)))
+    """The first 128 bits of SHA-256 in 22 characters."""
+    return F.substring(F.base64(F.unhex(F.substring(F.sha2(x, 256), 1, 32))), 1, 22)
+
+
+def informative(title_n: Column) -> Column:
+    """Sorted informative words of a folded title. Worked out where they are read: the title is shorter to send."""
+    return F.array_sort(F.array_except(F.array_distinct(F.filter(F.split(title_n, " "), lambda w: w != "")), F.array(*map(F.lit, STOP))))
 
 
 def _body(symbol: str = "symbol", body: str = "body") -> Column:
@@ -88,45 +93,45 @@ def prepared(news: DataFrame) -> DataFrame:
                  F.unix_timestamp("event_time").alias("t"), title.alias("title"), body.alias("body"))
     d = d.withColumn("class_id", _digest(F.concat_ws("\x1f", "symbol", "kind", "url", "title", "body"))).withColumn("b", F.floor(F.col("t") / WINDOW))
     names = words_but(F.col("title"), F.col("symbol"))
-    tokens = F.array_sort(F.array_except(F.array_distinct("names"), F.array(*map(F.lit, STOP))))
-    d = d.withColumns({"names": names, "body_n": _body(), "amounts": amount_set(F.concat_ws(" ", "title", "body"))})
-    return d.withColumns({"title_n": F.array_join("names", " "), "tokens": tokens, "body_id": _digest(F.col("body_n")), "body_len": F.length("body_n")}).drop("names", "body", "body_n")
+    d = d.withColumns({"title_n": F.array_join(names, " "), "body_n": _body(), "amounts": amount_set(F.concat_ws(" ", "title", "body"))})
+    return d.withColumns({"body_id": _digest(F.col("body_n")), "body_len": F.length("body_n")}).drop("body", "body_n")
 
 
 def _classes(events: DataFrame) -> DataFrame:
     """One row a class: what verdicts read, the number of events, and the first event as its name."""
-    keep = ("symbol", "kind", "url", "title_n", "tokens", "amounts", "body_id", "body_len")
-    d = events.groupBy("class_id").agg(*[F.first(c).alias(c) for c in keep], F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "news_id"))["news_id"].alias("named"))
-    return d.withColumn("facts", F.filter("tokens", lambda w: w.rlike("[0-9]")))
+    keep = ("symbol", "kind", "url", "title_n", "amounts", "body_id", "body_len")
+    return events.groupBy("class_id").agg(*[F.first(c).alias(c) for c in keep], F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "news_id"))["news_id"].alias("named"))
 
 
 def class_pairs(events: DataFrame, classes: DataFrame) -> DataFrame:
     """later, earlier: names of ordered pairs of different classes that can be copies and occur so within the window.
 
-    Keys are hashes of symbol, kind of key and value: an equal hash of others only adds a pair that the verdict drops.
+    Keys are hashes of symbol, kind of key, value and time bucket: an equal hash of others only adds a pair that the verdict drops.
     """
     general = F.array(*map(F.lit, (*GENERIC, *MONEY)))
     mark = lambda kind, x: F.xxhash64(F.lit(kind), F.col("symbol"), x)
     exact = [mark("T", F.col("title_n")), F.when(F.col("body_len") >= 60, mark("B", F.col("body_id"))), F.when(F.col("url") != "", mark("U", F.col("url"))),
              F.when(F.size("amounts") > 0, mark("A", F.array_join("amounts", ";")))]
     words = lambda c: F.transform(c, lambda w: mark("W", w))
-    own = classes.select("class_id", "named", F.array_compact(F.array(*exact)).alias("exact"), words(F.col("tokens")).alias("every"), words(F.array_except("tokens", general)).alias("telling"))
+    own = classes.withColumn("tokens", informative(F.col("title_n"))).select("class_id", "named", F.array_compact(F.array(*exact)).alias("exact"), words(F.col("tokens")).alias("every"), words(F.array_except("tokens", general)).alias("telling"))
     spread = own.select("named", F.explode("telling").alias("w"))
     often = spread.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     rarest = spread.join(often, "w").groupBy("named").agg(F.min(F.struct("n", "w"))["w"].alias("rarest"))
     asked = F.when(F.col("rarest").isNotNull(), F.array("rarest")).otherwise(F.col("every"))
     keyed = own.join(rarest, "named", "left").select("class_id", "named", F.concat("exact", "every").alias("held"), F.concat("exact", asked).alias("asked"))
     cells = events.groupBy("class_id", "b").agg(F.min(F.struct("t", "news_id")).alias("first"), F.max(F.struct("t", "news_id")).alias("last")).join(keyed, "class_id")
-    at = {"c": "named", "b": "b", "t0": "first.t", "n0": "first.news_id", "t1": "last.t", "n1": "last.news_id"}
-    cells = frozen(cells.select(*[F.col(v).alias(k) for k, v in at.items()], "held", "asked"))
+    at = {"c": "named", "t0": "first.t", "n0": "first.news_id", "t1": "last.t", "n1": "last.news_id"}
+    cells = frozen(cells.select("b", *[F.col(v).alias(k) for k, v in at.items()], "held", "asked"))
     side = lambda name: [F.col(k).alias(f"{name}_{k}") for k in at]
-    held = cells.select(F.explode("held").alias("key"), *side("y"))
-    seek = cells.select(F.explode("asked").alias("key"), *side("x"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("at"))
-    met = seek.join(held, (seek.key == held.key) & (seek["at"] == held.y_b)).filter("x_c <> y_c")
+    near = F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("at")
+    held = cells.select("b", F.explode("held").alias("key"), *side("y")).select(F.xxhash64("key", "b").alias("spot"), *[f"y_{k}" for k in at])
+    seek = cells.select("asked", near, *side("x")).select("at", F.explode("asked").alias("key"), *[f"x_{k}" for k in at]).select(F.xxhash64("key", "at").alias("spot"), *[f"x_{k}" for k in at])
+    met = seek.join(held, "spot").filter("x_c <> y_c")
 
     def follows(x: str, y: str) -> Column:
         of = lambda n: (F.col(f"{x}_{n}"), F.col(f"{y}_{n}"))
-        (xb, yb), (x0, _), (_, y1) = of("b"), of("t0"), of("t1")
+        (x0, _), (_, y1) = of("t0"), of("t1")
+        xb, yb = (F.floor(t / WINDOW) for t in of("t0"))
         same = (xb == yb) & (F.struct(F.col(f"{x}_t1"), F.col(f"{x}_n1")) > F.struct(F.col(f"{y}_t0").alias(f"{x}_t1"), F.col(f"{y}_n0").alias(f"{x}_n1")))
         pair = F.struct(F.col(f"{x}_c").alias("later"), F.col(f"{y}_c").alias("earlier"))
         return F.when(same | ((xb == yb + 1) & (x0 - y1 <= WINDOW)), pair)
@@ -155,7 +160,7 @@ def _body_like(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
 def same_class(c: str = "") -> Column:
     """Whether two events of one class are copies: a short title needs a long body or the same entry."""
     at = (lambda n: F.col(f"{c}.{n}")) if c else F.col
-    return (F.size(at("tokens")) >= 3) | (at("body_len") >= 60) | ((at("url") != "") & (at("body_len") > 0))
+    return (F.size(informative(at("title_n"))) >= 3) | (at("body_len") >= 60) | ((at("url") != "") & (at("body_len") > 0))
 
 
 def pair_verdicts(classes: DataFrame, pairs: DataFrame, news: DataFrame) -> DataFrame:
@@ -164,7 +169,10 @@ def pair_verdicts(classes: DataFrame, pairs: DataFrame, news: DataFrame) -> Data
     side = lambda name, key: classes.select(F.col("named").alias(key), F.struct(*light).alias(name))
     d = pairs.join(side("x", "later"), "later").join(side("y", "earlier"), "earlier").filter("x.symbol = y.symbol")
     of = lambda n: (F.col(f"x.{n}"), F.col(f"y.{n}"))
-    (ta, tb), (aa, ab), (fa, fb), (na, nb), (la, lb) = of("tokens"), of("amounts"), of("facts"), of("title_n"), of("body_len")
+    (aa, ab), (na, nb), (la, lb) = of("amounts"), of("title_n"), of("body_len")
+    d = d.withColumns({"ta": informative(na), "tb": informative(nb)})
+    ta, tb = F.col("ta"), F.col("tb")
+    fa, fb = (F.filter(c, lambda w: w.rlike("[0-9]")) for c in (ta, tb))
     units = lambda a: F.array_distinct(F.transform(a, lambda x: F.split(x, "[|]")[0]))
     of_unit = lambda a, u: F.filter(a, lambda x: F.split(x, "[|]")[0] == u)
     turned = F.lit(False)

@@ -180,3 +180,23 @@ def test_rounds_take_linked_events_only(spark, tmp_path, monkeypatch):
     got = {r["news_id"]: (r["canonical_id"], r["verdict"]) for r in idn.canonical(frame(spark, rows)).collect()}
     assert got == {i: (i, None) for i in range(40)} | {40: (7, "EXACT_DUPLICATE")}
     assert [s.count() for s in steps if "content" in s.columns and "a" in s.columns] and all(s.count() == 2 for s in steps if "content" in s.columns)
+
+
+def test_titles_travel_once(spark, tmp_path, monkeypatch):
+    """Titles of many different words: each step holds the folded title, not its words beside it, and short digests."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))
+    rows = [("S", " ".join(word() for _ in range(10)), f"govde {i}", "KAP", None, T0 + timedelta(minutes=i)) for i in range(1500)]
+    rows += [("S", rows[7][1], rows[7][2], "SIRKET_SITE", None, T0 + timedelta(minutes=20))]
+
+    def kept(df):
+        path = str(tmp_path / f"step{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(idn, "frozen", kept)
+    _, classes, links = idn.verdicts(frame(spark, rows))
+    name = {r["class_id"]: r["named"] for r in classes.collect()}
+    assert [(name[r["later"]], name[r["earlier"]], r["verdict"]) for r in links.collect()] == [(1500, 7, "EXACT_DUPLICATE")]
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file())
+    assert written < 6 * sum(len(r[1]) for r in rows), written / sum(len(r[1]) for r in rows)
