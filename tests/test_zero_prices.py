@@ -84,3 +84,13 @@ def test_outcomes_with_zero_prices(spark, tmp_path, name):
     many_events(spark, tmp_path)  # lows, opens and closes of zero, also of the signal's bar
     got, want = both(spark, tmp_path, name)
     assert got and got == want and (name != "label_signal_outcomes" or any(INF in r for r in got))
+
+
+def test_top10_order_with_zero_prices(spark, tmp_path):
+    """Sixty types with two events an hour, three values in a hundred zero: equal scores and volumes leave the rank to a momentum over zero."""
+    rng = random.Random(11)
+    rows = [(i, 1704067200 * 10**6 + t, 1, f"T{rng.randrange(60)}", 0.0 if rng.random() < 0.03 else round(rng.expovariate(0.02), 2), "{}") for i, t in enumerate(sorted(rng.sample(range(15 * 86_400 * 10**6), 40_000)))]
+    d = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
+    d.select("event_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = both(spark, tmp_path, "intraday_top10")
+    assert len(want) > 50 and got == want
