@@ -9,16 +9,18 @@ are column expressions; the ratio is worked out for the few pairs that still dep
 
 A record starts with the first event that no earlier record takes. An event joins the youngest
 record of its symbol that began within the window and has a variant it is a copy of. That rule
-is sequential; here it is the fixed point of a join, since an event's record depends on earlier
-events only: every round settles at least the next event in order, and one round settles a story
-whose versions all resemble its first.
+is sequential, but only records begun within the last window of a block of time can reach into
+the next block. So blocks are walked side by side, each event with the verdicts on the classes
+near it, and a block is walked again only when other records reach into it than before.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
@@ -35,6 +37,7 @@ GENERIC = ("sozlesme", "ihale", "yatirim", "finansal", "sonuc", "duyuru", "haber
 MONEY = ("milyon", "milyar", "tl", "usd", "eur")
 ACTIONS = ("iptal", "fesih", "sonlandir", "yenile", "uzat")
 TITLE_CHARS, BODY_CHARS, WINDOW = 500, 12_000, 21_600
+BLOCK = 32 * WINDOW  # seconds that are walked in one go
 BODY_SAME_TITLE, TITLE_SAME_URL, TITLE_LIKELY, BODY_LIKELY = 0.65, 0.8, 0.88, 0.75
 AMOUNT = r"([0-9]+(?:[.,][0-9]+)*)\s*(milyon|milyar|million|billion)?\s*(tl|try|usd|dolar|eur|euro|%|adet)\b"
 SCALES = {"milyon": 1e6, "million": 1e6, "milyar": 1e9, "billion": 1e9}
@@ -225,6 +228,73 @@ def verdicts(news: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return events, classes, frozen(pair_verdicts(classes, class_pairs(events, classes), news))
 
 
+def _walk(events: pa.Table, before: pa.Table) -> pa.Table:
+    """Events of one symbol and block by the sequential rule, and one row with the records that events after the block can join. before: such a row of the block before."""
+    rows = sorted(events.to_pylist(), key=lambda e: (e["a"]["t"], e["a"]["news_id"]))
+    records, youngest, out = [], {}, []  # by start: (start, class of each content); the youngest record that holds a class
+
+    def holds(at: int, class_id: str, content: str) -> None:
+        if content not in records[at][1]:
+            records[at][1][content] = class_id
+            youngest[class_id] = max(at, youngest.get(class_id, at))
+
+    for r in (r for row in before.to_pylist() for r in row["held"]):
+        records.append(({"t": r["t"], "news_id": r["news_id"]}, {}))
+        for v in r["variants"]:
+            holds(len(records) - 1, v["class_id"], v["content"])
+    for e in rows:
+        told = dict(zip(e["earlier"] or (), e["verdicts"] or (), strict=True))
+        at, verdict = max((youngest[c] for c in told if c in youngest), default=None), None
+        if at is None or e["a"]["t"] - records[at][0]["t"] > WINDOW:  # where the youngest is too old, all are
+            at = len(records)
+            records.append((e["a"], {}))
+        else:
+            verdict = next(told[c] for c in records[at][1].values() if c in told)
+        holds(at, e["class_id"], e["content"])
+        out.append({"symbol": e["symbol"], "block": e["block"], "news_id": e["news_id"], "canonical_id": records[at][0]["news_id"], "verdict": verdict})
+    if rows:
+        late = (rows[0]["block"] + 1) * BLOCK - WINDOW
+        held = [{**a, "variants": [{"class_id": c, "content": x} for x, c in held.items()]} for a, held in records if a["t"] >= late]
+        out.append({"symbol": rows[0]["symbol"], "block": rows[0]["block"], "held": held})
+    of = {f.name: f.type for f in events.schema}
+    variant = pa.list_(pa.struct([("class_id", pa.string()), ("content", pa.string())]))
+    return pa.Table.from_pylist(out, pa.schema([("symbol", of["symbol"]), ("block", pa.int64()), ("news_id", of["news_id"]), ("canonical_id", of["news_id"]), ("verdict", pa.string()),
+                                                ("held", pa.list_(pa.struct([("t", pa.int64()), ("news_id", of["news_id"]), ("variants", variant)])))]))
+
+
+def walked(base: DataFrame, links: DataFrame) -> DataFrame:
+    """news_id, canonical_id, verdict of events by the sequential rule.
+
+    Blocks of time are walked side by side. A block is walked again when the records left open by the block before
+    are others than it was walked with, so that only blocks that can change move again.
+    """
+    spark, key = base.sparkSession, ["symbol", "block"]
+    cells = base.select("class_id", "b").distinct()
+    asked = links.join(cells, links.later == cells.class_id).select("later", "b", "earlier", "verdict", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("at"))
+    near = asked.join(cells.select(F.col("class_id").alias("earlier"), F.col("b").alias("at")), ["earlier", "at"]).groupBy(F.col("later").alias("class_id"), "b").agg(F.collect_set(F.struct("earlier", "verdict")).alias("near"))
+    rows = frozen(base.join(near, ["class_id", "b"], "left").select(
+        "symbol", F.floor(F.col("t") / BLOCK).alias("block"), "news_id", "class_id", "content", F.col("at").alias("a"), F.col("near.earlier").alias("earlier"), F.col("near.verdict").alias("verdicts")))
+    id_type = base.schema["news_id"].dataType.simpleString()
+    held = f"array<struct<t: bigint, news_id: {id_type}, variants: array<struct<class_id: string, content: string>>>>"
+    schema = f"symbol string, block bigint, news_id {id_type}, canonical_id {id_type}, verdict string, held {held}"
+    steps = []
+    todo = spark.createDataFrame([], f"symbol string, block bigint, held {held}")
+    again = rows
+    while True:
+        done = again.groupBy(*key).cogroup(todo.groupBy(*key)).applyInArrow(_walk, schema)
+        steps.append(frozen(done.withColumn("round", F.lit(len(steps)))))
+        ends = reduce(DataFrame.unionByName, steps).filter("held IS NOT NULL")
+        moved = ends.join(steps[-1].filter("held IS NOT NULL").select(*key), key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("round", "held")), asc=False).alias("h"))
+        left = F.coalesce(F.try_element_at("h", F.lit(2))["held"], F.array().cast(held))
+        todo = moved.filter(F.col("h")[0]["held"] != left).select("symbol", (F.col("block") + 1).alias("block"), F.col("h")[0]["held"].alias("held"))
+        todo = frozen(todo.join(rows.select(*key).distinct(), key, "left_semi"))
+        if todo.limit(1).count() == 0:
+            break
+        again = rows.join(todo.select(*key), key, "left_semi")
+    found = reduce(DataFrame.unionByName, steps).filter("news_id IS NOT NULL")
+    return found.groupBy("news_id").agg(F.max_by(F.struct("canonical_id", "verdict"), "round").alias("r")).select("news_id", "r.canonical_id", "r.verdict")
+
+
 def canonical(news: DataFrame) -> DataFrame:
     """news_id, symbol, t, kind, title, canonical_id, verdict (of the event against its record; null for a record's first)."""
     events, classes, links = verdicts(news)
@@ -232,30 +302,8 @@ def canonical(news: DataFrame) -> DataFrame:
     links = frozen(links.unionByName(own))
     # Only events of linked classes can join a record or be joined; every other is a record of its own.
     linked = links.select(F.explode(F.array("later", "earlier")).alias("class_id")).distinct()
-    base = frozen(events.join(linked, "class_id", "left_semi").select("news_id", "t", "b", "class_id", F.struct("t", "news_id").alias("at"), _digest(F.concat_ws("\x1f", "title_n", "body_id")).alias("content")))
-
-    def matches(variants: DataFrame) -> DataFrame:
-        """Events with every record they could join. variants: class_id, v (order), a (order of the record's first event)."""
-        near = F.explode(F.array(F.floor(F.col("a.t") / WINDOW), F.floor(F.col("a.t") / WINDOW) + 1)).alias("b")
-        held = links.join(variants, links.earlier == variants.class_id).select("later", "verdict", "v", "a", near)
-        met = base.join(held, (base.class_id == held.later) & (base.b == held.b))
-        return met.filter((F.col("v") < F.col("at")) & (F.col("t") - F.col("a.t") <= WINDOW)).select("news_id", "v", "a", "verdict")
-
-    # First guess: the earliest event of a bucket that resembles this one.
-    firsts = base.groupBy("class_id", "b").agg(F.min("at").alias("v")).select("class_id", "v", F.col("v").alias("a"))
-    chosen = matches(firsts).groupBy("news_id").agg(F.min("a").alias("a"))
-    now = frozen(base.join(chosen, "news_id", "left").select(*[base[c] for c in base.columns], F.coalesce("a", "at").alias("a"), F.lit(None).cast("string").alias("verdict")))
-    while True:
-        variants = now.groupBy("a", "content").agg(F.min(F.struct("at", "class_id")).alias("o")).select(F.col("o.class_id").alias("class_id"), F.col("o.at").alias("v"), "a")
-        best = matches(variants).groupBy("news_id", "a").agg(F.min_by("verdict", "v").alias("verdict"))
-        best = best.groupBy("news_id").agg(F.max(F.struct("a", "verdict")).alias("r"))
-        then = frozen(now.drop("verdict").withColumnRenamed("a", "was").join(best, "news_id", "left").select(
-            *base.columns, "was", F.coalesce("r.a", "at").alias("a"), F.col("r.verdict").alias("verdict")))
-        settled = then.filter("a <> was").limit(1).count() == 0
-        now = then.drop("was")
-        if settled:
-            break
-    joined = now.select("news_id", F.col("a.news_id").alias("canonical_id"), "verdict")
+    base = frozen(events.join(linked, "class_id", "left_semi").select("news_id", "symbol", "t", "b", "class_id", F.struct("t", "news_id").alias("at"), _digest(F.concat_ws("\x1f", "title_n", "body_id")).alias("content")))
+    joined = walked(base, links)
     return events.select("news_id", "symbol", "t", "kind", "url", "title").join(joined, "news_id", "left").withColumn("canonical_id", F.coalesce("canonical_id", "news_id"))
 
 

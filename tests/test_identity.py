@@ -200,3 +200,29 @@ def test_titles_travel_once(spark, tmp_path, monkeypatch):
     assert [(name[r["later"]], name[r["earlier"]], r["verdict"]) for r in links.collect()] == [(1500, 7, "EXACT_DUPLICATE")]
     written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file())
     assert written < 6 * sum(len(r[1]) for r in rows), written / sum(len(r[1]) for r in rows)
+
+
+def test_long_stories_settle_in_few_steps(spark, tmp_path, monkeypatch):
+    """A story told again for weeks: a record depends on the one before it all the way, yet what is written stays near the events."""
+    rng = random.Random(3)
+    vocab = [a + b for a in ("kap", "ler", "mon", "tur", "zel") for b in ("da", "ri", "su", "vek", "ola")]
+    title, body = rng.sample(vocab, 6), [rng.choice(vocab) for _ in range(14)]
+    rows, minute = [], 0
+    while minute < 30 * 1440:
+        minute += rng.randint(20, 150)
+        t = title + rng.sample(vocab, rng.choice([0, 0, 0, 1]))
+        b = [rng.choice(vocab) if rng.random() < rng.choice([0, 0, 0, 0.5]) else w for w in body]
+        rows.append(("S", " ".join(t), " ".join(b), rng.choice(["KAP", "SIRKET_SITE"]), None, T0 + timedelta(minutes=minute)))
+    steps = []
+
+    def kept(df):
+        path = str(tmp_path / f"step{len(steps)}")
+        df.write.parquet(path)
+        steps.append(spark.read.schema(df.schema).parquet(path))
+        return steps[-1]
+
+    monkeypatch.setattr(idn, "frozen", kept)
+    got = {r["news_id"]: (r["canonical_id"], r["verdict"]) for r in idn.canonical(frame(spark, rows)).collect()}
+    assert got == walk(rows) and 80 < len({c for c, _ in got.values()}) < len(rows) / 2
+    follow = [s.count() for s in steps if {"a", "canonical_id"} & set(s.columns)]  # after the links are known
+    assert sum(follow) < 8 * len(rows), (len(follow), sum(follow), len(rows))
